@@ -1,0 +1,75 @@
+"""Base tables in SQL that both Spark and DuckDB run: listings, titles and profiles from the given tables."""
+
+LISTINGS = """
+WITH k AS (
+  SELECT o_orderkey AS seq, o_custkey AS pid, o_orderdate AS scraped_at,
+         CAST(o_orderkey % 4 AS INT) AS v,
+         CAST(4000 + CAST(floor(o_totalprice) AS BIGINT) % 120000 AS STRING) AS p
+  FROM orders
+), a AS (
+  SELECT seq, pid, scraped_at, v, p,
+    CASE v WHEN 0 THEN 'amazon' WHEN 1 THEN 'mediamarkt' WHEN 2 THEN 'incehesap' ELSE 'vatan' END AS source,
+    CASE pid % 13 WHEN 0 THEN 'Apple MacBook Air' WHEN 1 THEN 'Lenovo Legion' WHEN 2 THEN 'ASUS TUF Gaming'
+      WHEN 3 THEN 'Dell Inspiron' WHEN 4 THEN 'HP Victus' WHEN 5 THEN 'MSI Katana' WHEN 6 THEN 'Acer Nitro'
+      WHEN 7 THEN 'Microsoft Surface' WHEN 8 THEN 'Huawei MateBook' WHEN 9 THEN 'Samsung Galaxy Book'
+      WHEN 10 THEN 'Monster Tulpar' WHEN 11 THEN 'Casper Excalibur' ELSE 'Honor X14' END AS brand_txt,
+    CASE (pid * 7) % 17 WHEN 0 THEN 'i9-14900HX' WHEN 1 THEN 'i7-13620H' WHEN 2 THEN 'i5-1340P' WHEN 3 THEN 'i5-1235U'
+      WHEN 4 THEN 'Ryzen 7 7840HS' WHEN 5 THEN 'Ryzen 5 7535U' WHEN 6 THEN 'Ryzen AI 7 350' WHEN 7 THEN 'Core Ultra 7 155H'
+      WHEN 8 THEN 'Intel Ultra 7 258V' WHEN 9 THEN 'M3' WHEN 10 THEN 'M2 Pro' WHEN 11 THEN 'Celeron N4500'
+      WHEN 12 THEN 'ryzen7' WHEN 13 THEN 'i7' WHEN 14 THEN 'Snapdragon X Elite' WHEN 15 THEN 'Ryzen 9 8945HX' ELSE NULL END AS cpu,
+    CASE (pid * 11) % 19 WHEN 0 THEN 'rtx4060' WHEN 1 THEN 'RTX 4050' WHEN 2 THEN 'RTX 4070 Ti' WHEN 3 THEN 'rtx 2060'
+      WHEN 4 THEN 'GTX 1660 Ti' WHEN 5 THEN 'MX 450' WHEN 6 THEN 'rx7600m' WHEN 7 THEN 'AMD Radeon RX 7600' WHEN 8 THEN 'Intel Arc A770M'
+      WHEN 9 THEN 'Iris Xe' WHEN 10 THEN 'intel uhd' WHEN 11 THEN 'Radeon 780M' WHEN 12 THEN 'Radeon Vega 8' WHEN 13 THEN 'Apple M3 GPU'
+      WHEN 14 THEN 'apple integrated' WHEN 15 THEN 'amd radeon' WHEN 16 THEN 'integrated' WHEN 17 THEN '' ELSE NULL END AS gpu,
+    CASE (pid * 3) % 8 WHEN 0 THEN '8GB' WHEN 1 THEN '16 GB' WHEN 2 THEN '8GB + 8GB (16 GB)' WHEN 3 THEN '32GB DDR5'
+      WHEN 4 THEN '64' WHEN 5 THEN '16.0' WHEN 6 THEN 'belirsiz' ELSE NULL END AS ram,
+    CASE (pid * 5) % 9 WHEN 0 THEN '512GB' WHEN 1 THEN '1TB SSD' WHEN 2 THEN '256 GB' WHEN 3 THEN '1000GB' WHEN 4 THEN '500 GB'
+      WHEN 5 THEN '2 TB' WHEN 6 THEN '1024.0' WHEN 7 THEN '1GB' ELSE NULL END AS ssd,
+    CASE (pid * 2) % 7 WHEN 0 THEN '15.6"' WHEN 1 THEN '14,0 inc' WHEN 2 THEN '13.3"' WHEN 3 THEN '16 . 1"' WHEN 4 THEN '17.3"'
+      WHEN 5 THEN '144Hz 16.0' ELSE NULL END AS screen_size,
+    CASE (pid * 4) % 9 WHEN 0 THEN 'Windows 11' WHEN 1 THEN 'W11P' WHEN 2 THEN 'macOS' WHEN 3 THEN 'Ubuntu' WHEN 4 THEN 'FreeDOS'
+      WHEN 5 THEN 'Yok' WHEN 6 THEN 'ChromeOS' ELSE NULL END AS os
+  FROM k
+)
+SELECT seq, source, scraped_at,
+  CASE WHEN pid % 29 = 0 THEN NULL ELSE concat('https://shop.example/', source, '/p/', CAST(pid AS STRING)) END AS url,
+  concat(brand_txt, ' ', coalesce(cpu, ''), ' ', coalesce(ram, ''), ' RAM ', coalesce(ssd, ''), ' SSD ', coalesce(gpu, ''), ' ', coalesce(os, '')) AS name,
+  CASE WHEN seq % 31 = 0 THEN NULL
+       WHEN v = 0 THEN concat(substr(p, 1, length(p) - 3), '.', right(p, 3), ',00 TL')
+       WHEN v = 1 THEN concat(substr(p, 1, length(p) - 3), '.', right(p, 3), ' TL')
+       WHEN v = 2 THEN p
+       ELSE concat(substr(p, 1, length(p) - 3), '.', right(p, 3)) END AS price,
+  screen_size, ssd, cpu, ram, os, gpu
+FROM a
+"""
+
+# One profile per nation and market segment, from all customers: the segment gives the usage,
+# the nation the developer and productivity kinds, the customers the budget and the lists.
+PROFILES = """
+WITH g AS (
+  SELECT c_nationkey AS nation, c_mktsegment AS segment, CAST(sum(c_custkey) AS BIGINT) AS k FROM customer
+  GROUP BY c_nationkey, c_mktsegment
+)
+SELECT concat(CAST(nation AS STRING), '-', segment) AS profile_id,
+  CASE segment WHEN 'AUTOMOBILE' THEN 'gaming' WHEN 'BUILDING' THEN 'portability' WHEN 'FURNITURE' THEN 'productivity'
+    WHEN 'HOUSEHOLD' THEN 'design' ELSE 'dev' END AS usage_key,
+  CAST(5000 + (k * 37) % 20000 AS DOUBLE) AS min_budget,
+  CAST(5000 + (k * 37) % 20000 + CASE WHEN k % 6 = 0 THEN 60 ELSE 10000 + (k * 53) % 60000 END AS DOUBLE) AS max_budget,
+  CASE nation % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'ml' WHEN 2 THEN 'mobile' WHEN 3 THEN 'gamedev' ELSE 'general' END AS dev_mode,
+  CASE nation % 4 WHEN 0 THEN 'office' WHEN 1 THEN 'data' WHEN 2 THEN 'light_dev' ELSE 'multitask' END AS productivity_profile,
+  CAST(CASE WHEN nation % 3 = 0 THEN 7.5 ELSE 6.0 END AS DOUBLE) AS min_gpu_score_required,
+  CASE WHEN nation % 7 = 3 THEN split('lenovo,apple,asus,hp', ',') END AS allowed_brands,
+  CASE WHEN nation % 8 = 5 THEN split('windows,macos', ',') END AS allowed_oses,
+  CASE WHEN nation % 6 = 2 THEN 16 END AS min_ram,
+  CASE WHEN nation % 9 = 4 THEN 512 END AS min_ssd,
+  nation % 2 = 0 AS exclude_apple_in_gaming,
+  CAST(3 + k % 8 AS INT) AS top_n
+FROM g
+"""
+
+# Titles with the screen in them, as shops write them.
+TITLES = f"""
+SELECT seq, source, price AS price_text, concat_ws(' ', name, screen_size) AS title,
+  concat_ws(' ', screen_size, cpu, gpu) AS specs
+FROM ({LISTINGS}) AS listings_base
+"""
