@@ -23,10 +23,10 @@ DELIMITERS = [",", ";", "\t", "|"]
 SEQ = "seq"
 
 
-def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
     """Sorted paths; only the file listing is read."""
     try:
-        found = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
+        found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder).inputFiles()
     except AnalysisException:
         return []
     return sorted(found)
@@ -65,6 +65,7 @@ def read_folder(
     pattern: str = "*.csv",
     numeric_price: bool | Mapping[str, bool] | None = None,
     multi_line: bool = False,
+    recursive: bool = False,
 ) -> DataFrame | None:
     """Union of all files, with ``seq`` (position in file order), ``source_file`` and
     ``price_is_number``; None if there is no usable file.
@@ -72,7 +73,7 @@ def read_folder(
     ``numeric_price`` says which files hold prices as numbers: one answer for all, or one
     per file name. Left out, it is found by one extra pass over the price column.
     """
-    files = find_files(spark, folder, pattern)
+    files = find_files(spark, folder, pattern, recursive)
     by_header = defaultdict(list)
     for path in files:
         header = _header(spark, path)
@@ -146,9 +147,12 @@ def snapshot(spark: SparkSession, folder: str, cache_root: str, pattern: str = "
     return spark.read.parquet(target)
 
 
-def save_csv(df: DataFrame, target: str, mode: str = "overwrite") -> str:
+def save_csv(df: DataFrame, target: str, mode: str = "overwrite", sep: str = ",") -> str:
     """CSV with header; every part starts with a byte-order mark, as spreadsheets expect."""
     first, *rest = df.columns
     flat = df.withColumnRenamed(first, "﻿" + first)
-    flat.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(target)
+    (
+        flat.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(target)
+    )
     return target

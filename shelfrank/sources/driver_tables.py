@@ -1,4 +1,13 @@
-"""Base tables in SQL that both Spark and DuckDB run: listings, titles and profiles from the given tables."""
+"""Listings, titles and profiles made from the given star-schema tables.
+
+The SQL runs in Spark and in DuckDB alike, so queries and their checks start from the same rows.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 LISTINGS = """
 WITH k AS (
@@ -73,3 +82,81 @@ SELECT seq, source, price AS price_text, concat_ws(' ', name, screen_size) AS ti
   concat_ws(' ', screen_size, cpu, gpu) AS specs
 FROM ({LISTINGS}) AS listings_base
 """
+
+# Each listing's shopper: the profile of the customer's nation and segment.
+OWN_PROFILE = """
+SELECT o_orderkey AS seq, concat(CAST(c_nationkey AS STRING), '-', c_mktsegment) AS profile_id
+FROM orders JOIN customer ON c_custkey = o_custkey
+"""
+
+STOCK_HINTS = """
+SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN concat('Durum: ', 'TÜKENDİ'  , ' tükendi')
+  WHEN 'O' THEN 'Stokta var, hızlı kargo' ELSE o_orderpriority END AS hint
+FROM orders
+"""
+
+NOISE = f"""
+SELECT seq, CASE WHEN seq % 11 = 3 THEN concat('ÜRÜN SİLİNECEK ', name) WHEN seq % 11 = 5 THEN NULL ELSE name END AS title
+FROM ({LISTINGS}) AS listings_base
+"""
+
+LABELLED = f"""
+SELECT seq, concat('Ekran: ', coalesce(screen_size, '-'), chr(10),
+  CASE seq % 3 WHEN 0 THEN 'Isletim Sistemi : ' WHEN 1 THEN 'Operating System -' ELSE 'Sistem: ' END, coalesce(os, ''), chr(10),
+  'Bellek: ', coalesce(ram, ''), ' GB') AS specs
+FROM ({LISTINGS}) AS listings_base
+"""
+
+CARD_TEXT = f"""
+SELECT seq, concat('Yeni', chr(10), ' ', name, ' ', chr(10), 'Puan 4,5', chr(10), coalesce(price, 'fiyat yok'), chr(10), 'Sepete ekle') AS card
+FROM ({LISTINGS}) AS listings_base
+"""
+
+TITLE_CHOICE = """CASE substr(profile_id, 1, 1) WHEN '1' THEN 'Starfield;Lies of P' WHEN '2' THEN 'Forza Horizon 5'
+  WHEN '3' THEN 'Apex/Fortnite (yüksek ayar)' WHEN '4' THEN 'Cyberpunk 2077 (2.0);Helldivers 2;Lies of P' END"""
+DESIGN_CHOICE = """CASE substr(profile_id, 1, 1) WHEN '1' THEN 'graphic;3d' WHEN '2' THEN 'video' WHEN '3' THEN 'cad;graphic'
+  WHEN '4' THEN 'graphic' END"""
+
+# Shop pages written from the listings, one page per listing.
+_PAGE = "SELECT seq AS page_id, concat('https://shop.example/list/', CAST(seq AS STRING)) AS url, {html} AS html FROM ({rows}) AS listings_base"
+MADE_PAGES = {
+    "amazon": _PAGE.format(rows=LISTINGS, html="""concat('<html><body><div class="s-main"><div data-component-type="s-search-result" data-asin="B',
+      CAST(seq AS STRING), '">', CASE WHEN seq % 7 = 2 THEN '<span class="s-label-popover-default">Sponsored</span>' ELSE '' END,
+      '<h2><a class="a-link-normal" href="/dp/', CAST(seq AS STRING), '"><span>', name, '</span></a></h2>',
+      CASE WHEN price IS NULL THEN '' ELSE concat('<span class="a-price"><span class="a-offscreen">', price, '</span></span>') END,
+      '</div></div></body></html>')"""),
+    "vatan": _PAGE.format(rows=LISTINGS, html="""concat('<html><body><div class="product-list"><a href="/urun/', CAST(seq AS STRING), '">',
+      '<div class="product-list__product-name"><h3>', name, ' 12.345 TL</h3></div></a><span class="product-list__price">',
+      coalesce(price, ''), '</span></div></body></html>')"""),
+    "mediamarkt": _PAGE.format(rows=LISTINGS, html="""concat('<html><body><article><a href="/tr/product/', CAST(seq AS STRING), '">Yeni</a><p>', name,
+      '</p><p>', coalesce(price, 'fiyat yok'), '</p></article></body></html>')"""),
+    "incehesap": _PAGE.format(rows=LISTINGS, html="""concat('<html><body><ul><li class="prd"><a class="prd-link" href="/urun/', CAST(seq AS STRING), '">git</a>',
+      '<h3 class="prd-title">', name, '</h3><div class="price">', coalesce(price, ''), '</div></li></ul></body></html>')"""),
+    # Product pages exist for two listings of three; some have no price of their own.
+    "detail": f"""SELECT seq AS page_id, concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url,
+      concat('<html><body><h1> ', CASE WHEN seq % 13 = 4 THEN 'ÜRÜN SİLİNECEK ' ELSE '' END, name, ' </h1><div class="price">yeni</div>',
+        CASE WHEN seq % 5 = 1 OR price IS NULL THEN '' ELSE concat('<span class="old-fiyat">', price, '</span>') END,
+        '<div class="stok">', CASE seq % 3 WHEN 0 THEN 'Tükendi' WHEN 1 THEN 'Stokta var' ELSE '' END, '</div>',
+        '<table><tr><td>RAM</td><td>', coalesce(ram, '-'), '</td></tr></table><dl><dt>Ekran</dt><dd>', coalesce(screen_size, '-'),
+        '</dd></dl></body></html>') AS html
+      FROM ({LISTINGS}) AS listings_base WHERE seq % 3 <> 2""",
+}
+
+
+def sql_over(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Runs SQL over the parquet tables it names, without leaving views behind."""
+    tables = sorted(set(re.findall(r"\b(?:FROM|JOIN) (orders|customer|nation|pages)\b", query)))
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (orders|customer|nation|pages)\b", r"\1 {\2}", query), **frames)
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_over(spark, sf_dir, LISTINGS)
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_over(spark, sf_dir, PROFILES)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_over(spark, sf_dir, TITLES)
