@@ -173,6 +173,9 @@ FEATURES = [
 
 
 def add_features(listings: DataFrame) -> DataFrame:
+    """Adds the features, unless the listings were stored with them."""
+    if set(FEATURES) <= set(listings.columns):
+        return listings
     return listings.withColumns(feature_columns())
 
 

@@ -39,9 +39,9 @@ def brand_choices(df: DataFrame) -> DataFrame:
 
 def os_choices(df: DataFrame) -> DataFrame:
     """Known systems that occur, in their display order."""
-    found = df.select(F.lower("os").alias("os")).where(F.col("os").isin(rules.OS_FACETS)).distinct()
-    position = F.array_position(F.array(*[F.lit(o) for o in rules.OS_FACETS]), F.col("os")).cast("int")
-    return found.withColumn("position", position).orderBy("position")
+    known = df.sparkSession.createDataFrame(list(zip(rules.OS_FACETS, range(1, 5))), "os string, position int")
+    found = df.select(F.lower("os").alias("os")).distinct()
+    return known.join(found, "os", "left_semi").orderBy("position")
 
 
 def budget_slider(df: DataFrame) -> DataFrame:

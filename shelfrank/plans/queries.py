@@ -15,9 +15,10 @@ from shelfrank.operators.ranking import diverse_top, rank_all, summarise
 from shelfrank.plans import page_listings as PL
 from shelfrank.plans import recommend as R
 from shelfrank.plans.prepare import clean_data, prepare
-from shelfrank.session import shared_folder, tune
+from shelfrank.session import shared_folder, shared_root, ship_package, tune
 from shelfrank.sources import csv_files, driver_tables as D, history, pages as P
 from shelfrank.sources.listings import as_listing, union_by_name
+from shelfrank.sources.snapshot import input_state, stored
 from shelfrank.streaming import history_stream as HS
 
 SHOPS = ["amazon", "incehesap", "mediamarkt", "vatan"]
@@ -28,7 +29,10 @@ def r6(c):
 
 
 def prepared(spark, d) -> DataFrame:
-    return prepare(D.listings(spark, d))
+    """Prepared listings with their features, parsed once and kept: the plans read them
+    more than once, and filters reach the scan of a stored table."""
+    state = input_state(spark, f"{d}/orders.parquet")
+    return stored(spark, shared_root(spark), "prepared", state, lambda: scoring.add_features(prepare(D.listings(spark, d))))
 
 
 # --- cleaning and hardware -----------------------------------------------------------
@@ -73,7 +77,7 @@ def cleaned_listings(spark, d):
 
 
 def prepared_listings(spark, d):
-    return prepared(spark, d).select("seq", "price", "cpu_score", "gpu_norm", "gpu_score")
+    return prepare(D.listings(spark, d)).select("seq", "price", "cpu_score", "gpu_norm", "gpu_score")
 
 
 def vendor(attribute, shop, spark, d):
@@ -140,11 +144,10 @@ def csv_round_trip(spark, d):
     for shop, (columns, sep) in layouts.items():
         out = rows.where(F.col("source") == shop).select(*columns)
         if shop == "vatan":
-            out = out.withColumnsRenamed({"price": " Fiyat", "name": "NAME"})
+            out = out.withColumnsRenamed({"price": " PRICE ", "name": "Name"})
         csv_files.save_csv(out, f"{folder}/{shop}", sep=sep)
-    raw = csv_files.read_folder(spark, folder, recursive=True)
-    raw = raw.drop("seq").withColumn("price", F.coalesce("price", "fiyat"))
-    return clean_data(raw).select(
+    raw = csv_files.read_folder(spark, folder, numeric_price=False, recursive=True)
+    return clean_data(raw.drop("seq")).select(
         F.col("seq_no").cast("bigint").alias("seq"), "price", "ram_gb", "ssd_gb", "screen_size", "brand", "os"
     )
 
@@ -180,7 +183,7 @@ def profile_table(usage, spark, d):
 def decided(spark, d, usage=None):
     stored, load = R.store_profiles(profile_table(usage, spark, d))
     rule = scoring.add_profile_constants(stored).select(*R.FILTER_COLUMNS)
-    rows = scoring.add_features(prepared(spark, d))
+    rows = prepared(spark, d)
     return rows, stored.select("pno", "profile_id"), R.decide_filters(R.count_rows(rows, rule, load), rule, load), load
 
 
@@ -209,7 +212,7 @@ def own_profile_rows(spark, d):
     """Each listing with the profile of the customer behind it."""
     own = D.sql_over(spark, d, D.OWN_PROFILE)
     p = scoring.add_profile_constants(prof.complete_profiles(D.profiles(spark, d)))
-    return scoring.add_features(prepared(spark, d)).join(own, "seq").join(p, "profile_id")
+    return prepared(spark, d).join(own, "seq").join(p, "profile_id")
 
 
 def own_scores(spark, d):
@@ -260,7 +263,7 @@ def plain_top5(spark, d):
     stored, load = R.store_profiles(p)
     constants = scoring.add_profile_constants(stored)
     rule = constants.select(*R.FILTER_COLUMNS)
-    rows = scoring.add_features(prepared(spark, d))
+    rows = prepared(spark, d)
     table = R.decide_filters(R.count_rows(rows, rule, load), rule, load)
     pairs = R.candidates(R.fold_offers(rows), table, load)
     scored = R.score_pairs(pairs, constants.select("profile_id", *R.SCORE_COLUMNS), load)
@@ -336,6 +339,7 @@ def bad_pages(spark, d):
 
 
 def made_pages(kind, spark, d):
+    ship_package(spark)
     return D.sql_over(spark, d, D.MADE_PAGES[kind])
 
 
@@ -367,7 +371,7 @@ def page_listings(shop, spark, d):
 def orders_stream(spark, d) -> DataFrame:
     """The listings as a stream over the orders table."""
     schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/orders.parquet")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     return spark.sql(D.LISTINGS.replace("FROM orders", "FROM {orders}"), orders=source)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,8 +38,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's shared one.
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, for the functions that run in Python."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfrank_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="shelfrank-code-")) / "shelfrank.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in root.rglob("*.py"):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._shelfrank_shipped = True
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder.
 
     A machine-local folder is taken only where the session names none, as in tests.
     """
@@ -45,4 +61,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="shelfrank-")
         spark.conf.set(CHECKPOINT_SETTING, root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -7,9 +7,10 @@ same column is text in one file and numbers in another.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,26 @@ from pyspark.sql import types as T
 
 from shelfrank.functions.clean import NUMERIC_CELL
 from shelfrank.sources.listings import normalise_headers, null_missing, rename_aliases, union_by_name
+from shelfrank.sources.snapshot import input_state, stored
 
+LOCAL_FILE = re.compile(r"^file:/+")  # the listing and the reader write local paths differently
 DELIMITERS = [",", ";", "\t", "|"]
 SEQ = "seq"
 
 
-def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
-    """Sorted paths; only the file listing is read."""
+def _listed(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> list[tuple[str, str]]:
+    """(path, its escaped form as Spark reports it with the rows), sorted by path."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     try:
-        found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder).inputFiles()
+        found = reader.text(folder).inputFiles()
     except AnalysisException:
         return []
-    return sorted(found)
+    return sorted((unquote(path), path) for path in found)
+
+
+def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
+    """Sorted paths; only the file listing is read."""
+    return [path for path, _ in _listed(spark, folder, pattern, recursive)]
 
 
 def sniff_delimiter(header: str) -> str:
@@ -52,7 +61,7 @@ def _read_group(spark: SparkSession, paths: list[str], header: str, multi_line:
     )
     rows = rows.select(
         "*",
-        F.col("_metadata.file_path").alias("_path"),
+        F.regexp_replace("_metadata.file_path", LOCAL_FILE.pattern, "file:/").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -73,9 +82,9 @@ def read_folder(
     ``numeric_price`` says which files hold prices as numbers: one answer for all, or one
     per file name. Left out, it is found by one extra pass over the price column.
     """
-    files = find_files(spark, folder, pattern, recursive)
+    files = _listed(spark, folder, pattern, recursive)
     by_header = defaultdict(list)
-    for path in files:
+    for path, _ in files:
         header = _header(spark, path)
         if header:
             by_header[header].append(path)
@@ -86,7 +95,7 @@ def read_folder(
 
     # One row per file, so its size is that of the file listing already held above.
     numbered = spark.createDataFrame(
-        [(path, i, path.rsplit("/", 1)[-1]) for i, path in enumerate(files)],
+        [(LOCAL_FILE.sub("file:/", escaped), i, path.rsplit("/", 1)[-1]) for i, (path, escaped) in enumerate(files)],
         "_path string, _file int, source_file string",
     )
     rows = rows.join(F.broadcast(numbered) if len(files) <= 100_000 else numbered, "_path")
@@ -120,31 +129,11 @@ def status_text(n_rows: int, n_files: int) -> str:
 
 
 def snapshot(spark: SparkSession, folder: str, cache_root: str, pattern: str = "*.csv", **read_options) -> DataFrame | None:
-    """Parquet copy of the raw table, made once per state of the input files.
-
-    The copy is named by the paths, sizes and times of the files, so changed input gives
-    a new copy and a stale one is never read.
-    """
-    try:
-        listed = (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-            .select("path", "length", "modificationTime").orderBy("path").collect()
-        )
-    except AnalysisException:
-        return None
-    if not listed:
-        return None
-    state = hashlib.sha256(repr([tuple(r) for r in listed]).encode()).hexdigest()[:24]
-    target = f"{cache_root.rstrip('/')}/raw-{state}"
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException:
-        pass
-    rows = read_folder(spark, folder, pattern, **read_options)
-    if rows is None:
+    """Parquet copy of the raw table, made once per state of the input files; None without usable files."""
+    state = input_state(spark, folder, pattern, read_options.get("recursive", False))
+    if not state:
         return None
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    return stored(spark, cache_root, "raw", state, lambda: read_folder(spark, folder, pattern, **read_options))
 
 
 def save_csv(df: DataFrame, target: str, mode: str = "overwrite", sep: str = ",") -> str:

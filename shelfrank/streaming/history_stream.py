@@ -38,6 +38,7 @@ def append_stream(rows: DataFrame, table: str, checkpoint: str):
 
 def first_sightings(rows: DataFrame, key: str = "url", delay: str = "7 days") -> DataFrame:
     """First row of each key; state is kept for ``delay`` and later rows are dropped."""
+    rows = rows.withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
     return rows.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark([key])
 
 
