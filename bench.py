@@ -31,7 +31,7 @@ def main() -> None:
 
     # Input of the pure passes: the listings as a file, so that making them is not measured.
     raw_path = shared_folder(spark, "bench-raw")
-    D.listings(spark, folder).write.parquet(raw_path)
+    D.listings(spark, folder).write.parquet(raw_path)  # one file per core
     raw = spark.read.parquet(raw_path)
     n = raw.count()
 

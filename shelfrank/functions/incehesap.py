@@ -39,7 +39,8 @@ BRAND_NAMES = {
 }
 
 
-def _joined(title: Column | str, specs: Column | None) -> Column:
+def text_of(title: Column | str, specs: Column | None = None) -> Column:
+    """What the attributes are read from."""
     return col(title) if specs is None else F.concat(col(title), F.lit(" | "), F.coalesce(specs, F.lit("")))
 
 
@@ -64,9 +65,9 @@ def price(text: Column | str) -> Column:
     )
 
 
-def screen(title: Column | str, specs: Column | None = None) -> Column:
+def screen(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
     """Inches 10..19.5: a number with a unit, else a decimal number."""
-    t = _joined(title, specs)
+    t = text_of(title, specs) if text is None else text
     size = F.coalesce(
         group(t, r"(\d{2}(?:[.,]\d)?)\s*(?:\"|''|inç|inch)", 1, True), group(t, r"(\d{2}[.,]\d)")
     )
@@ -74,9 +75,9 @@ def screen(title: Column | str, specs: Column | None = None) -> Column:
     return F.when(number.between(10.0, 19.5), number)
 
 
-def storage(title: Column | str, specs: Column | None = None) -> Column:
+def storage(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
     """GB 64..12288."""
-    t = _joined(title, specs)
+    t = text_of(title, specs) if text is None else text
     size = F.coalesce(
         F.try_multiply(to_long(group(t, r"(\d+)\s*TB", 1, True)), F.lit(1024)),
         to_long(group(t, r"(\d{3,4})\s*GB", 1, True)),
@@ -84,12 +85,12 @@ def storage(title: Column | str, specs: Column | None = None) -> Column:
     return F.when(size.between(64, 12288), size)
 
 
-def memory(title: Column | str, specs: Column | None = None) -> Column:
-    return to_long(group(_joined(title, specs), r"(\d+)\s*GB", 1, True))
+def memory(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    return to_long(group(text_of(title, specs) if text is None else text, r"(\d+)\s*GB", 1, True))
 
 
-def cpu_text(title: Column | str, specs: Column | None = None) -> Column:
-    t = fold_dotted_i(_joined(title, specs))
+def cpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = fold_dotted_i(text_of(title, specs) if text is None else text)
     return F.coalesce(*[F.nullif(tidy(group(t, p, 1, True)), F.lit("")) for p in CPU_PATTERNS], F.lit(""))
 
 
@@ -107,17 +108,17 @@ def cpu_family(cpu: Column | str) -> Column:
     )
 
 
-def cpu(title: Column | str, specs: Column | None = None) -> Column:
-    return cpu_family(cpu_text(title, specs))
+def cpu(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    return cpu_family(cpu_text(title, specs, text))
 
 
-def os(title: Column | str, specs: Column | None = None) -> Column:
-    t = fold_dotted_i(_joined(title, specs))
+def os(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = fold_dotted_i(text_of(title, specs) if text is None else text)
     return first_match([(matches(t, p, True), F.lit(v)) for p, v in OS_PATTERNS], F.lit(""))
 
 
-def gpu_text(title: Column | str, specs: Column | None = None) -> Column:
-    t = fold_dotted_i(_joined(title, specs))
+def gpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = fold_dotted_i(text_of(title, specs) if text is None else text)
     found = F.coalesce(*[F.nullif(tidy(group(t, p, 1, True)), F.lit("")) for p in GPU_PATTERNS])
     apple_chip = matches(t, r"\b(Apple|MacBook|M[1-5])\b", True) & contains_any(found, ["Integrated", "GPU"])
     return first_match(
@@ -150,8 +151,9 @@ def gpu_tag(gpu: Column | str, blob: Column | str) -> Column:
     )
 
 
-def gpu(title: Column | str, specs: Column | None = None) -> Column:
-    return gpu_tag(gpu_text(title, specs), _joined(title, specs))
+def gpu(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    text = text_of(title, specs) if text is None else text
+    return gpu_tag(gpu_text(title, specs, text), text)
 
 
 def brand_word(title: Column | str) -> Column:

@@ -13,7 +13,7 @@ from shelfrank.functions.text import (
 # Patterns, sizes and defaults of this shop's cards.
 SCREEN_UNIT = r"(\d{2}[\.,]?\d?)\s*(?:inç|inc|inch|\"|'')"
 # Group 1 takes every number except one with "nesil" or "gen" in the ten characters before it.
-SCREEN_BARE = r"(?:(?<=nesil.{0,5}|gen.{0,7})\d{2}[\.,]?\d?)|(\d{2}[\.,]?\d?)"
+SCREEN_BARE = r"(?=\d)(?:(?:(?<=nesil.{0,5}|gen.{0,7})\d{2}[\.,]?\d?)|(\d{2}[\.,]?\d?))"
 STORAGE_TB = [1024, 2048, 4096]
 STORAGE_GB = [128, 256, 512, 1024, 2048, 4096]
 VIDEO_MEMORY = [
@@ -23,14 +23,15 @@ VIDEO_MEMORY = [
 ]
 # Group 1 takes every "N gb" except those right behind (within ten characters) or before a storage word.
 MEMORY_SIZE = (
-    r"(?:(?<=(?:ssd|ufs|hdd)\s{0,7}|(?:emmc|nvme)\s{0,6}|storage\s{0,3})\d+\s*gb)"
+    r"(?=\d)(?:(?:(?<=(?:ssd|ufs|hdd)\s{0,7}|(?:emmc|nvme)\s{0,6}|storage\s{0,3})\d+\s*gb)"
     r"|(\d+)\s*gb(?!\s*(?:ssd|emmc|ufs|nvme|hdd|storage))"
-    r"|\d+\s*gb"
+    r"|\d+\s*gb)"
 )
 PRICE_TAIL = r"\s*\d[\d\.,]{2,}\s*(?:tl|₺)?$"
 
 
-def _joined(name: Column | str, specs: Column | None) -> Column:
+def text_of(name: Column | str, specs: Column | None = None) -> Column:
+    """What the attributes are read from."""
     tail = F.lit("") if specs is None else F.coalesce(specs, F.lit(""))
     return F.concat(col(name), F.lit(" "), tail)
 
@@ -49,8 +50,8 @@ def _inches(size: Column) -> Column:
     return to_double(F.replace(size, F.lit(","), F.lit(".")))
 
 
-def screen(name: Column | str, specs: Column | None = None) -> Column:
-    t = _joined(name, specs)
+def screen(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = text_of(name, specs) if text is None else text
     unit = _inches(group(t, SCREEN_UNIT, 1, True))
     bare = F.filter(
         F.transform(F.regexp_extract_all(t, F.lit(f"(?is){SCREEN_BARE}"), F.lit(1)), _inches),
@@ -60,8 +61,8 @@ def screen(name: Column | str, specs: Column | None = None) -> Column:
     return F.concat(size.cast("string"), F.lit('"'))
 
 
-def storage(name: Column | str, specs: Column | None = None) -> Column:
-    t = _joined(name, specs)
+def storage(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = text_of(name, specs) if text is None else text
     tb = F.try_multiply(to_long(group(t, r"(\d+)\s*TB", 1, True)), F.lit(1024))
     ssd = to_long(group(t, r"(\d+)\s*GB\s*(?:SSD|NVMe)", 1, True))
     gb = to_long(group(t, r"(\d+)\s*GB", 1, True))
@@ -74,17 +75,17 @@ def storage(name: Column | str, specs: Column | None = None) -> Column:
     return F.concat(size.cast("bigint").cast("string"), F.lit("GB"))
 
 
-def memory(name: Column | str, specs: Column | None = None) -> Column:
+def memory(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
     """Largest size of 4..192 GB that is neither video memory nor storage."""
-    t = F.lower(_joined(name, specs))
+    t = F.lower(text_of(name, specs) if text is None else text)
     for pattern in VIDEO_MEMORY:
-        t = replace(t, pattern, " ", True)
-    sizes = F.filter(F.transform(groups(t, MEMORY_SIZE, 1, True), to_long), lambda x: x.between(4, 192))
+        t = replace(t, pattern, " ")
+    sizes = F.filter(F.transform(groups(t, MEMORY_SIZE), to_long), lambda x: x.between(4, 192))
     return F.concat(F.coalesce(F.array_max(sizes), F.lit(8)).cast("string"), F.lit("GB"))
 
 
-def cpu(name: Column | str, specs: Column | None = None) -> Column:
-    t = _joined(name, specs)
+def cpu(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = text_of(name, specs) if text is None else text
 
     def g(pattern, idx=1):
         return group(t, pattern, idx, True)
@@ -115,8 +116,8 @@ def cpu(name: Column | str, specs: Column | None = None) -> Column:
     )
 
 
-def os(name: Column | str, specs: Column | None = None) -> Column:
-    t = F.lower(_joined(name, specs))
+def os(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = F.lower(text_of(name, specs) if text is None else text)
     return first_match(
         [
             (contains_any(t, ["windows 11", "win11", "w11"]), F.lit("Windows 11")),
@@ -131,8 +132,8 @@ def os(name: Column | str, specs: Column | None = None) -> Column:
     )
 
 
-def gpu(name: Column | str, specs: Column | None = None) -> Column:
-    t = _joined(name, specs)
+def gpu(name: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+    t = text_of(name, specs) if text is None else text
     low = F.lower(t)
 
     def tagged(prefix, pattern):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.functions import amazon, incehesap, mediamarkt, vatan
@@ -13,14 +13,35 @@ from shelfrank.sources import pages as P
 from shelfrank.sources.listings import as_listing
 
 DIALECTS = {"amazon": amazon, "incehesap": incehesap, "mediamarkt": mediamarkt, "vatan": vatan}
-ATTRIBUTES = ["screen", "storage", "memory", "cpu", "os", "gpu"]
+LISTING_ATTRIBUTES = {"screen_size": "screen", "ssd": "storage", "ram": "memory", "cpu": "cpu", "os": "os", "gpu": "gpu"}
 
 
-def attributes(shop: str, name: Column | str, specs: Column | None = None) -> dict[str, Column]:
-    """The six hardware columns of a listing, read from its title (and specification text)."""
-    d = DIALECTS[shop]
-    names = ["screen_size", "ssd", "ram", "cpu", "os", "gpu"]
-    return {c: getattr(d, a)(name, specs) for c, a in zip(names, ATTRIBUTES)}
+def add_attribute(df: DataFrame, target: str, attribute: str, shop: str, name: str, specs: str | None = None) -> DataFrame:
+    """One hardware column read from the title and specification columns."""
+    return add_attributes(df, shop, name, specs, {target: attribute})
+
+
+def add_attributes(
+    df: DataFrame, shop: str, name: str, specs: str | None = None, wanted: dict[str, str] = LISTING_ATTRIBUTES
+) -> DataFrame:
+    """Hardware columns of a listing, read from its title (and specification text).
+
+    Text that many rules look at is put in a column first, so that it is made once per
+    row: the joined text, and for one shop the model texts its tags are cut from.
+    """
+    module, spec = DIALECTS[shop], None if specs is None else F.col(specs)
+    if shop in ("amazon", "mediamarkt"):
+        return df.withColumns({c: getattr(module, a)(F.col(name), spec) for c, a in wanted.items()})
+    df = df.withColumn("_text", module.text_of(F.col(name), spec))
+    text = F.col("_text")
+    if shop == "vatan":
+        values = {c: getattr(vatan, a)(name, None, text) for c, a in wanted.items()}
+        return df.withColumns(values).drop("_text")
+    texts = {"cpu": incehesap.cpu_text, "gpu": incehesap.gpu_text}
+    df = df.withColumns({f"_{a}": f(name, None, text) for a, f in texts.items() if a in wanted.values()})
+    tags = {"cpu": lambda: incehesap.cpu_family("_cpu"), "gpu": lambda: incehesap.gpu_tag("_gpu", text)}
+    values = {c: tags[a]() if a in tags else getattr(incehesap, a)(name, None, text) for c, a in wanted.items()}
+    return df.withColumns(values).drop("_text", "_cpu", "_gpu")
 
 
 def _position():
@@ -29,7 +50,7 @@ def _position():
 
 def amazon_listings(pages: DataFrame) -> DataFrame:
     """Result cards that are not sponsored; prices and tags as the shop's file has them."""
-    found = P.cards(pages.where(~is_blocked_page("html")), "amazon").withColumns(attributes("amazon", "name"))
+    found = add_attributes(P.cards(pages.where(~is_blocked_page("html")), "amazon"), "amazon", "name")
     return as_listing(
         found.withColumns(
             {
@@ -46,7 +67,7 @@ def vatan_listings(pages: DataFrame) -> DataFrame:
     """Cards with a name of 10 characters and a price."""
     found = P.cards(pages, "vatan").withColumn("name", vatan.clean_name("name"))
     found = found.where(F.length("name") >= 10).withColumn("price", vatan.price("price_text")).where("price is not null")
-    return as_listing(found.withColumns(attributes("vatan", "name", F.col("specs"))))
+    return as_listing(add_attributes(found, "vatan", "name", "specs"))
 
 
 def mediamarkt_listings(pages: DataFrame) -> DataFrame:
@@ -54,9 +75,8 @@ def mediamarkt_listings(pages: DataFrame) -> DataFrame:
     found = P.cards(pages, "mediamarkt").select("*", _position())
     found = found.withColumns({"name": P.card_name("specs"), "price": P.card_price("specs")})
     found = found.where(F.col("name").isNotNull() & (F.col("price") > 10000))
-    values = attributes("mediamarkt", "name")
-    values.update(cpu=mediamarkt.cpu("name", F.col("specs")), os=mediamarkt.os("name", F.col("specs")))
-    return as_listing(keep_first(found.withColumns(values), ["name"]))
+    # One row per name first: the rest is read for the rows that stay.
+    return as_listing(add_attributes(keep_first(found, ["name"]), "mediamarkt", "name", "specs"))
 
 
 def product_details(pages: DataFrame) -> DataFrame:
@@ -64,16 +84,21 @@ def product_details(pages: DataFrame) -> DataFrame:
     d = pages.select("page_id", F.col("url").alias("product_url"), P.detail_fields("html").alias("d"))
     d = d.select("page_id", "product_url", "d.*")
     d = d.withColumn("spec_blob", F.array_join("specs", " | "))
-    text, specs = F.col("title"), F.col("spec_blob")
-    named = F.when(blank(text), F.col("product_url")).otherwise(text)
+    d = d.withColumn("_text", incehesap.text_of("title", F.col("spec_blob")))
+    title, text = F.col("title"), F.col("_text")
+    named = F.when(blank(title), F.col("product_url")).otherwise(title)
+
+    def read(function):
+        return function("title", None, text)
+
     return d.select(
         "page_id", "product_url", "title",
         P.first_price(F.col("price_texts")).alias("price_try"),
         stock_status(F.array_join("stock_hints", " ")).alias("stock_status"),
         incehesap.brand_word(named).alias("brand"), incehesap.model_words(named).alias("model"),
-        incehesap.cpu_text(text, specs).alias("cpu"), incehesap.gpu_text(text, specs).alias("gpu"),
-        incehesap.memory(text, specs).alias("ram_gb"), incehesap.storage(text, specs).alias("storage_gb"),
-        incehesap.screen(text, specs).alias("screen_inch"), incehesap.os(text, specs).alias("os"),
+        read(incehesap.cpu_text).alias("cpu"), read(incehesap.gpu_text).alias("gpu"),
+        read(incehesap.memory).alias("ram_gb"), read(incehesap.storage).alias("storage_gb"),
+        read(incehesap.screen).alias("screen_inch"), read(incehesap.os).alias("os"),
     )
 
 

@@ -84,7 +84,7 @@ def vendor(attribute, shop, spark, d):
     t, module = D.titles(spark, d), PL.DIALECTS[shop]
     if attribute == "price":
         return t.select("seq", module.price("price_text").alias("value"))
-    return t.select("seq", getattr(module, attribute)("title", F.col("specs")).alias("value"))
+    return PL.add_attribute(t, "value", attribute, shop, "title", "specs").select("seq", "value")
 
 
 def hinted_stock(spark, d):

@@ -143,10 +143,20 @@ MADE_PAGES = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input that comes in fewer pieces than there are cores, dealt out to all of them.
+
+    Parsing text is far dearer than moving it. Large inputs have more pieces than that
+    and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def sql_over(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """Runs SQL over the parquet tables it names, without leaving views behind."""
     tables = sorted(set(re.findall(r"\b(?:FROM|JOIN) (orders|customer|nation|pages)\b", query)))
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables}
     return spark.sql(re.sub(r"\b(FROM|JOIN) (orders|customer|nation|pages)\b", r"\1 {\2}", query), **frames)
 
 
