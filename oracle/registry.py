@@ -68,9 +68,12 @@ def _details(columns: str) -> str:
       FROM ({PRICE_TEXT}) AS d0 WHERE seq % 3 <> 2) AS d1"""
 
 
+def _of_usage(usage: str) -> str:
+    return f"SELECT * FROM ({D.PROFILES}) AS pu WHERE usage_key = '{usage}'"
+
+
 def _filtered(usage: str, fallback: bool) -> str:
-    profiles = f"SELECT * FROM ({D.PROFILES}) AS pu WHERE usage_key = '{usage}'"
-    return f"""{rec_ctes(profiles)} SELECT profile_id, count(*) AS n_rows, CAST(sum(seq) AS BIGINT) AS seq_sum, min(price) AS min_price
+    return f"""{rec_ctes(_of_usage(usage))} SELECT profile_id, count(*) AS n_rows, CAST(sum(seq) AS BIGINT) AS seq_sum, min(price) AS min_price
       FROM {'kept' if fallback else 'strict_rows'} GROUP BY profile_id"""
 
 
@@ -116,17 +119,17 @@ def all_sql() -> dict[str, str]:
         "budget_filter": f"{rec_ctes()} SELECT profile_id, n_in, n_thin, n_cap5, n_cap6, n_strict, n_pass, relaxed FROM decided",
         "weights": over(f"profile_id, {', '.join(f'{weight(p)} AS {p}' for p in rules.PARTS)}, {mix(0)} AS cpu, {mix(1)} AS gpu", D.PROFILES),
         "score_parts": over(f"seq, {', '.join(f'round(part_{p}, 6) AS {p}' for p in rules.PARTS)}", OWN_SCORED),
+        "score_breakdown": over(
+            "seq, concat_ws(' | ', " + ", ".join(f"concat('{p}:', printf('%.1f', part_{p}))" for p in rules.PARTS) + ") AS score_breakdown", OWN_SCORED),
         "dedup_url": over("seq, url, price", PREPARED, "QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"),
         "dedup_name_price": over(
             "seq, name, price", over("*", PREPARED, "QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"),
             "QUALIFY row_number() OVER (PARTITION BY name, price ORDER BY seq) = 1"),
         "rank": f"""SELECT profile_id, CAST(rank AS INT) AS rank, seq, price FROM (
             SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, price, seq) AS rank FROM ({OWN_SCORED}) AS r0) AS r1 WHERE rank <= 20""",
-        "gaming_top5_plain": f"""{rec_ctes(f"SELECT * FROM ({D.PROFILES}) AS pu WHERE usage_key = 'gaming'")}
+        "gaming_top5_plain": f"""{rec_ctes(_of_usage('gaming'))}
             SELECT profile_id, CAST(row_number() OVER w AS INT) AS rank, seq, price, {r6('score')} AS score FROM ({scored('SELECT * FROM w2')}) AS s
-            QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, price, seq)""".replace(
-            "QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, price, seq)",
-            "WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, price, seq) QUALIFY row_number() OVER w <= 5"),
+            WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, price, seq) QUALIFY row_number() OVER w <= 5""",
         "diverse_topn": over(f"profile_id, rank, seq, brand, {r6('score')} AS score", diverse(OWN_SCORED)),
         "recommend_batch": recommend(),
         "rec_summary": f"""SELECT profile_id, {r6('avg(score)')} AS avg_score, min(price) AS min_price, max(price) AS max_price, count(*) AS n FROM (
@@ -183,6 +186,6 @@ def all_sql() -> dict[str, str]:
         q[f"usage_filter_{usage}"] = _filtered(usage, False)
         q[f"usage_fallback_{usage}"] = _filtered(usage, True)
         q[f"score_total_{usage}"] = over(f"seq, profile_id, {r6('score')} AS score", OWN_SCORED, f"WHERE usage_key = '{usage}'")
-        q[f"recommend_{usage}"] = recommend(f"SELECT * FROM ({D.PROFILES}) AS pu WHERE usage_key = '{usage}'")
+        q[f"recommend_{usage}"] = recommend(_of_usage(usage))
     q.update({f"dev_fit_{m}": over(f"seq, profile_id, {r6(DEV_FIT)} AS fit", OWN, f"WHERE dev_mode = '{m}'") for m in rules.DEV_PRESETS})
     return q
