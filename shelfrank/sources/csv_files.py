@@ -24,6 +24,7 @@ from shelfrank.sources.snapshot import input_state, stored
 LOCAL_FILE = re.compile(r"^file:/+")  # the listing and the reader write local paths differently
 DELIMITERS = [",", ";", "\t", "|"]
 SEQ = "seq"
+BROADCAST_FILES = 100_000  # up to this many one-row-per-file entries are sent to every task
 
 
 def _listed(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> list[tuple[str, str]]:
@@ -98,13 +99,13 @@ def read_folder(
         [(LOCAL_FILE.sub("file:/", escaped), i, path.rsplit("/", 1)[-1]) for i, (path, escaped) in enumerate(files)],
         "_path string, _file int, source_file string",
     )
-    rows = rows.join(F.broadcast(numbered) if len(files) <= 100_000 else numbered, "_path")
+    rows = rows.join(F.broadcast(numbered) if len(files) <= BROADCAST_FILES else numbered, "_path")
     rows = rows.withColumn(SEQ, F.struct("_file", "_block", "_row")).drop("_path", "_block", "_row")
-    rows = _flag_number_prices(rows, numeric_price)
+    rows = _flag_number_prices(rows, numeric_price, len(files) <= BROADCAST_FILES)
     return rows.drop("_file")
 
 
-def _flag_number_prices(rows: DataFrame, numeric_price) -> DataFrame:
+def _flag_number_prices(rows: DataFrame, numeric_price, few_files: bool) -> DataFrame:
     flag = "price_is_number"
     if "price" not in rows.columns:
         return rows.withColumn(flag, F.lit(False))
@@ -116,7 +117,7 @@ def _flag_number_prices(rows: DataFrame, numeric_price) -> DataFrame:
     per_file = rows.groupBy("_file").agg(
         F.coalesce(F.every(F.col("price").rlike(NUMERIC_CELL)), F.lit(True)).alias(flag)
     )
-    return rows.join(per_file, "_file")
+    return rows.join(F.broadcast(per_file) if few_files else per_file, "_file")
 
 
 def inventory(rows: DataFrame) -> DataFrame:
