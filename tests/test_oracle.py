@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracle.registry import all_sql
+from shelfrank.plans.queries import all_queries
 from tests.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +28,8 @@ def test_query(spark, duck, name):
 
 
 def test_every_check_has_a_query_and_back():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
