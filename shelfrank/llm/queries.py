@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm import decontaminate, orc_ids, sharding
+from shelfrank.llm import ann, decontaminate, lang_id, orc_ids, sharding, toxicity, warc
 from shelfrank.llm.storage import table
 
-SHARDS = 24
+SHARDS, NEIGHBOURS, QUERY_EVERY = 24, 20, 20
+
+
+def op1_language(spark: SparkSession, d: str) -> DataFrame:
+    docs, held = table(spark, d, "documents"), lang_id.fold("doc_id", 4) == 2
+    model = lang_id.fit(docs.where(~held))
+    return lang_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
 def op2_rendezvous(spark: SparkSession, d: str) -> DataFrame:
@@ -17,14 +23,30 @@ def op2_rendezvous(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    rows = warc.read_warc(spark, warc.write_warc(table(spark, d, "pages")), payloads=False)
+    return rows.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+def op4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    index = ann.Index(table(spark, d, "embeddings"))
+    return index.search(index.rows.where(F.col("vec_id") % QUERY_EVERY == 0), NEIGHBOURS)
+
+
 def op5_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
 
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, held = table(spark, d, "documents"), toxicity.fold("doc_id", 3) == 1
+    model = toxicity.fit(docs.where(~held), table(spark, d, "labels"))
+    return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text", "passages")
+
+
 def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
     folder = orc_ids.write_ids(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return orc_ids.index(spark, folder)
 
 
-QUERIES = {q.__name__: q for q in (op2_rendezvous, op5_decontaminate, op10_orc_ids)}
+QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op9_toxicity, op10_orc_ids)}
 SQL: dict[str, str] = {}

@@ -59,6 +59,16 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def prefix_hash(words: Words, number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of those words that are longer, and which words these are."""
+    longer = np.flatnonzero(words.end[number] - words.start[number] > size)
+    at = words.start[number[longer]]
+    total = np.full(len(at), size, dtype=np.uint64)
+    for i in range(size):
+        total = total * _BASE + words.data[at + i].astype(np.uint64) + np.uint64(1)
+    return mix(total + np.uint64(0x5851F42D4C957F2D)), longer
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit values over all bits."""
     x = x.astype(np.uint64, copy=True)
