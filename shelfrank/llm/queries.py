@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm import ann, decontaminate, lang_id, orc_ids, sharding, toxicity, warc
+from shelfrank.llm import ann, decontaminate, jaccard, lang_id, orc_ids, sharding, toxicity, warc
 from shelfrank.llm.storage import table
 
 SHARDS, NEIGHBOURS, QUERY_EVERY = 24, 20, 20
@@ -37,6 +37,10 @@ def op5_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")))
 
 
+def op6_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.groups(table(spark, d, "documents"), size=3, percent=90)
+
+
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, held = table(spark, d, "documents"), toxicity.fold("doc_id", 3) == 1
     model = toxicity.fit(docs.where(~held), table(spark, d, "labels"))
@@ -48,5 +52,5 @@ def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
     return orc_ids.index(spark, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op9_toxicity, op10_orc_ids)}
+QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op9_toxicity, op10_orc_ids)}
 SQL: dict[str, str] = {}
