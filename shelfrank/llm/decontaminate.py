@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
+from shelfrank.llm.storage import keep_rows
 
 WINDOW, SHINGLE = 10, 3
 #: Item text whose windows one pass holds; about 20 times that in memory.
@@ -207,6 +208,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return merged.select(key, "n_words", single.alias("runs"), "items")
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that hold no window of the benchmark, as they were."""
+    for windows in blocks(benchmark, block_bytes=block_bytes):
+        windows.order(count_shingles(docs, text, windows.all_shingles()))
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def clean(column: pa.Array, shared=shared) -> np.ndarray:
+            out = np.ones(len(column), dtype=bool)
+            for at, _, found in W.pieces(column, W.ALNUM):
+                covered, _, _ = _find(found, shared.value)
+                out[at + found.text[covered]] = False
+            return out
+
+        docs = keep_rows(docs, text, clean)
+    return docs
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts and item digest of the rows of ``decontaminate``."""
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)

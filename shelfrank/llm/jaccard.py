@@ -315,3 +315,18 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id
     joined = components(found)
     named = sets.join(joined, sets["set_id"] == joined["vertex"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of each group, as it was.
+
+    Rows without shingles or without an id stay. Of rows that repeat an id, the one with the
+    smallest text hash stands for it.
+    """
+    from pyspark.sql import Window
+
+    heads = groups(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    found = docs.join(heads, F.col(key).cast("long") == F.col("_head")).drop("_head")
+    place = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    single = found.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return single.union(docs.where(F.col(key).isNull()))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
+from shelfrank.llm.storage import keep_rows
 
 FIT_ROWS, MAX_WORDS, MAX_GRAMS = 24_000, 150_000, 60_000
 LONGEST = 5
@@ -179,6 +180,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose language is known with a score of at least ``least``, as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda column: scores(shared.value, column)[1] >= least)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(0))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm import ann, brown, decontaminate, jaccard, lang_id, orc_ids, sharding, toxicity, warc
+from shelfrank.llm import ann, brown, decontaminate, jaccard, lang_id, orc_ids, pieces, sharding, toxicity, warc
 from shelfrank.llm.storage import table
 
 SHARDS, NEIGHBOURS, QUERY_EVERY = 24, 20, 20
@@ -41,13 +41,17 @@ def op6_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.groups(table(spark, d, "documents"), size=3, percent=90)
 
 
+def op7_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.digest(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_brown(spark: SparkSession, d: str) -> DataFrame:
     rows = brown.score(table(spark, d, "documents"), lang_id.fold("doc_id", 5) != 1)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
-    docs, held = table(spark, d, "documents"), toxicity.fold("doc_id", 3) == 1
+    docs, held = table(spark, d, "documents"), lang_id.fold("doc_id", 3) == 1
     model = toxicity.fit(docs.where(~held), table(spark, d, "labels"))
     return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text", "passages")
 
@@ -57,5 +61,5 @@ def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
     return orc_ids.index(spark, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op8_brown, op9_toxicity, op10_orc_ids)}
+QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op7_sentencepiece, op8_brown, op9_toxicity, op10_orc_ids)}
 SQL: dict[str, str] = {}

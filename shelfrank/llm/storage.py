@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.session import shared_folder, ship_package
@@ -18,3 +22,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_rows(docs: DataFrame, column: str, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows for whose value in ``column`` the function says so, with all their columns as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column(batch.schema.get_field_index(column)))))
+
+    return docs.mapInArrow(run, docs.schema)

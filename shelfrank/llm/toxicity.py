@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
-from shelfrank.llm.lang_id import fit_sample, fold
+from shelfrank.llm.lang_id import fit_sample
+from shelfrank.llm.storage import keep_rows
 
 FIT_ROWS, MAX_WORDS = 24_000, 50_000
 #: Weight of the prior as a share of all training words; least z and log-odds of a clear word; score of the others.
@@ -198,6 +199,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def scores(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score of each text, and its passages that are significant alone."""
+    x, spans = np.zeros(len(column)), [[] for _ in range(len(column))]
+    for at, _, found in W.pieces(column, W.ALNUM):
+        n = found.counts()
+        for t, own in passages(found, model):
+            s = np.array([v for _, _, v in own])
+            x[at + t] = evidence(s, n[t], model.scale, model.k)
+            least = np.log(model.k * n[t] / 0.05)
+            spans[at + t] = [{"first": a, "last": b, "score": v} for a, b, v in own if model.scale * v >= least]
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(x) + model.offset, -30, 30))), spans
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score``, ``predicted`` and ``passages`` to every row; the other columns pass through.
 
@@ -211,21 +225,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            x, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-            for at, _, found in W.pieces(texts, W.ALNUM):
-                n = found.counts()
-                for t, own in passages(found, model):
-                    s = np.array([v for _, _, v in own])
-                    x[at + t] = evidence(s, n[t], model.scale, model.k)
-                    least = np.log(model.k * n[t] / 0.05)
-                    spans[at + t] = [{"first": a, "last": b, "score": v} for a, b, v in own if model.scale * v >= least]
-            p = 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(x) + model.offset, -30, 30)))
+            p, spans = scores(shared.value, batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(spans, kind)], names=[*batch.schema.names, "score", "predicted", "passages"])
 
     return docs.mapInArrow(run, f"{schema}, score double, predicted int, passages array<struct<first:int,last:int,score:double>>")
 
 
-__all__ = ["Model", "evidence", "fit", "fold", "score", "segments"]
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda column: scores(shared.value, column)[0] < THRESHOLD)
+
