@@ -26,7 +26,7 @@ from shelfrank.llm import signature_tree as S
 from shelfrank.llm import words as W
 from shelfrank.llm.components import components
 from shelfrank.llm.lang_id import fit_sample
-from shelfrank.llm.storage import keep
+from shelfrank.llm.storage import keep, pruned_joins
 
 #: Sets below this size are routed by single shingles; sizes of a class differ by less than STEP.
 SMALL, STEP = 100, 1.5
@@ -141,8 +141,8 @@ def _tie(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
     """Sorted keys as differences, and documents, byte plane by byte plane, which compresses well."""
-    planes = [np.diff(keys, prepend=np.uint64(0)), docs.view(np.uint64)]
-    return b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8).T).tobytes() for p in planes)
+    planes = [np.diff(keys, prepend=np.uint64(0)), docs]
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(p).view(np.uint8).reshape(-1, 8).T).tobytes() for p in planes)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +152,6 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys, dtype=np.uint64), docs.view(np.int64)
 
 
-PASS = "kind int, a long, b long, c long, d long, block binary"
-SET, EDGE, BLOCK = 0, 1, 2
-
-
-def _rows(kind: int, a, b=None, c=None, d=None, block=None) -> pa.RecordBatch:
-    n = len(a)
-    longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, c, d)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, pa.nulls(n, pa.binary()) if block is None else pa.array(block, pa.binary())], names=["kind", "a", "b", "c", "d", "block"])
-
-
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of at least FREQUENT documents of a sample, in order."""
 
@@ -177,8 +167,20 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(often.toPandas()["value"].to_numpy(np.int64).view(np.uint64))
 
 
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles and two marks of every row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, found in W.pieces(batch.column(1)):
+                value, sizes = shingle_sets(found, size, np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(x, pa.int64()) for x in (sizes, *_marks(value, sizes))]], names=["doc_id", "n_shingles", "mark", "mark2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark long, mark2 long")
+
+
 def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
-    """One pass over the texts: sets (id, size, two marks), edges found in the task, packed keys."""
+    """One pass over the texts: packed keys by range of key, and from ``blocks`` on the edges that the task found."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
     shift = np.uint64(64 - (blocks - 1).bit_length())
 
@@ -187,22 +189,22 @@ def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
 
         def flush():
             keys, docs, u, v = _tie(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]))
-            yield _rows(EDGE, u, v)
             block, start = np.unique((keys >> shift).astype(np.int64), return_index=True)
             ends = np.append(start[1:], len(keys))
             for at in range(0, len(block), 256):
-                part = range(at, min(at + 256, len(block)))
-                yield _rows(BLOCK, block[at : at + 256], block=[_pack(keys[start[i] : ends[i]], docs[start[i] : ends[i]]) for i in part])
+                part = [_pack(keys[a:b], docs[a:b]) for a, b in zip(start[at : at + 256], ends[at : at + 256], strict=True)]
+                yield pa.record_batch([pa.array(block[at : at + 256]), pa.array(part, pa.binary())], names=["at", "block"])
+            cuts = range(0, len(u), 1000)
+            part = [_pack(u[a : a + 1000].astype(np.uint64), v[a : a + 1000]) for a in cuts]
+            place = [blocks + int(W.mix(u[a : a + 1])[0] % np.uint64(blocks)) for a in cuts]
+            yield pa.record_batch([pa.array(place, pa.int64()), pa.array(part, pa.binary())], names=["at", "block"])
 
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for at, to, found in W.pieces(batch.column(1)):
-                value, sizes = shingle_sets(found, size, shared.value)
-                a, b = _marks(value, sizes)
-                yield _rows(SET, ids.slice(at, to - at), sizes, a, b)
-                key, owner = router.keys(value, sizes)
+                key, owner = router.keys(*shingle_sets(found, size, shared.value))
                 good = known[at:to][owner]
                 held.append((key[good], number[at:to][owner[good]]))
                 rows += len(key)
@@ -212,27 +214,30 @@ def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PASS)
+    return docs.select("doc_id", "text").mapInArrow(run, "at long, block binary")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the documents of a key; rows (block, keys) come sorted by block."""
-    now, held = None, []
+def _meet(blocks: int):
+    """Edges between the documents of a key; rows (at, block) come sorted by the former."""
 
-    def tied():
-        parts = [_unpack(x) for x in held]
-        _, _, u, v = _tie(np.concatenate([k for k, _ in parts]), np.concatenate([d for _, d in parts]))
+    def tied(at: int, held: list[bytes]) -> pa.RecordBatch:
+        keys, docs = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
+        u, v = _tie(keys, docs)[2:] if at < blocks else (keys.view(np.int64), docs)
         return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if block != now and held:
-                yield tied()
-                held = []
-            now = block
-            held.append(data)
-    if held:
-        yield tied()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            for at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != now and held:
+                    yield tied(now, held)
+                    held = []
+                now = at
+                held.append(block)
+        if held:
+            yield tied(now, held)
+
+    return run
 
 
 def _traverse(size: int, percent: int):
@@ -280,11 +285,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     blocks = 1 << (max(LEAST_BLOCKS, docs.count() // 500) - 1).bit_length()
-    passed = keep(_route(docs, size, percent, blocks), "shingle-pass")
-    sets = passed.where(F.col("kind") == SET).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("mark"), F.col("d").alias("mark2"))
-    packed = passed.where(F.col("kind") == BLOCK).select(F.col("a").alias("at"), "block")
-    met = packed.repartition("at").sortWithinPartitions("at").mapInArrow(_meet, "u long, v long")
-    edges = met.union(passed.where(F.col("kind") == EDGE).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = keep(_sets(docs, size), "shingle-marks")
+    edges = _route(docs, size, percent, blocks).repartition("at").sortWithinPartitions("at").mapInArrow(_meet(blocks), "u long, v long")
     group = components(edges)
     same = ["n_shingles", "mark", "mark2"]
     some = sets.where("n_shingles > 0 and doc_id is not null")
@@ -294,13 +296,14 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     blocked = sizes.select("group", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     asked = grouped.join(blocked, "group").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     asked = keep(asked.select("group", "blocks", "block", F.col("set_id").alias("doc_id"), "mark"), "shingle-groups")
-    rows = docs.join(asked, "doc_id")
+    rows = docs.join(asked.where("blocks > 0"), "doc_id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("one"), F.greatest(b, F.col("block")).alias("two")))
     rows = rows.select("group", "block", "doc_id", "mark", "text", F.explode(meets).alias("p")).withColumn("slot", F.xxhash64("group", "p.one", "p.two"))
     rows = rows.repartitionByRange("slot").sortWithinPartitions("slot", "group", "p.one", "p.two", "doc_id")
     rows = rows.select("group", "p.one", "p.two", "block", "doc_id", "mark", "text")
-    found = keep(rows.mapInArrow(_traverse(size, percent), "u long, v long"), "links")
-    return sets.join(grouped.select(*same, "set_id"), same, "left").select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id")), found
+    with pruned_joins(docs.sparkSession):
+        found = keep(rows.mapInArrow(_traverse(size, percent), "u long, v long"), "links")
+    return sets.join(grouped.select(*same, "set_id"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("set_id", "doc_id")).alias("set_id")), found
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,7 +315,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id
     component. Rows that repeat an id are one document: all get its smallest component.
     """
     sets, found = link(docs, size, percent, key, text)
-    joined = components(found)
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("u"), F.max("set_id").alias("last")).where("u < last")
+    joined = components(found.union(sets.join(several, "doc_id").select("u", F.col("set_id").alias("v"))))
     named = sets.join(joined, sets["set_id"] == joined["vertex"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
 
@@ -325,8 +329,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_
     """
     from pyspark.sql import Window
 
-    heads = groups(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    found = docs.join(heads, F.col(key).cast("long") == F.col("_head")).drop("_head")
-    place = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
-    single = found.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    head, place = (next(n for n in (f"{name}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("head", "place"))
+    heads = groups(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    found = docs.join(heads, F.col(key).cast("long") == F.col(head)).drop(head)
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    single = found.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return single.union(docs.where(F.col(key).isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def pruned_joins(spark: SparkSession):
+    """Joins of a large table with a small filtered one are to drop rows by Spark's own Bloom filter before the shuffle.
+
+    Spark does this by itself for tables above 10 GB; the size of the filter stays limited
+    by its settings, and a larger small side is joined without one.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_rows(docs: DataFrame, column: str, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows for whose value in ``column`` the function says so, with all their columns as they were."""
 
