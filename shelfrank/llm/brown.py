@@ -42,7 +42,7 @@ START = CLASSES  # the history before the first frequent word
 
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width integers byte plane by byte plane, which compresses well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
