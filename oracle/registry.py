@@ -16,25 +16,41 @@ def over(select: str, rows: str = D.LISTINGS, where: str = "") -> str:
     return f"SELECT {select} FROM ({rows}) AS q {where}"
 
 
-def _tags() -> str:
-    tag = case(
-        [(f"gpu IS NULL", "'integrated'")] + [(f"contains(lower(gpu), {text(k)})", text(v)) for k, v in amazon.GPU_TAGS]
-        + [(has("lower(gpu)", r"((?:rtx|gtx|mx)\s*\d{3,4})"), f"replace({ex('lower(gpu)', r'((?:rtx|gtx|mx)\s*\d{3,4})')}, ' ', '')")],
+def _tag(gpu: str, cpu: str, os: str) -> tuple[str, str, str]:
+    card = r"((?:rtx|gtx|mx)\s*\d{3,4})"
+    g, o = f"lower({gpu})", f"lower({os})"
+    gpu_tag = case(
+        [(f"{gpu} IS NULL", "'integrated'")] + [(f"contains({g}, {text(k)})", text(v)) for k, v in amazon.GPU_TAGS]
+        + [(has(g, card), f"replace({ex(g, card)}, ' ', '')")],
         "'integrated'",
     )
-    cpu = "COALESCE(replace(trim(upper(cpu)), 'CORE ', ''), 'i5')"
-    os = case(
-        [(any_of("lower(os)", ["windows 11", "win11", "w11"]), "'Windows 11'"), (any_of("lower(os)", ["windows 10", "win10", "w10"]), "'Windows 10'"),
-         ("contains(lower(os), 'mac')", "'macOS'"), (any_of("lower(os)", ["linux", "ubuntu", "debian"]), "'Linux'"),
-         ("contains(lower(os), 'chrome')", "'ChromeOS'")], "'FreeDOS'")
-    return over(f"seq, {tag} AS gpu_tag, {cpu} AS cpu_tag, {os} AS os_tag")
+    os_tag = case(
+        [(any_of(o, ["windows 11", "win11", "w11"]), "'Windows 11'"), (any_of(o, ["windows 10", "win10", "w10"]), "'Windows 10'"),
+         (f"contains({o}, 'mac')", "'macOS'"), (any_of(o, ["linux", "ubuntu", "debian"]), "'Linux'"),
+         (f"contains({o}, 'chrome')", "'ChromeOS'")], "'FreeDOS'")
+    return gpu_tag, f"COALESCE(replace(trim(upper({cpu})), 'CORE ', ''), 'i5')", os_tag
 
 
-def _brand_model() -> str:
-    t = "trim(regexp_replace(name, '\\s+', ' ', 'g'))"
+def _tags() -> str:
+    gpu, cpu, os = _tag("gpu", "cpu", "os")
+    return over(f"seq, {gpu} AS gpu_tag, {cpu} AS cpu_tag, {os} AS os_tag")
+
+
+def _attributes(shop: str) -> str:
+    """The six hardware columns of a shop, from title and specs."""
+    return f"""{V.SCREEN[shop]} AS screen_size, {V.STORAGE[shop]} AS ssd, {V.CPU[shop]} AS cpu, {V.MEMORY[shop]} AS ram, {V.OS[shop]} AS os, {V.GPU[shop]} AS gpu"""
+
+
+def _brand_and_model(name: str) -> tuple[str, str]:
+    t = f"trim(regexp_replace({name}, '\\s+', ' ', 'g'))"
     w = f"upper(string_split({t}, ' ')[1])"
     brand = case([(f"{w} = '{k}'", f"'{v}'") for k, v in incehesap.BRAND_NAMES.items()], f"concat(upper(left({w}, 1)), lower(substr({w}, 2)))")
-    return over(f"seq, {brand} AS brand, trim(substr({t}, length(string_split({t}, ' ')[1]) + 1)) AS model")
+    return brand, f"trim(substr({t}, length(string_split({t}, ' ')[1]) + 1))"
+
+
+def _brand_model() -> str:
+    brand, model = _brand_and_model("name")
+    return over(f"seq, {brand} AS brand, {model} AS model")
 
 
 def _page_links() -> str:
@@ -43,9 +59,10 @@ def _page_links() -> str:
       WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href)
       WHEN starts_with(href, '#') THEN concat(regexp_replace(url, '#.*$', ''), href)
       ELSE concat(regexp_extract(url, '^([a-z]+://[^?#]*/)', 1), href) END"""
+    body = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
     return f"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, {link} AS link, regexp_matches(href, '/urun/|/notebook-|/laptop-') AS is_product
-      FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos
-            FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs FROM pages) AS a) AS b"""
+      FROM (SELECT page_id, url, replace(unnest(hrefs), '&amp;', '&') AS href, generate_subscripts(hrefs, 1) AS pos
+            FROM (SELECT page_id, url, regexp_extract_all({body}, '(?i)<a\\b[^>]*\\shref="([^"]*)"', 1) AS hrefs FROM pages) AS a) AS b"""
 
 
 def _page_titles() -> str:
@@ -60,12 +77,24 @@ PRICE_TEXT = f"SELECT *, price AS price_text FROM ({D.LISTINGS}) AS pt"
 
 
 def _details(columns: str) -> str:
-    """Product pages: two of three listings, with their own price unless it is held back."""
+    """Product pages of all listings, with their own price unless it is held back."""
     title = f"concat(CASE WHEN seq % 13 = 4 THEN 'ÜRÜN SİLİNECEK ' ELSE '' END, {TIDY_NAME})"
     return f"""SELECT {columns} FROM (
       SELECT *, trim({title}) AS title, CASE WHEN seq % 5 <> 1 THEN {V.PRICE['incehesap']} END AS own_price,
         concat('RAM ', COALESCE(ram, '-'), ' | ', 'Ekran ', COALESCE(screen_size, '-')) AS specs
-      FROM ({PRICE_TEXT}) AS d0 WHERE seq % 3 <> 2) AS d1"""
+      FROM ({PRICE_TEXT}) AS d0) AS d1"""
+
+
+def _incehesap_listings() -> str:
+    """Two of three cards find a product page, from which the hardware comes; the others have none."""
+    page = lambda e, other="NULL": f"CASE WHEN paged THEN {e} ELSE {other} END"
+    apple = has("title", r"\b(apple|macbook|mac\s|m[1-5])\b", True)
+    return f"""SELECT concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url, title AS name, {V.PRICE['incehesap']} AS price,
+        {page(f"CAST({V.SCREEN['incehesap']} AS DOUBLE)")} AS screen_size, {page(f"CAST({V.STORAGE['incehesap']} AS DOUBLE)")} AS ssd,
+        {page(V.CPU['incehesap'], "''")} AS cpu, {page(f"CAST({V.MEMORY['incehesap']} AS DOUBLE)")} AS ram, {page(V.OS['incehesap'], "''")} AS os,
+        {page(V.GPU['incehesap'], f"CASE WHEN {apple} THEN 'apple integrated' ELSE 'integrated' END")} AS gpu
+      FROM (SELECT *, {TIDY_NAME} AS title, seq % 3 <> 2 AS paged, concat('RAM ', COALESCE(ram, '-'), ' | ', 'Ekran ', COALESCE(screen_size, '-')) AS specs
+        FROM ({PRICE_TEXT}) AS p0) AS p1 WHERE NOT (paged AND seq % 13 = 4)"""
 
 
 def _of_usage(usage: str) -> str:
@@ -110,7 +139,7 @@ def all_sql() -> dict[str, str]:
         "listing_schema": over(
             """CASE WHEN source <> 'mediamarkt' THEN url END AS url, name, price, CASE WHEN source <> 'amazon' THEN screen_size END AS screen_size,
             ssd, CAST(NULL AS STRING) AS cpu, ram, CAST(NULL AS STRING) AS os, CASE WHEN source <> 'incehesap' THEN gpu END AS gpu"""),
-        "inventory": over("concat(source, '_laptops.csv') AS source_file, count(*) AS n_rows", where="GROUP BY source"),
+        "inventory": over("source AS shop, CAST(count(*) AS BIGINT) AS n_rows", where="GROUP BY source") + " UNION ALL SELECT 'empty', CAST(0 AS BIGINT)",
         "csv_round_trip": over("seq, price, ram_gb, ssd_gb, screen_size, brand, os", CLEANED),
         "history_append": over("source, count(*) AS n_rows, CAST(sum(seq) AS BIGINT) AS seq_sum", where="GROUP BY source"),
         "new_listings_anti": f"""SELECT seq, url FROM ({D.LISTINGS}) AS n WHERE scraped_at >= TIMESTAMP '1998-01-01' AND NOT EXISTS (
@@ -126,7 +155,7 @@ def all_sql() -> dict[str, str]:
             "seq, name, price", over("*", PREPARED, "QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"),
             "QUALIFY row_number() OVER (PARTITION BY name, price ORDER BY seq) = 1"),
         "rank": f"""SELECT profile_id, CAST(rank AS INT) AS rank, seq, price FROM (
-            SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, price, seq) AS rank FROM ({OWN_SCORED}) AS r0) AS r1 WHERE rank <= 20""",
+            SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, price, seq) AS rank FROM ({OWN_SCORED}) AS r0) AS r1""",
         "gaming_top5_plain": f"""{rec_ctes(_of_usage('gaming'))}
             SELECT profile_id, CAST(row_number() OVER w AS INT) AS rank, seq, price, {r6('score')} AS score FROM ({scored('SELECT * FROM w2')}) AS s
             WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, price, seq) QUALIFY row_number() OVER w <= 5""",
@@ -157,28 +186,30 @@ def all_sql() -> dict[str, str]:
             "/errors/validatecaptcha", "enter the characters you see below"]) + " AS blocked FROM pages",
         "page_prices": _details("seq AS page_id, own_price AS price"),
         "page_specs": _details(
-            f"""seq AS page_id, title, own_price AS price_try,
+            f"""seq AS page_id, concat('https://shop.example/urun/', CAST(seq AS STRING)) AS product_url, title, own_price AS price_try,
             CASE seq % 3 WHEN 0 THEN 'out_of_stock' WHEN 1 THEN 'in_stock' ELSE 'unknown' END AS stock_status,
+            {_brand_and_model('title')[0]} AS brand, {_brand_and_model('title')[1]} AS model, {V._inche_cpu_text()} AS cpu, {V._inche_gpu_text()} AS gpu,
             {V.MEMORY['incehesap']} AS ram_gb, {V.STORAGE['incehesap']} AS storage_gb, {V.SCREEN['incehesap']} AS screen_inch, {V.OS['incehesap']} AS os"""),
         "card_lines": over(
             f"""seq, CASE WHEN length(trim(name)) > 20 AND {any_of('lower(name)', ['asus', 'lenovo', 'hp', 'dell', 'acer', 'msi', 'apple', 'macbook',
             'monster', 'casper', 'huawei', 'samsung', 'laptop', 'notebook'])} THEN trim(name) END AS name,
             CASE WHEN contains(price, 'TL') OR regexp_matches(price, '\\d{{2}}\\.\\d{{3}}') THEN {V.PRICE['mediamarkt']} END AS price""", PRICE_TEXT),
         "stream_append": over("source, count(*) AS n_rows, CAST(sum(seq) AS BIGINT) AS seq_sum", where="GROUP BY source"),
-        "stream_dedup": over("DISTINCT url", where="WHERE url IS NOT NULL"),
-        "page_listings_amazon": over(
-            f"concat('https://shop.example/dp/', CAST(seq AS STRING)) AS url, trim(name) AS name, CAST({V.PRICE['amazon']} AS STRING) AS price",
-            PRICE_TEXT, "WHERE seq % 7 <> 2"),
-        "page_listings_vatan": f"""SELECT concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url, name, price FROM (
-            SELECT seq, regexp_replace(trim(name), '\\s*\\d[\\d\\.,]{{2,}}\\s*$', '') AS short, trim(name) AS name, {V.PRICE['vatan']} AS price
-            FROM ({PRICE_TEXT}) AS p0) AS p1 WHERE price IS NOT NULL""",
-        "page_listings_mediamarkt": f"""SELECT concat('https://shop.example/tr/product/', CAST(seq AS STRING)) AS url, name, price FROM (
-            SELECT seq, trim(name) AS name, CASE WHEN contains(price, 'TL') OR regexp_matches(price, '\\d{{2}}\\.\\d{{3}}') THEN {V.PRICE['mediamarkt']} END AS price
+        "stream_dedup": over("DISTINCT url"),
+        "stream_files": over("source, count(*) AS n_rows, count(url) AS n_url, count(name) AS n_name, count(price) AS n_price, count(cpu) AS n_cpu", where="GROUP BY source"),
+        "page_listings_amazon": f"""SELECT concat('https://shop.example/dp/', CAST(seq AS STRING)) AS url, title AS name, CAST({V.PRICE['amazon']} AS STRING) AS price,
+            screen_size, ssd, {_tag('gpu', 'cpu', 'os')[1]} AS cpu, ram, {_tag('gpu', 'cpu', 'os')[2]} AS os, {_tag('gpu', 'cpu', 'os')[0]} AS gpu
+            FROM (SELECT seq, title, price_text, {_attributes('amazon')} FROM (SELECT seq, trim(name) AS title, price_text FROM ({PRICE_TEXT}) AS p0 WHERE seq % 7 <> 2) AS p1) AS p2""",
+        "page_listings_vatan": f"""SELECT concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url, title AS name, {V.PRICE['vatan']} AS price, {_attributes('vatan')}
+            FROM (SELECT seq, trim(name) AS title, concat(trim(name), ' 12.345 TL ', price_text) AS specs, price_text FROM ({PRICE_TEXT}) AS p0) AS p1
+            WHERE {V.PRICE['vatan']} IS NOT NULL""",
+        "page_listings_mediamarkt": f"""SELECT concat('https://shop.example/tr/product/', CAST(seq AS STRING)) AS url, title AS name, price, {_attributes('mediamarkt')} FROM (
+            SELECT seq, trim(name) AS title, concat('Yeni', chr(10), trim(name), chr(10), COALESCE(price, 'fiyat yok')) AS specs,
+              CASE WHEN contains(price, 'TL') OR regexp_matches(price, '\\d{{2}}\\.\\d{{3}}') THEN {V.PRICE['mediamarkt']} END AS price
             FROM ({PRICE_TEXT}) AS p0 WHERE length(trim(name)) > 20 AND {any_of('lower(name)', ['asus', 'lenovo', 'hp', 'dell', 'acer', 'msi', 'apple',
             'macbook', 'monster', 'casper', 'huawei', 'samsung', 'laptop', 'notebook'])}) AS p1
-            WHERE price > 10000 QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) = 1""",
-        "page_listings_incehesap": f"""SELECT concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url, {TIDY_NAME} AS name,
-            {V.PRICE['incehesap']} AS price FROM ({PRICE_TEXT}) AS p0 WHERE NOT (seq % 3 <> 2 AND seq % 13 = 4)""",
+            WHERE price > 10000 QUALIFY row_number() OVER (PARTITION BY title ORDER BY seq) = 1""",
+        "page_listings_incehesap": _incehesap_listings(),
     }
     for table, name in [(V.PRICE, "price"), (V.SCREEN, "screen"), (V.STORAGE, "ssd"), (V.MEMORY, "ram"), (V.CPU, "cpu"), (V.OS, "os"), (V.GPU, "gpu")]:
         q.update({f"vendor_{name}_{shop}": over(f"seq, {e} AS value", D.TITLES) for shop, e in table.items()})

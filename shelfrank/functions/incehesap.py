@@ -44,10 +44,13 @@ def text_of(title: Column | str, specs: Column | None = None) -> Column:
     return col(title) if specs is None else F.concat(col(title), F.lit(" | "), F.coalesce(specs, F.lit("")))
 
 
-def price(text: Column | str) -> Column:
-    """5000..500000; a number from 10 to below 1000 counts as thousands."""
-    t = F.regexp_replace(col(text), "TL|₺", "")
-    t = strip(t)
+def tidy_price(text: Column | str) -> Column:
+    """Price text without currency and blanks around it."""
+    return strip(F.regexp_replace(col(text), "TL|₺", ""))
+
+
+def plain_price(t: Column) -> Column:
+    """Number text with a point for decimals, from a tidied one."""
     dot, comma = t.contains("."), t.contains(",")
     no_dot = F.replace(t, F.lit("."), F.lit(""))
     parts = F.split(t, ",")
@@ -58,11 +61,17 @@ def price(text: Column | str) -> Column:
         .when(comma, F.replace(t, F.lit(","), F.lit("")))
         .otherwise(no_dot)
     )
-    number = to_double(group(plain, r"(\d+(?:\.\d{1,2})?)"))
-    thousands = number * 1000
-    return F.when(number.between(5000, 500000), number).when(
-        (number >= 10) & (number < 1000) & thousands.between(5000, 500000), thousands
-    )
+    return group(plain, r"(\d+(?:\.\d{1,2})?)")
+
+
+def price_of(plain: Column) -> Column:
+    """5000..500000; a number from 10 to below 1000 counts as thousands."""
+    number = to_double(plain)
+    return F.when(number.between(5000, 500000), number).when((number >= 10) & (number < 1000) & (number * 1000).between(5000, 500000), number * 1000)
+
+
+def price(text: Column | str) -> Column:
+    return price_of(plain_price(tidy_price(text)))
 
 
 def screen(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:

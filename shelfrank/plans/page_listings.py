@@ -103,7 +103,13 @@ def product_details(pages: DataFrame) -> DataFrame:
 
 
 def fill_from_cards(details: DataFrame, found: DataFrame) -> DataFrame:
-    """Card price and title where the product page has none; cards without a page stay, with what they have."""
+    """Card price and title where the product page has none; cards without a page stay, with what they have.
+
+    One card and one page of each product address: the first card in page order, the page
+    with the smallest id.
+    """
+    details = keep_first(details, ["product_url"], seq="page_id").drop("page_id")
+    found = keep_first(found.withColumn("_at", F.struct("page_id", "pos")), ["url"], seq="_at")
     c = found.select(
         F.col("url").alias("product_url"), F.col("name").alias("card_title"),
         incehesap.price("price_text").alias("card_price"), F.struct("page_id", "pos").alias("seq"),
@@ -125,8 +131,7 @@ def fill_from_cards(details: DataFrame, found: DataFrame) -> DataFrame:
 def incehesap_listings(list_pages: DataFrame, product_pages: DataFrame) -> DataFrame:
     """List cards joined to their product pages, one row per product, noise titles out."""
     found = P.cards(list_pages, "incehesap").where(~blank(F.col("url")))
-    rows = fill_from_cards(product_details(product_pages).drop("page_id"), found)
-    rows = keep_first(rows, ["product_url"]).where(~is_noise_title("title"))
+    rows = fill_from_cards(product_details(product_pages), found).where(~is_noise_title("title"))
     blob = title_blob("title", "cpu", "gpu", "os", "model", "brand")
     return as_listing(
         rows.select(

@@ -125,13 +125,8 @@ def listing_schema(spark, d):
     return as_listing(rows)
 
 
-def inventory(spark, d):
-    rows = D.listings(spark, d).withColumn("source_file", F.concat("source", F.lit("_laptops.csv")))
-    return csv_files.inventory(rows)
-
-
-def csv_round_trip(spark, d):
-    """Shop files written, found, read back under their own headers, and cleaned."""
+def written_shops(spark, d) -> str:
+    """Shop files as the shops deliver them; one shop's prices are plain numbers, one has no rows."""
     folder = shared_folder(spark, "shops")
     rows = D.listings(spark, d).withColumn("seq_no", F.col("seq").cast("string"))
     base = ["seq_no", "url", "name", "price", "screen_size", "ssd", "cpu", "ram", "os", "gpu"]
@@ -144,21 +139,45 @@ def csv_round_trip(spark, d):
     for shop, (columns, sep) in layouts.items():
         out = rows.where(F.col("source") == shop).select(*columns)
         if shop == "vatan":
-            out = out.withColumnsRenamed({"price": " PRICE ", "name": "Name"})
+            out = out.withColumn("price", F.concat("price", F.lit(" TL"))).withColumnsRenamed({"price": " PRICE ", "name": "Name"})
         csv_files.save_csv(out, f"{folder}/{shop}", sep=sep)
-    raw = csv_files.read_folder(spark, folder, numeric_price=False, recursive=True)
+    csv_files.save_csv(rows.limit(0).select(*base).coalesce(1), f"{folder}/empty")
+    return folder
+
+
+def inventory(spark, d):
+    """Rows of each shop's files as found, the shop without rows among them."""
+    found = csv_files.inventory(spark, written_shops(spark, d), recursive=True)
+    shop = F.element_at(F.split("path", "/"), -2).alias("shop")
+    return found.groupBy(shop).agg(F.sum("n_rows").alias("n_rows"))
+
+
+def csv_round_trip(spark, d):
+    """Shop files written, found, read back under their own headers, and cleaned."""
+    raw = csv_files.read_folder(spark, written_shops(spark, d), recursive=True)
     return clean_data(raw.drop("seq")).select(
         F.col("seq_no").cast("bigint").alias("seq"), "price", "ram_gb", "ssd_gb", "screen_size", "brand", "os"
     )
 
 
 def append_history(spark, d):
-    """Two appends (first half year, then the rest), then rows per source from the table."""
+    """One table written by a batch (first half years) and by two streams with states of their own, the
+    first of which is run twice; then rows per source."""
     table = shared_folder(spark, "history")
-    rows = D.listings(spark, d).withColumnRenamed("scraped_at", "seen")
-    for part in (F.month("seen") <= 6, F.month("seen") > 6):
-        history.append(rows.where(part), table)
-    return spark.read.parquet(table).groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("seq").alias("seq_sum"))
+    history.append(D.listings(spark, d).withColumnRenamed("scraped_at", "seen").where("month(seen) <= 6").withColumnRenamed("seen", "day"), table)
+    rows, states = orders_stream(spark, d), [shared_folder(spark, "state") for _ in range(2)]
+    for months, state in (("between 7 and 9", 0), ("between 7 and 9", 0), ("> 9", 1)):
+        HS.append_stream(rows.where(f"month(scraped_at) {months}"), table, states[state]).awaitTermination()
+    return history.read(spark, table).groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("seq").alias("seq_sum"))
+
+
+def stream_files(spark, d):
+    """Shop files with headers of their own, appended to the history as they are found."""
+    folder, table, state = written_shops(spark, d), shared_folder(spark, "history"), shared_folder(spark, "state")
+    shop = F.element_at(F.split("path", "/"), -2)
+    HS.append_files(spark, folder, table, state, recursive=True, source=shop).awaitTermination()
+    sums = [F.count("*").alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in ("url", "name", "price", "cpu")]]
+    return history.read(spark, table).groupBy("source").agg(*sums)
 
 
 def new_listings(spark, d):
@@ -265,7 +284,7 @@ def plain_top5(spark, d):
     rule = constants.select(*R.FILTER_COLUMNS)
     rows = prepared(spark, d)
     table = R.decide_filters(R.count_rows(rows, rule, load), rule, load)
-    pairs = R.candidates(R.fold_offers(rows), table, load)
+    pairs = R.candidates(rows, table, load)
     scored = R.score_pairs(pairs, constants.select("profile_id", *R.SCORE_COLUMNS), load)
     return rank_all(scored, 5).select("profile_id", "rank", "seq", "price", r6("score").alias("score"))
 
@@ -280,7 +299,7 @@ def dedup_name_price(spark, d):
 
 def ranked(spark, d):
     rows = own_scores(spark, d).withColumn("pno", F.col("profile_id"))
-    return rank_all(rows, 20).select("profile_id", "rank", "seq", "price")
+    return rank_all(rows).select("profile_id", "rank", "seq", "price")
 
 
 # --- choices and summaries ----------------------------------------------------------------
@@ -327,10 +346,12 @@ def pages(spark, d):
 
 
 def page_titles(spark, d):
+    ship_package(spark)
     return pages(spark, d).select("page_id", P.page_title("html").alias("title"))
 
 
 def page_links(spark, d):
+    ship_package(spark)
     return P.page_links(pages(spark, d))
 
 
@@ -344,13 +365,12 @@ def made_pages(kind, spark, d):
 
 
 def page_prices(spark, d):
-    t = made_pages("detail", spark, d)
+    t = made_pages("detail_all", spark, d)
     return t.select("page_id", P.first_price(P.price_texts("html")).alias("price"))
 
 
 def page_specs(spark, d):
-    t = PL.product_details(made_pages("detail", spark, d))
-    return t.select("page_id", "title", "price_try", "stock_status", "ram_gb", "storage_gb", "screen_inch", "os")
+    return PL.product_details(made_pages("detail_all", spark, d))
 
 
 def card_lines(spark, d):
@@ -360,9 +380,9 @@ def card_lines(spark, d):
 
 def page_listings(shop, spark, d):
     if shop == "incehesap":
-        return PL.incehesap_listings(made_pages("incehesap", spark, d), made_pages("detail", spark, d)).select("url", "name", "price")
+        return PL.incehesap_listings(made_pages("incehesap", spark, d), made_pages("detail", spark, d))
     reader = {"amazon": PL.amazon_listings, "vatan": PL.vatan_listings, "mediamarkt": PL.mediamarkt_listings}[shop]
-    return reader(made_pages(shop, spark, d)).select("url", "name", "price")
+    return reader(made_pages(shop, spark, d))
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -378,14 +398,14 @@ def orders_stream(spark, d) -> DataFrame:
 def stream_append(spark, d):
     table, state = shared_folder(spark, "history"), shared_folder(spark, "state")
     HS.append_stream(orders_stream(spark, d), table, state).awaitTermination()
-    return spark.read.parquet(table).groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("seq").alias("seq_sum"))
+    return history.read(spark, table).groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("seq").alias("seq_sum"))
 
 
 def stream_dedup(spark, d):
-    """Urls seen at least once; the delay spans the whole input, so each comes out once."""
+    """Urls seen at least once, and one row for all listings without one."""
     table, state = shared_folder(spark, "seen"), shared_folder(spark, "state")
-    rows = orders_stream(spark, d).where("url is not null").select("url", "scraped_at")
-    return HS.run_to_table(HS.first_sightings(rows, "url", "4000 days"), table, state).select("url")
+    rows = orders_stream(spark, d).select("url", "scraped_at")
+    return HS.run_to_table(HS.first_sightings(rows), table, state).select("url")
 
 
 def all_queries() -> dict:
@@ -406,7 +426,7 @@ def all_queries() -> dict:
         budget_slider=partial(facet, facets.budget_slider), ram_distribution=ram_distribution, gpu_top10=gpu_top10,
         price_stats=price_stats, page_titles=page_titles, page_links=page_links, bad_pages=bad_pages,
         page_prices=page_prices, page_specs=page_specs, card_lines=card_lines,
-        stream_append=stream_append, stream_dedup=stream_dedup,
+        stream_append=stream_append, stream_dedup=stream_dedup, stream_files=stream_files,
     )
     for usage in rules.USAGES:
         q[f"usage_filter_{usage}"] = partial(filtered, usage, False)

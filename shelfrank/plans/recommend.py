@@ -1,36 +1,40 @@
 """Recommendations for a table of profiles over a table of prepared listings.
 
-One lazy plan for all profiles. What grows with the data:
+Up to BROADCAST_PROFILES profiles are read on the driver and become part of the plan; more
+are written to the shared folder under a name made from their content. All else is one
+lazy plan. What grows with the data:
 
-* repeated offers (same url, name, price and hardware) are folded to their first
-  occurrence with a partial aggregate, since they pass or fail together and only the
-  first can survive duplicate removal;
-* the counts that decide filters come from a histogram of (price, hardware), which the
-  number of listings does not enlarge beyond its distinct values;
+* the counts that decide filters come from listings counted by price step and hardware;
+  only the two steps that a budget cuts are looked at row by row;
 * profiles meet offers on price steps (equi-join), so only offers in budget are compared,
   and only offers that pass every filter leave the join;
-* duplicate removal and ranking keep one or a few rows per group in every task before
-  anything is shuffled, so one url, name or profile may hold most of the rows.
+* listings, not pairs, are dealt out by url, so a url's first offer per profile is found
+  where the pairs are made. Only offers whose name and price stand under several urls, those
+  without a url and those of very frequent urls go through shuffles of pairs, which keep
+  one row per group in every task;
+* ranking keeps a few rows per profile in every task before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfrank.functions.scoring import FEATURES, INF, add_features, add_profile_constants, add_score, breakdown_text
 from shelfrank.operators import filters
 from shelfrank.operators.dedup import keep_first
 from shelfrank.operators.profiles import PROFILE_SCHEMA, complete_profiles
 from shelfrank.operators.ranking import diverse_top, summarise
-from shelfrank.session import shared_folder
+from shelfrank.session import shared_root
 
 OFFER_COLUMNS = [
     "url", "name", "price", "brand", "os", "screen_size", "ram_gb", "ssd_gb", "cpu", "cpu_score", "gpu_norm", "gpu_score",
 ]
-COUNT_COLUMNS = ["price", "brand", "os", "screen_size", "ram_gb", "ssd_gb", "cpu_score", "gpu_score", "dgpu", "cuda"]
+COUNT_COLUMNS = ["brand", "os", "screen_size", "ram_gb", "ssd_gb", "cpu_score", "gpu_score", "dgpu", "cuda"]
 FILTER_COLUMNS = [
     "pno", "min_budget", "max_budget", "usage_key", "min_gpu_score_required", "gaming_min_gpu", "allowed_brands",
     "allowed_oses", "min_ram", "min_ssd", "exclude_apple_in_gaming", "dev",
@@ -51,7 +55,10 @@ PRICE_STEP, LAST_STEP = 5000, 100  # the last step is open-ended
 BROADCAST_PROFILES = 2000
 # Up to this many result rows are sent to every task to fetch their offer columns.
 BROADCAST_RESULTS = 100_000
-JOIN_SALTS = 32
+# Rows of a price step that meet profiles in one task, where both sides are shuffled.
+STEP_ROWS = 200_000
+# Offers of one url above which they are not gathered in one task.
+FREQUENT_URL = 10_000
 
 
 @dataclass(frozen=True)
@@ -80,13 +87,23 @@ def measure(profiles: DataFrame) -> ProfileLoad:
 
 
 def store_profiles(profiles: DataFrame) -> tuple[DataFrame, ProfileLoad]:
-    """Complete profiles, numbered ``pno``, as a table of their own because the plan reads
-    them several times; and their size."""
+    """Complete profiles, numbered ``pno``, in a form that can be read several times; and their size."""
     spark = profiles.sparkSession
-    target = shared_folder(spark, "profiles")
     complete = complete_profiles(profiles).where(F.col("profile_id").isNotNull())
-    complete.withColumn("pno", F.monotonically_increasing_id()).write.parquet(target)
-    stored = spark.read.parquet(target)
+    few = complete.limit(BROADCAST_PROFILES + 1).collect()
+    if len(few) <= BROADCAST_PROFILES:
+        schema = T.StructType([*complete.schema.fields, T.StructField("pno", T.LongType())])
+        local = spark.createDataFrame([(*r, i) for i, r in enumerate(few)], schema)
+        low, high = min((r.min_budget for r in few), default=0.0), max((r.max_budget for r in few), default=0.0)
+        return local, ProfileLoad(len(few), max((r.top_n for r in few), default=1) or 1, low, high)
+    rows = complete.withColumn("_row", F.xxhash64(*complete.columns))
+    content = rows.agg(F.count("*"), F.sum(F.col("_row").cast("decimal(38,0)")), F.bit_xor("_row")).first()
+    target = f"{shared_root(spark)}/profiles-{'-'.join(map(str, content))}"
+    try:
+        stored = spark.read.parquet(target)
+    except AnalysisException:
+        complete.withColumn("pno", F.monotonically_increasing_id()).write.mode("overwrite").parquet(target)
+        stored = spark.read.parquet(target)
     return stored, measure(stored)
 
 
@@ -95,38 +112,55 @@ def _step(price: Column) -> Column:
     return F.floor(F.least(F.greatest(price.cast("double"), F.lit(0.0)), F.lit(top)) / PRICE_STEP).cast("int")
 
 
+def _meet(rows: DataFrame, wide: DataFrame, load: ProfileLoad) -> DataFrame:
+    """Rows and profile rows of the same price step."""
+    if load.few:
+        return rows.join(F.broadcast(wide), "_step")
+    # Both sides are shuffled: a price step is cut into parts by its number of rows, and
+    # only its own profiles are copied to them.
+    parts = rows.groupBy("_step").agg(F.ceil(F.count("*") / STEP_ROWS).cast("int").alias("_parts"))
+    parts = F.broadcast(parts)  # a row per price step
+    rows = rows.join(parts, "_step").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).drop("_parts")
+    wide = wide.join(parts, "_step").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return rows.join(wide, ["_step", "_part"]).drop("_part")
+
+
+def _budget_steps(profiles: DataFrame) -> DataFrame:
+    inside = profiles.where(F.col("min_budget") <= F.col("max_budget"))
+    return inside.withColumns({"_low": _step(F.col("min_budget")), "_high": _step(F.col("max_budget"))})
+
+
 def match_profiles(rows: DataFrame, profiles: DataFrame, condition: Column, load: ProfileLoad) -> DataFrame:
     """Pairs of a row and a profile whose budget holds its price and that meet the condition."""
-    rows = rows.withColumn("_step", _step(F.col("price")))
-    wide = profiles.where(F.col("min_budget") <= F.col("max_budget")).withColumn(
-        "_step", F.explode(F.sequence(_step(F.col("min_budget")), _step(F.col("max_budget"))))
-    )
-    if load.few:
-        joined = rows.join(F.broadcast(wide), "_step")
-    else:
-        # Both sides are shuffled: a price step with very many rows is cut into parts.
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))
-        wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-        joined = rows.join(wide, ["_step", "_salt"]).drop("_salt")
+    wide = _budget_steps(profiles).withColumn("_step", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    joined = _meet(rows.withColumn("_step", _step(F.col("price"))), wide, load)
     return joined.where(filters.in_budget() & condition).drop("_step")
 
 
 def count_rows(listings: DataFrame, profiles: DataFrame, load: ProfileLoad) -> DataFrame:
-    """Per profile: rows in budget, rows thin enough, rows under each graphics cap, rows passing."""
-    histogram = listings.groupBy(*COUNT_COLUMNS).agg(F.count("*").alias("n"))
-    pairs = match_profiles(histogram, profiles, filters.facets(), load)
+    """Per profile: rows in budget, rows thin enough, rows under each graphics cap, rows passing.
+
+    Steps that lie within a budget are counted by hardware, whatever the number of rows;
+    rows are looked at one by one only in the steps where a budget begins and ends.
+    """
+    rows = listings.select("price", *COUNT_COLUMNS).where("price is not null").withColumn("_step", _step(F.col("price")))
+    cells = rows.groupBy("_step", *COUNT_COLUMNS).agg(F.count("*").alias("n"))
+    steps = _budget_steps(profiles)
+    last = F.lit(LAST_STEP)  # open-ended, so never within a budget
+    within = steps.where(F.col("_high") - F.col("_low") > 1)
+    within = within.withColumn("_step", F.explode(F.sequence(F.col("_low") + 1, F.col("_high") - 1))).where(F.col("_step") < last)
+    ends = steps.withColumn("_step", F.explode(F.array_distinct(F.array("_low", "_high"))))
     thin = F.col("screen_size") <= 14.5
 
-    def total(cond):
-        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+    def totals(pairs):
+        sum_of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+        return pairs.where(filters.facets()).groupBy("pno").agg(
+            F.sum("n").alias("n_in"), sum_of(thin).alias("n_thin"), sum_of(thin & (F.col("gpu_score") <= 5.0)).alias("n_cap5"),
+            sum_of(thin & (F.col("gpu_score") <= 6.0)).alias("n_cap6"), sum_of(filters.usage_strict()).alias("n_strict"),
+        )
 
-    return pairs.groupBy("pno").agg(
-        F.sum("n").alias("n_in"),
-        total(thin).alias("n_thin"),
-        total(thin & (F.col("gpu_score") <= 5.0)).alias("n_cap5"),
-        total(thin & (F.col("gpu_score") <= 6.0)).alias("n_cap6"),
-        total(filters.usage_strict()).alias("n_strict"),
-    )
+    both = totals(_meet(cells, within, load)).unionByName(totals(_meet(rows.withColumn("n", F.lit(1)), ends, load).where(filters.in_budget())))
+    return both.groupBy("pno").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_thin", "n_cap5", "n_cap6", "n_strict")])
 
 
 def decide_filters(counts: DataFrame, profiles: DataFrame, load: ProfileLoad) -> DataFrame:
@@ -152,28 +186,42 @@ def passes() -> Column:
     return F.when(F.col("relaxed"), filters.usage_relaxed()).otherwise(strict) & filters.gaming_gate()
 
 
-def fold_offers(listings: DataFrame) -> DataFrame:
-    """One row per distinct offer, at its first position.
+def score_pairs(pairs: DataFrame, constants: DataFrame, load: ProfileLoad) -> DataFrame:
+    return add_score(pairs.join(F.broadcast(constants) if load.few else constants, "pno"))
 
-    The features are grouped too, though the offer fixes them: so they are worked out
-    before the shuffle and not once per pair after it.
-    """
-    return listings.groupBy(*OFFER_COLUMNS, *FEATURES).agg(F.min("seq").alias("seq"))
 
+def with_features(listings: DataFrame) -> DataFrame:
+    """Listings with their profile-free features, which a stored table may have already."""
+    return listings if set(FEATURES) <= set(listings.columns) else add_features(listings)
 
-def score_pairs(pairs: DataFrame, constants: DataFrame, load: ProfileLoad) -> DataFrame:
-    return add_score(pairs.join(F.broadcast(constants) if load.few else constants, "pno"))
+
+def shared_urls(keys: DataFrame) -> DataFrame:
+    """url_hash of urls one of whose offers has its name and price under another url too, and of frequent ones."""
+    spread = keys.groupBy("name_hash").agg(F.min("url_hash").alias("a"), F.max("url_hash").alias("b")).where("a <> b").select("name_hash")
+    tied = keys.join(spread, "name_hash", "left_semi").select("url_hash")
+    frequent = keys.groupBy("url_hash").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT_URL).select("url_hash")
+    return tied.union(frequent).distinct().withColumn("_shared", F.lit(True))
 
 
 def candidates(offers: DataFrame, decided: DataFrame, load: ProfileLoad, null_urls: str = "collapse") -> DataFrame:
-    """Offers that pass each profile's filters, without duplicates."""
-    offers = offers.withColumns(
-        {"url_hash": F.xxhash64("url"), "name_hash": F.xxhash64("name", "price")}
-    )
-    pairs = match_profiles(offers, decided, filters.facets() & passes(), load).select(*PAIR_COLUMNS)
+    """Offers that pass each profile's filters, without duplicates: the first of each url, then of each name and price."""
+    offers = offers.withColumns({"url_hash": F.xxhash64("url"), "name_hash": F.xxhash64("name", "price")})
+    offers = offers.select(*[c for c in PAIR_COLUMNS if c != "pno"])
+    passing = filters.facets() & passes()
+    marked = offers.join(shared_urls(offers.select("url_hash", "name_hash")), "url_hash", "left")
+
+    # A url that shares nothing: its offers are in one task before they meet the profiles,
+    # and the first of them settles both kinds of duplicates there.
+    own = marked.where("_shared is null and url is not null").drop("_shared").repartition("url_hash")
+    own = match_profiles(own, decided, passing, load).select(*PAIR_COLUMNS)
+    own = keep_first(own, ["url_hash", "pno", "url"])
+
+    rest = marked.where("_shared is not null or url is null").drop("_shared")
+    rest = match_profiles(rest, decided, passing, load).select(*PAIR_COLUMNS)
     # The hashes only lead the sort keys, where they decide almost every comparison.
-    pairs = keep_first(pairs, ["url_hash", "pno", "url"], null_keys=null_urls).drop("url_hash", "url")
-    return keep_first(pairs, ["name_hash", "pno", "name", "price"]).drop("name_hash", "name")
+    rest = keep_first(rest, ["url_hash", "pno", "url"], null_keys=null_urls)
+    rest = keep_first(rest, ["name_hash", "pno", "name", "price"])
+    return own.unionByName(rest).drop("url_hash", "url", "name_hash", "name")
 
 
 def recommend(listings: DataFrame, profiles: DataFrame, null_urls: str = "collapse") -> DataFrame:
@@ -189,10 +237,9 @@ def recommend(listings: DataFrame, profiles: DataFrame, null_urls: str = "collap
     constants = add_profile_constants(stored)
     rule = constants.select(*FILTER_COLUMNS)
     # Literal bounds reach the scan of a stored listing table.
-    listings = add_features(listings.where((F.col("price") >= load.low) & (F.col("price") <= load.high)))
-    offers = fold_offers(listings)
+    listings = with_features(listings.where((F.col("price") >= load.low) & (F.col("price") <= load.high)))
     decided = decide_filters(count_rows(listings, rule, load), rule, load)
-    pairs = candidates(offers, decided, load, null_urls)
+    pairs = candidates(listings, decided, load, null_urls)
     scored = score_pairs(pairs, constants.select(*SCORE_COLUMNS), load)
     scored = scored.select("pno", "seq", "price", "brand", "top_n", "parts", "score")
     top = diverse_top(scored, load.max_top_n, load.few).select("pno", "rank", "seq", "score", "parts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -53,17 +54,24 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder.
+    """The folder that driver and executors share, from the session's checkpoint setting.
 
-    A machine-local folder is taken only where the session names none, as in tests.
+    Only a local master, as in tests, gets a folder of its own; a cluster without the
+    setting is an error, since its executors would each write to their own disks.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="shelfrank-")
+        root = local_root(spark.sparkContext.master)
         spark.conf.set(CHECKPOINT_SETTING, root)
     return root.rstrip("/")
 
 
+def local_root(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="shelfrank-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared one."""
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"

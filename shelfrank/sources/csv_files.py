@@ -7,7 +7,6 @@ same column is text in one file and numbers in another.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Mapping
 from urllib.parse import unquote
@@ -21,50 +20,60 @@ from shelfrank.functions.clean import NUMERIC_CELL
 from shelfrank.sources.listings import normalise_headers, null_missing, rename_aliases, union_by_name
 from shelfrank.sources.snapshot import input_state, stored
 
-LOCAL_FILE = re.compile(r"^file:/+")  # the listing and the reader write local paths differently
+LOCAL_FILE = "^file:/+"  # the lister and the readers write local paths differently
 DELIMITERS = [",", ";", "\t", "|"]
-SEQ = "seq"
-BROADCAST_FILES = 100_000  # up to this many one-row-per-file entries are sent to every task
+SEQ, BROKEN = "seq", "broken_line"
+MARK = "\ufeff"
+BROADCAST_FILES = 100_000  # up to this many one-row-per-file flags are sent to every task
 
 
-def _listed(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> list[tuple[str, str]]:
-    """(path, its escaped form as Spark reports it with the rows), sorted by path."""
+def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
+    """path and source_file of the files there, empty ones too: the listing that Spark makes to plan a read."""
     reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     try:
-        found = reader.text(folder).inputFiles()
+        paths = reader.text(folder).inputFiles()
     except AnalysisException:
-        return []
-    return sorted((unquote(path), path) for path in found)
+        paths = []
+    found = spark.createDataFrame([(unquote(p),) for p in paths], "path string")
+    return found.select(_plain("path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("source_file"))
 
 
-def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
-    """Sorted paths; only the file listing is read."""
-    return [path for path, _ in _listed(spark, folder, pattern, recursive)]
+def _plain(path: str):
+    return F.regexp_replace(F.col(path), LOCAL_FILE, "file:/")
 
 
 def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
-def _header(spark: SparkSession, path: str) -> str | None:
-    row = spark.read.text(path).head()  # one small task, stops at the first line
-    return None if row is None else row[0].lstrip("﻿")
+def _headers(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> dict[str, list[str]]:
+    """Paths by header line. One job finds the first line of every file."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    try:
+        lines = reader.text(folder)
+    except AnalysisException:
+        return {}
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    by_header = defaultdict(list)
+    for row in heads.where("header <> ''").orderBy("path").toLocalIterator():
+        by_header[row.header.removeprefix(MARK)].append(unquote(row.path))
+    return by_header
 
 
 def _read_group(spark: SparkSession, paths: list[str], header: str, multi_line: bool) -> DataFrame:
     sep = sniff_delimiter(header)
     names = [n.strip().strip('"') or f"unnamed_{i}" for i, n in enumerate(header.split(sep))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
     rows = (
-        spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line)
-        .csv(paths)
+        spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", "UTF-8").option("enforceSchema", True)
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+        .option("multiLine", multi_line).csv(paths)
     )
     rows = rows.select(
         "*",
-        F.regexp_replace("_metadata.file_path", LOCAL_FILE.pattern, "file:/").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"),
     )
     return normalise_headers(rows)
 
@@ -77,32 +86,22 @@ def read_folder(
     multi_line: bool = False,
     recursive: bool = False,
 ) -> DataFrame | None:
-    """Union of all files, with ``seq`` (position in file order), ``source_file`` and
-    ``price_is_number``; None if there is no usable file.
+    """Union of all files, with ``seq`` (position in file order), ``source_file``, ``price_is_number``
+    and ``broken_line``; None if there is no usable file.
 
     ``numeric_price`` says which files hold prices as numbers: one answer for all, or one
     per file name. Left out, it is found by one extra pass over the price column.
+    ``broken_line`` holds a line whose cells don't fit the header (too many, too few, or a
+    quoted line break read without ``multi_line``); it is null for all others.
     """
-    files = _listed(spark, folder, pattern, recursive)
-    by_header = defaultdict(list)
-    for path, _ in files:
-        header = _header(spark, path)
-        if header:
-            by_header[header].append(path)
+    by_header = _headers(spark, folder, pattern, recursive)
     if not by_header:
         return None
     rows = union_by_name([_read_group(spark, p, h, multi_line) for h, p in by_header.items()])
     rows = null_missing(rename_aliases(normalise_headers(rows)), None)
-
-    # One row per file, so its size is that of the file listing already held above.
-    numbered = spark.createDataFrame(
-        [(LOCAL_FILE.sub("file:/", escaped), i, path.rsplit("/", 1)[-1]) for i, (path, escaped) in enumerate(files)],
-        "_path string, _file int, source_file string",
-    )
-    rows = rows.join(F.broadcast(numbered) if len(files) <= BROADCAST_FILES else numbered, "_path")
-    rows = rows.withColumn(SEQ, F.struct("_file", "_block", "_row")).drop("_path", "_block", "_row")
-    rows = _flag_number_prices(rows, numeric_price, len(files) <= BROADCAST_FILES)
-    return rows.drop("_file")
+    rows = rows.withColumn(SEQ, F.struct("_path", "_block", "_row")).drop("_block", "_row")
+    n_files = sum(map(len, by_header.values()))
+    return _flag_number_prices(rows, numeric_price, n_files <= BROADCAST_FILES).drop("_path")
 
 
 def _flag_number_prices(rows: DataFrame, numeric_price, few_files: bool) -> DataFrame:
@@ -114,19 +113,44 @@ def _flag_number_prices(rows: DataFrame, numeric_price, few_files: bool) -> Data
     if numeric_price is not None:
         yes = [name for name, is_number in numeric_price.items() if is_number]
         return rows.withColumn(flag, F.col("source_file").isin(yes))
-    per_file = rows.groupBy("_file").agg(
+    per_file = rows.groupBy("_path").agg(
         F.coalesce(F.every(F.col("price").rlike(NUMERIC_CELL)), F.lit(True)).alias(flag)
     )
-    return rows.join(F.broadcast(per_file) if few_files else per_file, "_file")
+    return rows.join(F.broadcast(per_file) if few_files else per_file, "_path")
+
+
+def inventory(spark: SparkSession, folder: str, pattern: str = "*.csv", **read_options) -> DataFrame:
+    """path, source_file and n_rows of every file found, 0 rows for one without usable ones."""
+    files = find_files(spark, folder, pattern, read_options.get("recursive", False))
+    rows = read_folder(spark, folder, pattern, numeric_price=False, **read_options)
+    if rows is None:
+        return files.withColumn("n_rows", F.lit(0).cast("long"))
+    counts = rows.groupBy(F.regexp_replace(f"{SEQ}._path", LOCAL_FILE, "file:/").alias("path")).agg(F.count("*").alias("n"))
+    plain = F.regexp_replace(F.col("path"), " ", "%20")  # the lister does not escape blanks
+    return files.withColumn("_key", plain).join(counts.withColumnRenamed("path", "_key"), "_key", "left").select(
+        "path", "source_file", F.coalesce("n", F.lit(0)).alias("n_rows")
+    )
 
 
-def inventory(rows: DataFrame) -> DataFrame:
-    """Rows per input file."""
-    return rows.groupBy("source_file").agg(F.count("*").alias("n_rows"))
+def status_text(folder: str, found: int, usable: int, n_rows: int, exists: bool = True) -> str:
+    """What became of a folder, in one line."""
+    if not exists:
+        return f"Data directory not found at {folder}"
+    if not found:
+        return f"No CSV files found in {folder}"
+    if not usable:
+        return f"Found {found} CSV files but none contained usable rows"
+    return f"Loaded {n_rows} rows from {usable} CSV files"
 
 
-def status_text(n_rows: int, n_files: int) -> str:
-    return f"Loaded {n_rows} rows from {n_files} CSV files"
+def status(spark: SparkSession, folder: str, pattern: str = "*.csv", **read_options) -> str:
+    """The status of reading a folder now."""
+    try:
+        spark.read.format("binaryFile").load(folder).schema
+    except AnalysisException:
+        return status_text(folder, 0, 0, 0, exists=False)
+    row = inventory(spark, folder, pattern, **read_options).agg(F.count("*"), F.count(F.when(F.col("n_rows") > 0, 1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    return status_text(folder, *row)
 
 
 def snapshot(spark: SparkSession, folder: str, cache_root: str, pattern: str = "*.csv", **read_options) -> DataFrame | None:

@@ -132,15 +132,16 @@ MADE_PAGES = {
       '</p><p>', coalesce(price, 'fiyat yok'), '</p></article></body></html>')"""),
     "incehesap": _PAGE.format(rows=LISTINGS, html="""concat('<html><body><ul><li class="prd"><a class="prd-link" href="/urun/', CAST(seq AS STRING), '">git</a>',
       '<h3 class="prd-title">', name, '</h3><div class="price">', coalesce(price, ''), '</div></li></ul></body></html>')"""),
-    # Product pages exist for two listings of three; some have no price of their own.
+    # Some product pages have no price of their own. Cards of a list find a page for two of three.
     "detail": f"""SELECT seq AS page_id, concat('https://shop.example/urun/', CAST(seq AS STRING)) AS url,
       concat('<html><body><h1> ', CASE WHEN seq % 13 = 4 THEN 'ÜRÜN SİLİNECEK ' ELSE '' END, name, ' </h1><div class="price">yeni</div>',
         CASE WHEN seq % 5 = 1 OR price IS NULL THEN '' ELSE concat('<span class="old-fiyat">', price, '</span>') END,
         '<div class="stok">', CASE seq % 3 WHEN 0 THEN 'Tükendi' WHEN 1 THEN 'Stokta var' ELSE '' END, '</div>',
         '<table><tr><td>RAM</td><td>', coalesce(ram, '-'), '</td></tr></table><dl><dt>Ekran</dt><dd>', coalesce(screen_size, '-'),
         '</dd></dl></body></html>') AS html
-      FROM ({LISTINGS}) AS listings_base WHERE seq % 3 <> 2""",
+      FROM ({LISTINGS}) AS listings_base""",
 }
+MADE_PAGES["detail_all"], MADE_PAGES["detail"] = MADE_PAGES["detail"], MADE_PAGES["detail"] + " WHERE seq % 3 <> 2"
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""A page as nested elements, for the few lookups that need nesting. Runs inside tasks."""
+"""A page as nested elements, for the few lookups that need nesting. Runs inside tasks.
+
+Elements and strings are kept in page order; an element knows the ranges of both that lie
+in it, so walks and texts need no recursion however deep a page is nested. An element that
+is never closed goes on to the end of the one around it.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +11,37 @@ import re
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HIDDEN = ("script", "style")
+
+
+class Page:
+    """Elements in page order, strings in page order, and which of those are not text."""
+
+    __slots__ = ("elements", "strings", "hidden")
+
+    def __init__(self):
+        self.elements, self.strings, self.hidden = [], [], []
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "parent", "page", "first", "last", "start", "end")
+
+    def __init__(self, page: Page, tag: str, attrs=None, parent=None):
+        self.page, self.tag, self.attrs, self.parent = page, tag, dict(attrs or {}), parent
+        page.elements.append(self)
+        self.first, self.start = len(page.elements), len(page.strings)
+        self.close()
 
-    def __init__(self, tag, attrs=None, parent=None):
-        self.tag, self.attrs, self.parent, self.children = tag, dict(attrs or {}), parent, []
+    def close(self):
+        self.last, self.end = len(self.page.elements), len(self.page.strings)
 
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+    def walk(self) -> list["Element"]:
+        """All elements below this one, in page order."""
+        return self.page.elements[self.first : self.last]
 
-    def strings(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in ("script", "style"):
-                yield from child.strings()
+    def strings(self) -> list[str]:
+        page = self.page
+        return [page.strings[i] for i in range(self.start, self.end) if not page.hidden[i]]
 
     def text(self, sep: str = " ") -> str:
         return sep.join(s.strip() for s in self.strings() if s.strip())
@@ -62,27 +78,33 @@ class Element:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("")
+        self.page = Page()
+        self.open = [Element(self.page, "")]
+        self.counts: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, attrs, self.at)
-        self.at.children.append(e)
+        e = Element(self.page, tag, attrs, self.open[-1])
         if tag not in VOID:
-            self.at = e
+            self.open.append(e)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        e = self.at
-        while e is not None and e.tag != tag:
-            e = e.parent
-        if e is not None and e.parent is not None:
-            self.at = e.parent
+        while self.counts.get(tag):  # an end without a start is nothing
+            e = self.open.pop()
+            e.close()
+            self.counts[e.tag] -= 1
+            if e.tag == tag:
+                break
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.page.strings.append(data)
+        self.page.hidden.append(self.open[-1].tag in HIDDEN)
 
 
 def parse(html: str | None) -> Element:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
-    return builder.root
+    for e in builder.open:
+        e.close()
+    return builder.open[0]

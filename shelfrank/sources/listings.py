@@ -37,10 +37,10 @@ def null_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(rules.NA_TOKENS), F.col(c)) for c in chosen})
 
 
-def as_listing(df: DataFrame) -> DataFrame:
-    """The nine listing columns in order; absent ones are null."""
+def as_listing(df: DataFrame, *more: str) -> DataFrame:
+    """The nine listing columns in order (absent ones are null), and after them the columns asked for."""
     return df.select(
-        *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in LISTING_COLUMNS]
+        *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in LISTING_COLUMNS], *more
     )
 
 

@@ -1,12 +1,13 @@
 """Fetched pages to product fields.
 
-Page-wide fields with a fixed shape are column expressions. Fields that depend on how
-elements are nested (cards, specification blocks) come from one Arrow-batched function
-per page kind; everything after it is column expressions again.
+What a page holds (titles, prices, links, cards, specification blocks) comes from one
+reading of its elements, in an Arrow-batched function; everything after it is column
+expressions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfrank.functions import incehesap, mediamarkt
-from shelfrank.functions.text import col, contains_any, first_match, matches, strip, tidy
+from shelfrank.functions.text import col, contains_any, matches
 from shelfrank.sources.html import Element, parse
 
 # The elements that hold each field.
@@ -53,65 +54,40 @@ DETAIL = T.StructType(
 )
 
 
-# --- expressions over html --------------------------------------------------------
-
-
-def inner_text(html: Column) -> Column:
-    """Text of an html fragment: tags out, common entities decoded, white space tidied."""
-    t = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    for entity, char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return tidy(t)
+def page_title(html: Column | str) -> Column:
+    """Text of the first main heading, else of a titled second heading or name block; null without one or if blank."""
+    return F.nullif(detail_fields(col(html))["title"], F.lit(""))
 
 
-def page_title(html: Column | str) -> Column:
-    """First main heading, else a titled second heading or name block; null without one."""
-
-    def body(tag, class_pattern):
-        attrs = r"[^>]*" if class_pattern is None else rf"[^>]*class\s*=\s*[\"'][^\"']*(?:{class_pattern})[^>]*"
-        return F.nullif(inner_text(F.regexp_extract(col(html), rf"(?is)<{tag}\b{attrs}>(.*?)</{tag}>", 1)), F.lit(""))
-
-    return F.coalesce(*[body(tag, c) for tag, c in TITLE_ELEMENTS])
-
-
-def absolute_link(href: Column, page_url: Column) -> Column:
-    """Link made absolute against the page it is on."""
-    scheme = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
-    site = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(page_url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    return first_match(
-        [
-            (href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href),
-            (href.startswith("//"), F.concat(scheme, href)),
-            (href.startswith("/"), F.concat(site, href)),
-            (href.startswith("#"), F.concat(F.regexp_replace(page_url, r"#.*$", ""), href)),
-            (href.startswith("?"), F.concat(site, path, href)),
-        ],
-        F.concat(site, folder, href),
-    )
+def price_texts(html: Column | str) -> Column:
+    """Whole texts of the elements whose class names a price, kind of element by kind."""
+    return detail_fields(col(html))["price_texts"]
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link: its place on the page, absolute address, and whether it is a product link."""
-    found = pages.select(
-        "page_id", "url", F.posexplode(F.expr(r"""regexp_extract_all(html, 'href="([^"]+)"', 1)""")).alias("pos", "href")
-    )
-    link = absolute_link(F.col("href"), F.col("url"))
-    return found.select("page_id", "pos", link.alias("link"), F.col("href").rlike(PRODUCT_LINK).alias("is_product"))
 
+    @F.pandas_udf("array<struct<href:string,link:string>>")
+    def links(html: pd.Series, url: pd.Series) -> pd.Series:
+        found = ([a.attrs["href"] or "" for a in parse(h).find_all("a") if "href" in a.attrs] for h in html)
+        return pd.Series([[{"href": x, "link": _joined(u or "", x)} for x in row] for row, u in zip(found, url)])
 
-def first_price(texts: Column) -> Column:
-    """First text that holds a price."""
-    return F.get(F.filter(F.transform(texts, incehesap.price), lambda p: p.isNotNull()), F.lit(0))
+    found = pages.select("page_id", F.posexplode(links("html", "url")).alias("pos", "a"))
+    return found.select("page_id", "pos", F.col("a.link").alias("link"), F.col("a.href").rlike(PRODUCT_LINK).alias("is_product"))
 
 
-def price_texts(html: Column | str) -> Column:
-    """Texts of elements whose class names a price."""
-    raw = F.regexp_extract_all(
-        col(html), F.lit(r"(?is)<(?:div|span|strong|p)\b[^>]*class\s*=\s*[\"'][^\"']*(?:price|fiyat)[^>]*>([^<]*)<"), F.lit(1)
-    )
-    return F.transform(raw, inner_text)
+def _joined(base: str, href: str) -> str:
+    """The address a link leads to; one that can't be read stays as it is."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def first_price(texts: Column) -> Column:
+    """First text that holds a price."""
+    plain = F.transform(F.transform(texts, incehesap.tidy_price), incehesap.plain_price)  # each step once a text
+    return F.get(F.filter(F.transform(plain, incehesap.price_of), lambda p: p.isNotNull()), F.lit(0))
 
 
 def card_lines(text: Column | str) -> Column:
@@ -168,7 +144,7 @@ def _amazon_cards(page: Element, base: str):
             continue
         link = card.path(("h2", None), ("a", r"^a-link-normal$"))
         href, asin = (link.attrs.get("href") if link else None), card.attrs.get("data-asin")
-        url = urljoin(base, href) if href else urljoin(base, f"/dp/{asin}") if asin else None
+        url = _joined(base, href) if href else _joined(base, f"/dp/{asin}") if asin else None
         if url is None:
             continue
         price = card.path(("span", r"^a-price$"), ("span", r"^a-offscreen$")) or card.find("span", r"^a-price-whole$")
@@ -183,11 +159,15 @@ def _vatan_cards(page: Element, base: str):
         if link is None:
             continue
         block = next((e for e in card.walk() if e.has_class(r"^product-list__product-name$")), None)
-        name = (block and block.find("h3")) or block or card.find("h3") or card.find("div", r"^product-list__content$")
+        name = (block and block.find("h3")) or block or card.find("h3")
+        title = name.text() if name else ""
+        if not title:
+            other = card.find("div", r"^product-list__content$")
+            title = other.text() if other else ""
         price = (
             card.find("span", r"^product-list__price$") or card.find("div", r"^price-box$") or card.find("span", r"^price$")
         )
-        yield urljoin(base, link.attrs["href"]), name.text() if name else "", price.text("") if price else "", card.text()
+        yield _joined(base, link.attrs["href"] or ""), title, price.text("") if price else "", card.text()
 
 
 def _incehesap_cards(page: Element, base: str):
@@ -196,21 +176,23 @@ def _incehesap_cards(page: Element, base: str):
         *page.find_all("li", "product|prd"),
         *[d for d in page.find_all("div") if d.attrs.get("data-product-id") is not None],
     ]
+    if not cards:  # then every product link is a card
+        cards = [a for a in page.find_all("a") if re.search(PRODUCT_LINK, a.attrs.get("href") or "")]
     unique = list({id(c): c for c in cards}.values())
     for card in unique:
-        links = [a for a in card.find_all("a") if a.attrs.get("href")]
+        links = [a for a in ([card] if card.tag == "a" else card.find_all("a")) if a.attrs.get("href")]
         link = next((a for a in links if a.has_class("product-link|prd-link|title|name")), None) or next(iter(links), None)
         if link is None:
             continue
         heading = next((e for tag, c in CARD_TITLE_ELEMENTS if (e := card.find(tag, c))), None) or link
         price = card.find("div", PRICE_CLASS) or card.find("span", PRICE_CLASS)
-        yield urljoin(base, link.attrs["href"]), heading.tidy_text(), price.tidy_text() if price else "", None
+        yield _joined(base, link.attrs["href"]), heading.tidy_text(), price.tidy_text() if price else "", None
 
 
 def _mediamarkt_cards(page: Element, base: str):
     for card in page.find_all("article"):
         link = next((a for a in card.find_all("a") if "/tr/product/" in (a.attrs.get("href") or "")), None)
-        yield urljoin(base, link.attrs["href"]) if link else "", None, None, card.text("\n")
+        yield _joined(base, link.attrs["href"]) if link else "", None, None, card.text("\n")
 
 
 _READERS = {

@@ -33,8 +33,8 @@ def test_tree():
 def test_vatan_cards(page):
     got = PL.vatan_listings(page(VATAN, "")).collect()
     assert [(r.url, r.name, r.price, r.ram, r.screen_size) for r in got] == [
-        ("https://shop.example/urun/1", 'Asus TUF i5 16GB 15.6"', "24999.0", "16GB", '15.6"')
-    ] or [(r.url, r.name, r.price, r.ram) for r in got] == [("https://shop.example/urun/1", 'Asus TUF i5 16GB 15.6"', 24999.0, "16GB")]
+        ("https://shop.example/urun/1", 'Asus TUF i5 16GB 15.6"', 24999.0, "16GB", '15.6"')
+    ]
 
 
 def test_amazon_cards_and_blocked_pages(page):
@@ -83,3 +83,43 @@ def test_links_titles_prices(page):
         ("https://shop.example/urun/1", True), ("https://shop.example/p/b/c", False), ("https://shop.example/p/0?q=1#t", False),
         ("https://shop.example/p/0?p=2", False), ("https://cdn.example/x", False), ("http://o.example/notebook-1", True),
     ]
+
+
+def test_deep_pages_are_read(page):
+    deep = "<p>" * 10_000 + "<li>" * 5_000 + "<div>" * 5_000 + "<h1>deep</h1><a href='/urun/9'>x</a>" + "</table>" * 1000
+    df = page(deep)
+    assert df.select(P.page_title("html")).first()[0] == "deep"
+    assert P.page_links(df).first().link == "https://shop.example/urun/9"
+
+
+def test_all_readings_of_a_page_agree(page):
+    html = """<h1> </h1><h2 class="title">T2</h2><span class="price">21.000 TL</span><div class="price"><b>22</b>.<i>000</i> TL</div><div class="price">23.000 TL</div>"""
+    df = page(html)
+    assert df.select(P.page_title("html")).first()[0] is None and PL.product_details(df).first().title == ""
+    assert df.select(P.price_texts("html")).first()[0] == ["22 . 000 TL", "23.000 TL", "21.000 TL"]
+    assert df.select(P.first_price(P.price_texts("html"))).first()[0] == PL.product_details(df).first().price_try
+
+
+def test_odd_links(page):
+    html = """<link href="/style.css"><a href='/urun/1'>a</a><a href="/x?a=1&amp;b=2">b</a><a href="a/b/../urun/2">c</a><a>d</a><a href="http://[bad">e</a>"""
+    got = [r.link for r in P.page_links(page(html)).orderBy("pos").collect()]
+    assert got == ["https://shop.example/urun/1", "https://shop.example/x?a=1&b=2", "https://shop.example/p/a/urun/2", "http://[bad"]
+
+
+def test_product_links_are_cards_where_there_are_none(page, spark):
+    details = spark.createDataFrame([], "page_id long, url string, html string")
+    got = PL.incehesap_listings(page("<a href='/urun/1'>Asus A</a><a href='/about'>x</a><p><a href='/laptop-2'>Dell B</a></p>"), details).collect()
+    assert sorted((r.url, r.name) for r in got) == [("https://shop.example/laptop-2", "Dell B"), ("https://shop.example/urun/1", "Asus A")]
+
+
+def test_repeated_cards_and_pages_give_one_row(page, spark):
+    card = "<ul><li class='prd'><a class='prd-link' href='/d/1'>a</a><h3 class='prd-title'>Asus kart</h3><div class='price'>25.000</div></li></ul>"
+    details = spark.createDataFrame([(i, "https://shop.example/d/1", f"<h1>Asus sayfa {i}</h1>") for i in (3, 2, 5)], "page_id long, url string, html string")
+    got = PL.incehesap_listings(page(card, card, card * 3), details).collect()
+    assert [(r.name, r.price) for r in got] == [("Asus sayfa 2", 25000.0)]
+
+
+def test_empty_name_falls_back_to_the_content_block(page):
+    html = """<div class="product-list"><a href="/urun/1"></a><h3> </h3><div class="product-list__content">Lenovo Legion i7 32GB</div>
+    <span class="product-list__price">44.999 TL</span></div>"""
+    assert [r.name for r in PL.vatan_listings(page(html)).collect()] == ["Lenovo Legion i7 32GB"]

@@ -139,6 +139,34 @@ def test_titles_and_design_hints(spark):
     assert hints == {"a": ("mid", 32), "b": ("high", 32), "c": ("low", 16), "d": ("low", 16)}
 
 
-def test_hot_groups_are_cut_before_the_shuffle(listings, profiles):
+def test_pairs_of_unshared_urls_cross_no_duplicate_shuffle(listings, profiles):
+    """Pairs are shuffled for ranking, and those of shared urls, cut per task, for duplicate removal; no others."""
     plan = R.recommend(listings, profiles)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Partial") >= 4 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # A window over url and profile sits on the listings' own shuffle by url: nothing but the
+    # group limit, sort and joins with sent tables between them.
+    branch = plan[: plan.index("REPARTITION_BY_COL")]
+    between = branch[branch.rindex("WindowGroupLimit") :]
+    assert "url" in between.splitlines()[0] and "Exchange hashpartitioning" not in between.rsplit("\n", 1)[0]
+
+
+def test_one_url_and_one_name_may_hold_half_of_the_rows(spark, listings, profiles, monkeypatch):
+    monkeypatch.setattr(R, "FREQUENT_URL", 50)
+    busy = listings.withColumns({"url": F.when(F.col("seq") % 2 == 0, F.lit("https://shop.example/one")).otherwise(F.col("url")), "name": F.when(F.col("seq") % 3 == 0, F.lit("Asus one")).otherwise(F.col("name"))})
+    some = profiles.where("usage_key IN ('gaming', 'productivity')")
+    got = rows(R.recommend(busy, some))
+    monkeypatch.setattr(R, "FREQUENT_URL", 10**9)
+    assert got and got == rows(R.recommend(busy, some))
+    monkeypatch.setattr(R, "shared_urls", lambda keys: keys.select("url_hash").distinct().withColumn("_shared", F.lit(True)))  # all by shuffles
+    assert got == rows(R.recommend(busy, some))
+
+
+def test_nothing_is_left_behind(spark, listings):
+    import os
+
+    from shelfrank.session import shared_root
+
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    R.recommend_for(listings, {"usage_key": "dev"}).collect()
+    assert set(os.listdir(root)) == before

@@ -3,6 +3,7 @@ import datetime
 import pytest
 
 from shelfrank.plans.prepare import clean_data
+from shelfrank.session import local_root
 from shelfrank.sources import csv_files as C
 from shelfrank.sources import history as H
 from shelfrank.sources.listings import as_listing, rename_aliases
@@ -32,9 +33,39 @@ def test_read_folder(spark, shops):
     ordered = [(r.source_file, r.price) for r in df.orderBy("seq").collect()]
     assert [o[0] for o in ordered] == sorted(o[0] for o in ordered) and ordered[0][1] == "24.999 TL"
     assert sorted(r.price for r in clean_data(df).collect()) == [9999, 23999, 24999, 24999]
-    assert {r.source_file: r.n_rows for r in C.inventory(df).collect()} == {
-        "amazon_laptops.csv": 3, "incehesap_laptops.csv": 2, "vatan_laptops.csv": 1,
+    assert all(r.broken_line is None for r in df.collect())
+    assert {r.source_file: r.n_rows for r in C.inventory(spark, shops).collect()} == {
+        "amazon_laptops.csv": 3, "incehesap_laptops.csv": 2, "vatan_laptops.csv": 1, "empty.csv": 0, "header_only.csv": 0,
     }
+    assert C.status(spark, shops) == "Loaded 6 rows from 3 CSV files"
+
+
+def test_lines_that_do_not_fit_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,price\nx,1\ny,2,3\nz\n")
+    got = {r.name: r.broken_line for r in C.read_folder(spark, str(tmp_path)).collect()}
+    assert got == {"x": None, "y": "y,2,3", "z": "z"}
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"{i}.csv").write_text("name,price\nx,1\n")
+        group = f"files-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        C.read_folder(spark, str(folder), numeric_price=False)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(20) <= jobs(2) + 1
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    assert local_root("local[4]") and local_root("local")
+    for master in ("yarn", "k8s://x", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            local_root(master)
 
 
 def test_number_flag_can_be_given(spark, shops):
@@ -46,6 +77,10 @@ def test_no_files(spark, tmp_path):
     assert C.read_folder(spark, str(tmp_path)) is None
     assert C.read_folder(spark, str(tmp_path / "absent")) is None
     assert C.snapshot(spark, str(tmp_path), str(tmp_path / "cache")) is None
+    assert C.status(spark, str(tmp_path)) == f"No CSV files found in {tmp_path}"
+    assert C.status(spark, str(tmp_path / "absent")) == f"Data directory not found at {tmp_path / 'absent'}"
+    (tmp_path / "only_header.csv").write_text("name,price\n")
+    assert C.status(spark, str(tmp_path)) == "Found 1 CSV files but none contained usable rows"
 
 
 def test_snapshot_follows_its_input(spark, shops, tmp_path):
@@ -82,7 +117,7 @@ def test_history(spark, shops, tmp_path):
     rows = as_listing(C.read_folder(spark, shops)).withColumn("source_file", C.F.lit("amazon_laptops.csv"))
     at = datetime.datetime(2024, 1, 2, 3, 4, 5)
     assert H.append(rows, table, at) == 6 and H.append(rows, table) == 6
-    stored = spark.read.parquet(table)
+    stored = H.read(spark, table)
     assert stored.count() == 12 and stored.where("source = 'amazon'").count() == 12
     assert stored.where("scraped_at = timestamp'2024-01-02 03:04:05'").count() == 6
     fresh = spark.createDataFrame([("u1",), ("u9",), (None,)], "url string")
