@@ -25,46 +25,91 @@ END_ID = 2
 ORC_OPTIONS = {"orc.stripe.size": 64 << 20, "orc.row.index.stride": 10_000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.create.index": "true", "compression": "zstd"}
 #: Texts between white space whose ids a task remembers.
 REMEMBERED = 400_000
+_SEEN: dict[str, "Chunks"] = {}
+
+
+#: Punctuation that may be cut off the end of a chunk: never part of a word, of a special token or of "'s".
+TAIL = ".,;:!?|%&$#*"
+#: Words encoded in one call.
+AT_ONCE = 64
 
 
 class Chunks(dict):
-    """Number of each chunk of text; the ids of all chunks one after the other.
+    """Numbers of the chunks of text seen so far, and the ids of all of them, one after the other.
 
     The tokenizer never joins across white space, so a text's ids are those of its chunks.
+    Nor does it join a letter with punctuation, so a chunk's tail is encoded apart; and each
+    word ends with an id that only ends words, so the ids of many words encoded as one text
+    can be told apart.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.new = tokenizer, []
-        self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.core, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts = {"": 0}
+        self.length, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def __missing__(self, chunk: bytes) -> int:
         self[chunk] = n = len(self)
         self.new.append(chunk)
         return n
 
+    def _encode(self, parts: list[str]) -> None:
+        """Gives the next numbers to the parts, and adds their ids."""
+        words, rest, lengths, ids = [], [], [self.length], [self.ids]
+        for p in parts:
+            (words if p.isalpha() else rest).append(p)
+        rows = [words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)]
+        for own, found in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            row = np.array(found.ids, np.int32)
+            ends = np.flatnonzero(self.ends[row])
+            if len(ends) != len(own) or ends[-1] != len(row) - 1:  # not one word each
+                rest += own
+                continue
+            self.parts.update(zip(own, range(len(self.parts), len(self.parts) + len(own)), strict=True))
+            lengths.append(np.diff(ends, prepend=-1))
+            ids.append(row)
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.parts[part] = len(self.parts)
+            lengths.append(np.array([len(found.ids)]))
+            ids.append(np.array(found.ids, np.int32))
+        self.length, self.ids = np.concatenate(lengths), np.concatenate(ids)
+
     def learn(self) -> None:
         if not self.new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in self.new], add_special_tokens=False)]
-        length = np.array([len(f) for f in found], np.int64)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.int32)])
+        split, new = [], {}
+        for chunk in self.new:
+            text = chunk.decode("utf-8", "replace")
+            core = text.rstrip(TAIL)
+            tail = text[len(core) :] if core and core[-1].isalpha() else ""
+            split.append((text[: len(text) - len(tail)], tail))
+            for part in split[-1]:
+                if part not in self.parts:
+                    new[part] = None
+        self._encode(list(new))
+        self.core = np.concatenate([self.core, [self.parts[c] for c, _ in split]])
+        self.tail = np.concatenate([self.tail, [self.parts[t] for _, t in split]])
         self.new = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         number, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = text.split()
+            own = (text if b"<|" in text else text.lower()).split()  # the tokenizer lowers all but its special tokens
             counts[i] = len(own)
             number += map(self.__getitem__, own)
         self.learn()
         number = np.array(number, np.int64)
-        length = self.length[number]
-        ids = self.ids[W.spans(self.first[number], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        part = np.stack([self.core[number], self.tail[number]], axis=1).ravel()
+        first = np.cumsum(self.length) - self.length
+        length = self.length[part]
+        ids = self.ids[W.spans(first[part], length)]
+        ends = np.concatenate([[0], np.cumsum(length)])[2 * np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
 
@@ -78,17 +123,17 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        chunks = Chunks(tokenizer)
+        if tokenizer_path not in _SEEN:  # kept for the worker's next task
+            _SEEN[tokenizer_path] = Chunks(Tokenizer.from_file(tokenizer_path))
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             data, offsets = W.column_bytes(column)
             at = 0
             while at < len(column):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + W.PIECE_BYTES, side="right")) - 1)
-                if len(chunks) > REMEMBERED:
-                    chunks = Chunks(tokenizer)
-                ids, counts = chunks.encode(column.slice(at, to - at).to_pylist())
+                if len(_SEEN[tokenizer_path]) > REMEMBERED:
+                    _SEEN[tokenizer_path] = Chunks(_SEEN[tokenizer_path].tokenizer)
+                ids, counts = _SEEN[tokenizer_path].encode(column.slice(at, to - at).to_pylist())
                 places = np.cumsum(counts)
                 ids = np.insert(ids, places, end_id).astype(np.int32)
                 edges = np.concatenate([[0], places + np.arange(1, to - at + 1)]).astype(np.int32)
