@@ -41,22 +41,28 @@ def open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
-def with_responses(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload, bytes, digest (hexadecimal SHA-1), first (the response's page_id, null if it is one).
+ORDER = ["page_id", "url", "digest"]
 
-    Rows with equal payloads of at least ``min_bytes`` revisit the one with the largest page_id; rows with
-    that same id are responses as well. A null payload is an empty one; rows with a null id
-    are responses of their own. A payload's rows are dealt over SALTS parts for the look-up.
-    """
+
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, payload, bytes, digest (hexadecimal SHA-1) of every row; a null payload is an empty one."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    repeated = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    repeated = repeated.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"), F.lit(0)))
-    return rows.join(repeated, ["digest", "salt"], "left").select(
-        "page_id", "url", "payload", "bytes", "digest", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("first")
-    )
+    return rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
+
+
+def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, url, digest and first (the response's page_id) of the rows of ``records`` that revisit another.
+
+    Of rows with equal payloads of at least ``min_bytes`` that with the largest page_id is
+    the response, and so are rows with that same id; a row with a null id revisits nothing.
+    Payloads are not moved. A payload's rows are dealt over SALTS parts for the look-up.
+    """
+    rows = rows.where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes)).select(*ORDER)
+    repeated = rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = repeated.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(repeated, ["digest", "salt"]).where("page_id <> first").select(*ORDER, "first").distinct()
 
 
 def _clean(value: str) -> str:
@@ -87,13 +93,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = RO
     """Writes a record per row of ``pages``, sorted by page id; returns the folder.
 
     Null ids come first, equal ids in the order of url and digest. The folder holds
-    ``part-P-N.warc.gz`` and ``manifest`` (a row per file). A revisit's payload is not moved.
+    ``part-P-N.warc.gz`` and ``manifest`` (a row per file). Texts move once, to their range.
     """
     spark = pages.sparkSession
     folder = (folder or shared_folder(spark, "warc")).rstrip("/")
-    rows = with_responses(pages, min_bytes, key, url, html)
-    rows = rows.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
-    rows = rows.repartitionByRange(F.col("page_id").asc_nulls_first(), "url", "digest").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "digest")
+    rows = records(pages, key, url, html)
+    marks = revisits(rows, min_bytes).select(*ORDER, F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("bytes"), "first")
+    rows = marks.union(rows.select(*ORDER, "payload", "bytes", F.lit(None).cast("long").alias("first")))
+    # A mark comes just before the rows that it says are revisits.
+    by = [F.col(c).asc_nulls_first() for c in ORDER]
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by, F.col("first").isNull())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,7 +110,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = RO
         task = TaskContext.get()
         system, path = open_folder(folder)
         system.create_dir(f"{path}/temporary", recursive=True)
-        done, out, stats = [], None, {}
+        done, out, stats, mark = [], None, {}, None
 
         def close():
             nonlocal out
@@ -111,10 +120,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = RO
                 out = None
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "bytes", "digest", "first")]
             for at in range(batch.num_rows):
-                page, *rest = [c[at].as_py() for c in columns]
-                record = _record(page, *rest)
+                page, url, digest, payload, size, first = [c[at].as_py() for c in batch.columns]
+                if first is not None:
+                    mark = (page, url, digest, first)
+                    continue
+                first = mark[3] if mark and mark[:3] == (page, url, digest) else None
+                record = _record(page, url, payload, size, digest, first)
                 if out is None:
                     stats = {"part": task.partitionId(), "number": len(done), "records": 0, "bytes": 0, "sha256": hashlib.sha256(), "first_page": str(page)}
                     stats["temporary"] = f"temporary/{task.partitionId()}-{len(done)}-{uuid.uuid4().hex}"
@@ -131,8 +143,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = RO
         kinds = [types[x.split()[1]] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in done], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    order = ["page_id", "url", "payload", "bytes", "digest", "first"]
-    rows.select(*order).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/staged")  # the files of attempts that counted
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/staged")  # the files of attempts that counted
     commit(spark, folder)
     return folder
 
