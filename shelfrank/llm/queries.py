@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm import ann, brown, decontaminate, jaccard, lang_id, orc_ids, pieces, sharding, toxicity, warc
+from shelfrank.llm import ann, brown, checks, decontaminate, jaccard, lang_id, orc_ids, pieces, sharding, toxicity, warc
 from shelfrank.llm.storage import table
 
 SHARDS, NEIGHBOURS, QUERY_EVERY = 24, 20, 20
@@ -62,4 +62,5 @@ def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op7_sentencepiece, op8_brown, op9_toxicity, op10_orc_ids)}
-SQL: dict[str, str] = {}
+#: The others fit models, search with a stopping test or call a tokenizer; tests hold them against plain versions.
+SQL = {"op2_rendezvous": checks.op2(SHARDS, sharding.ROWS_PER_RUN), "op3_warc": checks.op3(), "op5_decontaminate": checks.op5(decontaminate.WINDOW), "op6_jaccard": checks.op6(3, 90)}
