@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from shelfrank.llm import words as W
 
 SPACE = 0x2581
-#: Text whose new cuts are matched at once; cuts that a task remembers; longest cut that is relaxed with others.
-BATCH_BYTES, REMEMBERED, LONG = 6 << 20, 300_000, 64
+#: Text taken at once; characters of new cuts in one suffix array; cuts that a task remembers; longest cut relaxed with others.
+BATCH_BYTES, MATCHED, REMEMBERED, LONG = 4 << 20, 1 << 18, 200_000, 64
 _NONE = np.int32(2**31 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,8 +120,9 @@ def encode_cuts(points: np.ndarray, first: np.ndarray, pieces: Pieces) -> tuple[
     width = pieces.longest + 1
     order = suffix_array(points, pieces.longest)
     low, high = occurrences(points, order, pieces)
-    piece = np.repeat(np.arange(len(low)), high - low)
+    piece = np.repeat(np.arange(len(low), dtype=np.int32), high - low)
     place = order[W.spans(low, high - low)] * width + pieces.length[piece]
+    del order, low, high
     by = np.argsort(place)  # edges by position, then length
     place, piece = place[by], piece[by]
     rank, ids = np.full(len(points) * width, _NONE, np.int32), np.full(len(points) * width, -1, np.int32)
@@ -257,7 +258,14 @@ class Encoder:
         if new:
             base = np.cumsum([0, *[len(t) for t, _, _ in new]])[:-1]
             text, starts, fresh = np.concatenate([t for t, _, _ in new]), np.concatenate([s + b for (_, s, _), b in zip(new, base, strict=True)]), np.concatenate([h for _, _, h in new])
-            ids, many = encode_cuts(text, starts, self.pieces)
+            del new
+            parts, at = [], 0
+            while at < len(starts):  # whole cuts, as many as one array is to hold
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + MATCHED)))
+                end = starts[to] if to < len(starts) else len(text)
+                parts.append(encode_cuts(text[starts[at] : end], starts[at:to] - starts[at], self.pieces))
+                at = to
+            ids, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             self.hash = np.concatenate([self.hash, fresh])
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(many) - many])
             self.length = np.concatenate([self.length, many])
