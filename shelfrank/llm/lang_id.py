@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from shelfrank.llm import words as W
 from shelfrank.llm.storage import keep_rows
 
-FIT_ROWS, MAX_WORDS, MAX_GRAMS = 24_000, 150_000, 60_000
+FIT_ROWS, MAX_WORDS, MAX_GRAMS = 24_000, 60_000, 40_000
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -135,10 +135,10 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not langs:
         return Model([], np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 0)), [])
     table = counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"), *sums)
-    best = table.orderBy(F.desc("n"), "hash").limit(MAX_WORDS).collect()
-    counts = np.array([[r[f"n{k}"] for k in range(len(langs))] for r in best], float).reshape(len(best), len(langs))
+    best = table.orderBy(F.desc("n"), "hash").limit(MAX_WORDS).toPandas()
+    counts = best[[f"n{k}" for k in range(len(langs))]].to_numpy(float)
     prior = np.log(np.array([share[x] for x in langs], float) / sum(share.values()))
-    return Model(langs, prior, np.array([r["hash"] for r in best], np.int64).view(np.uint64), counts, [r["word"] for r in best])
+    return Model(langs, prior, best["hash"].to_numpy(np.int64).view(np.uint64), counts, best["word"].tolist())
 
 
 def _has_letter(column: pa.Array) -> np.ndarray:
