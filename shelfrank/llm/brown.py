@@ -26,14 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
-from shelfrank.llm.storage import keep
+from shelfrank.llm.storage import keep, settings
 
 VOCABULARY, CLASSES, GROUPS, BANDS = 1024, 64, 8, 12
 #: Text of a block, and the least number of ranges of word hashes.
-BLOCK_BYTES, LEAST_RANGES = 16 << 20, 1024
+BLOCK_BYTES, LEAST_RANGES = 8 << 20, 1024
 #: Weight of a class's own share against what follows the class before.
 WEIGHT = 20.0
 
+#: A block's row is some MB, so few of them are to travel to Python at once.
+FEW_BLOCKS = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
+
 # Classes of the model: CLASSES of frequent words, GROUPS * BANDS of others, unseen words, the end.
 UNSEEN = CLASSES + GROUPS * BANDS
 END = UNSEEN + 1
@@ -50,7 +53,7 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-BLOCKS = "block long, ids array<long>, train array<boolean>, counts array<int>, tokens binary, vocabulary binary"
+BLOCKS = "block long, ids array<long>, train array<boolean>, counts array<int>, tokens binary, vocabulary binary, places binary"
 
 
 def _blocks(docs: DataFrame, train: Column) -> DataFrame:
@@ -59,7 +62,7 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in BLOCKS.split(", ")]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3]
         for batch in batches:
             held, at, size = [], 0, 0
             for _, to, found in W.pieces(batch.column(2)):
@@ -67,9 +70,12 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
                 size += len(found.data)
                 if size >= BLOCK_BYTES or to == batch.num_rows:
                     hashes = np.concatenate([f.hash for f in held])
-                    known, token = np.unique(hashes, return_inverse=True)
+                    known, token, uses = np.unique(hashes, return_inverse=True, return_counts=True)
+                    places = np.argsort(-uses, kind="stable").astype(np.int32)  # frequent words get small numbers
+                    rank = np.empty(len(known), np.int32)
+                    rank[places] = np.arange(len(known), dtype=np.int32)
                     own = batch.slice(at, to - at)
-                    row = [number, own.column(0).to_pylist(), own.column(1).to_pylist(), np.concatenate([f.counts() for f in held]), planes(token.astype(np.int32)), planes(known)]
+                    row = [number, own.column(0).to_pylist(), own.column(1).to_pylist(), np.concatenate([f.counts() for f in held]), planes(rank[token]), planes(known), planes(places)]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
                     number, held, at, size = number + 1, [], to, 0
 
@@ -94,8 +100,10 @@ class Block:
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block]]:
-    for row in batch.to_pylist():
-        yield row, Block(unplanes(row["tokens"], np.int32), unplanes(row["vocabulary"], np.uint64), np.array(row["counts"], np.int64), np.array(row["train"], bool))
+    for at in range(batch.num_rows):
+        row = batch.slice(at, 1).to_pylist()[0]
+        tokens = unplanes(row.pop("places"), np.int32)[unplanes(row.pop("tokens"), np.int32)]
+        yield row, Block(tokens, unplanes(row.pop("vocabulary"), np.uint64), np.array(row["counts"], np.int64), np.array(row["train"], bool))
 
 
 def history(block: Block, clas: np.ndarray) -> np.ndarray:
@@ -355,6 +363,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     rows like others. Without training texts every token is unseen and has probability 1.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias("text"))
+    with settings(docs.sparkSession, **FEW_BLOCKS):
+        return _score(docs)
+
+
+def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = _blocks(docs, F.col("train"))
     ranges = 1 << (max(LEAST_RANGES, docs.count() // 500) - 1).bit_length()
@@ -389,4 +402,4 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return answered.mapInArrow(run, SCORES)
+    return keep(answered.mapInArrow(run, SCORES), "lm-scores")

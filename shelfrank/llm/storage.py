@@ -16,7 +16,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows as a stored table: lost executors lose none of it, and its plan starts at a scan."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -26,19 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as double underscores) for the jobs that run inside."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {n: spark.conf.get(n) for n in names.values()}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def pruned_joins(spark: SparkSession):
     """Joins of a large table with a small filtered one are to drop rows by Spark's own Bloom filter before the shuffle.
 
     Spark does this by itself for tables above 10 GB; the size of the filter stays limited
     by its settings, and a larger small side is joined without one.
     """
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0")
 
 
 def keep_rows(docs: DataFrame, column: str, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
