@@ -3,32 +3,37 @@
 * Exchange clustering deals the VOCABULARY most frequent training words into CLASSES
   classes: each word in turn moves to the class that raises the likelihood of the training
   bigrams most, until no word moves.
-* Every other training word joins one of GROUPS groups of classes, that which most often
-  stands before it, and within the group the class of its count (by powers of two).
-* A word's probability is that of its class after the last class of a frequent word before
-  it (smoothed by the class's own share), times its share of its class. Words never seen
-  are one class, which gets as much as the words seen once.
-
-Counts of all words go through shuffles and grow with the corpus. The texts are kept as
-blocks of word numbers, each with its own vocabulary; a block asks for the counts and
-classes of its words in packed lists by range of word hash. Only tables of fixed size reach
-the driver: bigrams of the clustered words, and of classes.
+* Every training word then goes to its best class by the classes that stand before and after
+  it. In up to ROUNDS written rounds all words' contexts are gathered anew, and half of the
+  words by hash, the other half in the next round, go to their best class against the class
+  bigrams of the round before: all at once would overshoot. A round that lowers the
+  likelihood is not used and ends the rounds.
+* A word's probability is that of its class after the class of the word before it (smoothed
+  by the class's own share), times its share of its class. Words never seen are one class,
+  which gets as much as the words seen once; they are no history, the word before them is.
+
+Counts, contexts and classes of all words go through shuffles and grow with the corpus. The
+texts are kept as blocks of word numbers, each with its own vocabulary; a block sends the
+counts and contexts of its words, and gets their classes, in packed lists by range of word
+hash. Only tables of fixed size reach the driver: bigrams of the VOCABULARY words, and of
+classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
 from shelfrank.llm.storage import keep, settings
 
-VOCABULARY, CLASSES, GROUPS, BANDS = 1024, 64, 8, 12
+VOCABULARY, CLASSES, ROUNDS = 1024, 64, 4
 #: Text of a block, and the least number of ranges of word hashes.
 BLOCK_BYTES, LEAST_RANGES = 8 << 20, 1024
 #: Weight of a class's own share against what follows the class before.
@@ -37,10 +42,11 @@ WEIGHT = 20.0
 #: A block's row is some MB, so few of them are to travel to Python at once.
 FEW_BLOCKS = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
 
-# Classes of the model: CLASSES of frequent words, GROUPS * BANDS of others, unseen words, the end.
-UNSEEN = CLASSES + GROUPS * BANDS
+# Classes of the model: CLASSES of training words, unseen words, the end. As neighbours of a
+# word, UNSEEN are words without a class yet and END is the edge of a text.
+UNSEEN = CLASSES
 END = UNSEEN + 1
-START = CLASSES  # the history before the first frequent word
+START = CLASSES  # the history before the first known word
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -107,7 +113,7 @@ def _open(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block]]:
 
 
 def history(block: Block, clas: np.ndarray) -> np.ndarray:
-    """The class of the last frequent word before each token (START at first), and before each text's end."""
+    """The class of the last word with a class before each token (START at first), and before each text's end."""
     own = clas[block.tokens]
     n, first = len(own), block.first()
     at = np.where(own < CLASSES, np.arange(n), -1)
@@ -123,32 +129,54 @@ def history(block: Block, clas: np.ndarray) -> np.ndarray:
     return np.concatenate([inside, end])
 
 
-REQUEST = "range long, block long, words binary, counts binary, before binary"
+def contexts(block: Block, clas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of the vocabulary how many kinds of neighbours it has in training texts; kinds and uses, word after word.
+
+    A kind is the class before, END + 1 and the class after, or SAME for the word before itself.
+    """
+    n, side = len(block.tokens), END + 1
+    own, first = clas[block.tokens], block.first()[block.counts > 0]
+    before, after = np.concatenate([[END], own])[:n], np.concatenate([own, [END]])[1:]
+    before[first] = END
+    after[first[1:] - 1] = END
+    inside, again = block.in_training(), np.zeros(n, dtype=bool)
+    again[:-1] = block.tokens[1:] == block.tokens[:-1]
+    again[first[1:] - 1] = False
+    base = block.tokens.astype(np.int64) * (SAME + 1)
+    cells, uses = np.unique(np.concatenate([(base + before)[inside], (base + side + after)[inside], (base + SAME)[inside & again]]), return_counts=True)
+    return np.bincount(cells // (SAME + 1), minlength=len(block.vocabulary)), cells % (SAME + 1), uses
+
+
+SAME = 2 * (END + 1)
+REQUEST = "range long, block long, words binary, counts binary, clas binary, many binary, kinds binary, uses binary"
 
 
-def _ask(blocks: DataFrame, ranges: int, groups: np.ndarray | None, clas: np.ndarray | None, top: np.ndarray | None) -> DataFrame:
-    """The words of each block with their training counts and, once classes are known, what groups stand before them."""
+def _ask(blocks: DataFrame, ranges: int, classes: Callable[[dict, Block], np.ndarray] | None = None) -> DataFrame:
+    """The words of each block with their training counts and, once there are classes, their own and their neighbours'."""
     shift = np.uint64(64 - (ranges - 1).bit_length())
-    shared = blocks.sparkSession.sparkContext.broadcast((top, clas, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, clas, groups = shared.value
         for batch in batches:
             for row, block in _open(batch):
-                n, train = len(block.vocabulary), block.in_training()
-                counts = np.bincount(block.tokens[train], minlength=n).astype(np.int32)
-                before = np.zeros((n, 0), np.int32)
-                if groups is not None:
-                    own = history(block, _frequent(block.vocabulary, top, clas))[: len(block.tokens)]
-                    good = train & (own < CLASSES)
-                    before = np.bincount(block.tokens[good] * GROUPS + groups[own[good]], minlength=n * GROUPS).astype(np.int32).reshape(n, GROUPS)
+                n = len(block.vocabulary)
+                lists = [block.vocabulary, np.bincount(block.tokens[block.in_training()], minlength=n).astype(np.int32)]
+                bounds = np.arange(n + 1)
+                cuts = [bounds] * 2
+                if classes is not None:
+                    clas = classes(row, block)
+                    many, kinds, uses = contexts(block, clas)
+                    lists += [clas.astype(np.uint8), many.astype(np.int32), kinds.astype(np.uint8), uses.astype(np.int32)]
+                    cuts = [bounds] * 4 + [np.concatenate([[0], np.cumsum(many)])] * 2
                 at, start = np.unique((block.vocabulary >> shift).astype(np.int64), return_index=True)
                 ends = np.append(start[1:], n)
                 for k in range(0, len(at), 256):
                     part = list(zip(start[k : k + 256], ends[k : k + 256], strict=True))
-                    lists = [[f(x[a:b]) for a, b in part] for f, x in ((planes, block.vocabulary), (planes, counts))]
-                    lists.append([planes(before[a:b].ravel()) if before.shape[1] else b"" for a, b in part])
-                    yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 256]), pa.array(np.full(len(part), row["block"])), *[pa.array(x, pa.binary()) for x in lists]], names=["range", "block", "words", "counts", "before"])
+                    packed = [[planes(x[c[a] : c[b]]) for a, b in part] for x, c in zip(lists, cuts, strict=True)]
+                    packed += [[b""] * len(part)] * (6 - len(packed))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at[k : k + 256]), pa.array(np.full(len(part), row["block"])), *[pa.array(x, pa.binary()) for x in packed]],
+                        names=[x.split()[0] for x in REQUEST.split(", ")],
+                    )
 
     return blocks.mapInArrow(run, REQUEST).repartition("range").sortWithinPartitions("range")
 
@@ -185,7 +213,7 @@ def _totals(blocks: DataFrame, ranges: int) -> tuple[int, int, np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(counts[best]), pa.array(np.zeros(len(best), np.int64))], names=["word", "n", "distinct"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["word", "n", "distinct"])
 
-    found = keep(_ask(blocks, ranges, None, None, None).mapInArrow(run, "word long, n long, distinct long"), "lm-counts")
+    found = keep(_ask(blocks, ranges).mapInArrow(run, "word long, n long, distinct long"), "lm-counts")
     tokens, distinct = found.where("word is null").agg(F.sum("n"), F.sum("distinct")).first()
     top = found.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
@@ -278,30 +306,98 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int = 0, rounds: int = 12
     return clas[:n]
 
 
+def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word, if it alone moved. The step of ``exchange``, for many words at once.
+
+    ``before``, ``after``: uses by class of the neighbour; ``same``: uses before the word
+    itself; ``table``: class bigrams with these words in their classes. A word that is UNSEEN
+    has no class yet and gets one.
+    """
+    n, words, d = len(clas), np.arange(len(clas)), np.arange(CLASSES)
+    left, right = before.astype(float), after.astype(float)
+    left[words, clas] -= same
+    right[words, clas] -= same
+    gain = np.zeros((n, CLASSES))
+    for use, cells in ((left, table[:, :CLASSES]), (right, table[:CLASSES].T)):
+        most = 16
+        steps = _xlogx(cells + np.arange(most)[:, None, None]) - _xlogx(cells)
+        w, c = np.nonzero(use)
+        for k in range(0, len(w), 1 << 16):
+            own, kind, r = w[k : k + (1 << 16)], c[k : k + (1 << 16)], use[w[k : k + (1 << 16)], c[k : k + (1 << 16)]]
+            value = steps[np.minimum(r, most - 1).astype(np.int64), kind]
+            big = np.flatnonzero(r >= most)
+            value[big] = _xlogx(cells[kind[big]] + r[big, None]) - _xlogx(cells[kind[big]])
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            gain[own[start]] += np.add.reduceat(value, start)
+    # The word's own uses leave the cells of its class: those that another class would share with it.
+    for use, other, cells in ((left, right, table), (right, left, table.T)):
+        w, b = np.nonzero((use[:, :CLASSES] > 0) & (other[words, clas] > 0)[:, None])
+        t, x, y = cells[b, clas[w]], use[w, b], other[w, clas[w]]
+        gain[w, b] += _xlogx(t - x + y) - _xlogx(t - x) - _xlogx(t + y) + _xlogx(t)
+    w, b = np.nonzero(((left[:, :CLASSES] > 0) & (right[:, :CLASSES] > 0)) | (same > 0)[:, None])
+    t, x, y = table[b, b], left[w, b], right[w, b]
+    gain[w, b] += _xlogx(t + x + y + same[w]) - _xlogx(t + x) - _xlogx(t + y) + _xlogx(t)
+    sums = (table.sum(axis=1), after.sum(axis=1)), (table.sum(axis=0), before.sum(axis=1))
+    for marginal, count in sums:
+        uses, which = np.unique(count, return_inverse=True)
+        gain -= (_xlogx(marginal[:CLASSES] + uses[:, None]) - _xlogx(marginal[:CLASSES]))[which]
+    # To stay is worth what taking the word out of its class costs.
+    has = np.flatnonzero(clas < CLASSES)
+    a, stay = clas[has], np.zeros(len(has))
+    for use, cells in ((left[has], table[:, :CLASSES]), (right[has], table[:CLASSES].T)):
+        w, c = np.nonzero(use)
+        w, c = w[c != a[w]], c[c != a[w]]
+        t = cells[c, a[w]]
+        stay += np.bincount(w, weights=_xlogx(t) - _xlogx(t - use[w, c]), minlength=len(has))
+    t = table[a, a]
+    stay += _xlogx(t) - _xlogx(t - left[has, a] - right[has, a] - same[has])
+    for marginal, count in sums:
+        stay -= _xlogx(marginal[a]) - _xlogx(marginal[a] - count[has])
+    gain[has, a] = stay
+    best = gain.argmax(axis=1)
+    held = gain[has, best[has]] <= stay + 1e-9 * np.abs(stay)
+    best[has[held]] = a[held]
+    return best
+
+
 ANSWER = "block long, range long, clas binary, counts binary"
 
 
-def _answer(blocks: DataFrame, ranges: int, groups: np.ndarray, clas: np.ndarray, top: np.ndarray) -> DataFrame:
-    shared = blocks.sparkSession.sparkContext.broadcast((top, clas))
+def _answer(asked: DataFrame, table: np.ndarray, turn: int | None = None) -> DataFrame:
+    """One exchange round: contexts of every word from all blocks, its best class, sent to the blocks that hold it.
+
+    ``turn``: only words of this half move.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, clas = shared.value
         for rows in _by_range(batches):
             own, words, counts, which = _sum(rows)
-            before = np.concatenate([unplanes(r["before"], np.int32).reshape(-1, GROUPS) for r in rows])
-            sums = np.stack([np.bincount(which, weights=before[:, g], minlength=len(words)) for g in range(GROUPS)], axis=1)
-            band = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), BANDS - 1)
-            found = _frequent(words, top, clas)
-            found = np.where(found != UNSEEN, found, np.where(counts > 0, CLASSES + sums.argmax(axis=1) * BANDS + band, UNSEEN))
+            many = np.concatenate([unplanes(r["many"], np.int32) for r in rows])
+            kinds, uses = (np.concatenate([unplanes(r[c], k) for r in rows]) for c, k in (("kinds", np.uint8), ("uses", np.int32)))
+            word = np.repeat(which, many)
+            clas, found = np.full(len(words), UNSEEN, np.int64), np.full(len(words), UNSEEN, np.int64)
+            clas[which] = np.concatenate([unplanes(r["clas"], np.uint8) for r in rows])
+            trained = np.flatnonzero(counts > 0)
+            by = np.argsort(word, kind="stable")
+            word, kinds, uses = word[by], kinds[by], uses[by]
+            for k in range(0, len(trained), 8192):  # rows of all kinds for some words at a time
+                some = trained[k : k + 8192]
+                a, b = np.searchsorted(word, [some[0], some[-1] + 1])
+                cells = np.searchsorted(some, word[a:b]) * (SAME + 1) + kinds[a:b]
+                sums = np.bincount(cells, weights=uses[a:b], minlength=len(some) * (SAME + 1)).reshape(len(some), SAME + 1)
+                best = reassign(clas[some], sums[:, : END + 1], sums[:, END + 1 : SAME], sums[:, SAME], shared.value)
+                found[some] = best if turn is None else np.where(W.mix(words[some]) % np.uint64(2) == turn, best, clas[some])
             ends = np.cumsum([len(o) for o in own])
             parts = list(zip(ends - [len(o) for o in own], ends, strict=True))
-            found, counts = found[which].astype(np.int32), counts[which]
+            found, counts = found[which].astype(np.uint8), counts[which]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["block"] for r in rows]), pa.array([r["range"] for r in rows]), pa.array([planes(found[a:b]) for a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for a, b in parts], pa.binary())],
                 names=["block", "range", "clas", "counts"],
             )
 
-    return _ask(blocks, ranges, groups, clas, top).mapInArrow(run, ANSWER)
+    answers = asked.mapInArrow(run, ANSWER).groupBy("block").agg(F.collect_list(F.struct("range", "clas", "counts")).alias("answers"))
+    return keep(answers, "lm-classes")
 
 
 def _known(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +405,7 @@ def _known(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     clas, counts = np.full(n, UNSEEN, np.int64), np.zeros(n, np.int64)
     at = 0
     for x in sorted(row["answers"], key=lambda x: x["range"]):
-        own = unplanes(x["clas"], np.int32)
+        own = unplanes(x["clas"], np.uint8)
         clas[at : at + len(own)], counts[at : at + len(own)] = own, unplanes(x["counts"], np.int64)
         at += len(own)
     if at != n:
@@ -350,6 +446,17 @@ def transitions(follows: np.ndarray, single: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(smooth, 1e-300))
 
 
+def _free(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of steps that have ended once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def likelihood(follows: np.ndarray) -> float:
+    """Log-likelihood of the training classes given those before them, less what classes don't change."""
+    return float(_xlogx(follows).sum() - _xlogx(follows.sum(axis=0)).sum() - _xlogx(follows.sum(axis=1)).sum())
+
+
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -377,11 +484,25 @@ def _score(docs: DataFrame) -> DataFrame:
     pairs = _bigrams(blocks, top)
     clas = exchange(pairs, CLASSES, fixed=2)
     hot = np.zeros((len(pairs), CLASSES + 2))
-    hot[np.arange(len(pairs)), np.concatenate([clas, [CLASSES, CLASSES + 1]])] = 1
-    groups = exchange(hot.T @ pairs @ hot, GROUPS, fixed=2)
-    answers = _answer(blocks, ranges, groups, clas, top).groupBy("block").agg(F.collect_list(F.struct("range", "clas", "counts")).alias("answers"))
-    answered = keep(blocks.join(answers, "block", "left").withColumn("answers", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType))), "lm-answered")
-    follows, single = _tables(answered)
+    hot[np.arange(len(pairs)), np.concatenate([clas, [UNSEEN, END]])] = 1
+    first = spark.sparkContext.broadcast((top, clas))
+    answers = _answer(_ask(blocks, ranges, lambda row, block: _frequent(block.vocabulary, *first.value)), hot.T @ pairs @ hot)
+    best = None
+    for k in range(ROUNDS + 1):
+        _free(spark)
+        answered = blocks.join(answers, "block", "left").withColumn("answers", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)))
+        follows, single = _tables(answered)
+        _free(spark)
+        gained = likelihood(follows)
+        if best is not None and gained <= best[0]:
+            break
+        best = gained, answered, follows, single
+        if k < ROUNDS:
+            square = np.insert(follows, UNSEEN, 0, axis=0)  # no word of the training texts is without a class
+            answers = _answer(_ask(answered, ranges, lambda row, block: _known(row, len(block.vocabulary))[0]), square, k % 2)
+    _, answered, follows, single = best
+    _free(spark)
+    answered = keep(answered, "lm-answered")
     shared = spark.sparkContext.broadcast((transitions(follows, single), follows.sum(axis=0), tokens + texts, distinct + (texts > 0), texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

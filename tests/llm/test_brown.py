@@ -78,3 +78,30 @@ def test_empty_and_untrained(spark):
     assert B.score(rows.limit(0), F.lit(True)).count() == 0
     got = B.score(rows, F.lit(False)).collect()
     assert [(r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_a_round_finds_each_words_best_class(monkeypatch):
+    draw = np.random.default_rng(7)
+    n = 40
+    bigrams = draw.integers(0, 30, (n + 1, n + 1)) * (draw.random((n + 1, n + 1)) < 0.3).astype(float)  # the last is the edge of a text
+    bigrams[n, n] = 0
+    clas = np.concatenate([draw.integers(0, 6, n), [B.END]])
+    clas[:5] = B.UNSEEN
+    hot = np.eye(B.END + 1)[clas]
+    table = hot.T @ bigrams @ hot
+    got = B.reassign(clas[:n], (bigrams.T @ hot)[:n], (bigrams @ hot)[:n], np.diag(bigrams)[:n], table)
+    for w in range(n):
+        moved = np.repeat(clas[None], B.CLASSES, axis=0)
+        moved[:, w] = np.arange(B.CLASSES)
+        every = [likelihood(bigrams, m, B.END + 1) for m in moved]
+        assert every[got[w]] > max(every) - 1e-6
+
+
+def test_every_training_word_has_a_class_by_its_contexts_and_is_a_history(spark):
+    draw = random.Random(9)
+    pairs = [f"a{i} x z" for i in range(3000)] * 6 + [f"b{i} y z" for i in range(3000)] * 6  # far more words than VOCABULARY
+    draw.shuffle(pairs)
+    docs = [(i, " ".join(pairs[i * 50 : i * 50 + 50])) for i in range(720)]
+    got = B.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 8 != 1).where(~F.col("train")).collect()
+    best = 50 * math.log10(6000)  # a word of 6000, and what follows it is certain; 1024 words alone score worse by over 50
+    assert len(got) == 90 and -sum(r.score for r in got) / 90 < best + 20
