@@ -4,8 +4,10 @@ A word known from the labelled texts adds its log frequency in each language. An
 word adds the mean log frequency of its longest n-grams that are known, counted as one
 word. The posterior of the best language is the score.
 
-The model is fitted on at most about FIT_ROWS labelled rows, taken by a hash of their key,
-and holds at most MAX_WORDS words and MAX_GRAMS n-grams of each length.
+The model is fitted on at most about FIT_ROWS labelled rows, drawn per language by a hash: a
+language with few rows gives all of them, the others share the rest evenly. It holds at most
+MAX_WORDS words and MAX_GRAMS n-grams of each length, taken in turns from the languages' most
+frequent ones; n-grams are counted over all words of the sample.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
-from shelfrank.llm.storage import keep_rows
+from shelfrank.llm.storage import keep, keep_rows
 
-FIT_ROWS, MAX_WORDS, MAX_GRAMS = 24_000, 60_000, 40_000
+FIT_ROWS, MAX_WORDS, MAX_GRAMS = 24_000, 150_000, 60_000
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -34,27 +36,28 @@ def fit_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * limit / n))
 
 
+def language_shares(rows: dict[str, int], limit: int) -> dict[str, float]:
+    """Share of each language's rows to draw: about ``limit`` in all, evenly as far as a language has rows."""
+    out, left = {}, limit
+    for k, lang in enumerate(sorted(rows, key=lambda x: (rows[x], x))):
+        take = min(rows[lang], left / (len(rows) - k))
+        out[lang], left = take / rows[lang], left - take
+    return out
+
+
 class Model:
-    """Log frequencies by language of words and n-grams, found by their hashes."""
+    """Log frequencies by language of words and n-grams, found by their hashes.
+
+    ``grams``: for each length the n-grams, their counts by language, and all counts by language.
+    """
 
-    def __init__(self, langs: list[str], prior: np.ndarray, word: np.ndarray, word_counts: np.ndarray, texts: list[str]):
+    def __init__(self, langs: list[str], prior: np.ndarray, word: np.ndarray, word_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.langs, self.prior = langs, prior
         by = np.argsort(word)
         self.word, self.word_value = word[by], _centred(word_counts[by])
         self.gram, self.gram_value = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
-        found, values = [], []
-        points, first, length = _points([t.encode() for t in texts])
-        for n in range(1, LONGEST + 1):
-            at, own = _grams(points, first, length, n)
-            if not len(at):
-                continue
-            gram, which = np.unique(W.run_hash(points, at, n), return_inverse=True)
-            counts = np.stack([np.bincount(which, weights=word_counts[own, k], minlength=len(gram)) for k in range(len(langs))], axis=1)
-            most = np.lexsort((gram, -counts.sum(axis=1)))[:MAX_GRAMS]
-            found.append(gram[most])
-            values.append(_centred(counts[most], counts.sum(axis=0)))
-        if found:
-            gram, value = np.concatenate(found), np.concatenate(values)
+        if grams:
+            gram, value = np.concatenate([g for g, _, _ in grams]), np.concatenate([_centred(c, t) for _, c, t in grams])
             by = np.argsort(gram)
             self.gram, self.gram_value = gram[by], value[by]
 
@@ -114,7 +117,14 @@ def _grams(points: np.ndarray, first: np.ndarray, length: np.ndarray, n: int) ->
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """A model from the rows with text and language. Without any, every text is unknown."""
-    rows = fit_sample(rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang), key, fit_rows)
+    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    share = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(share)
+    if not langs:
+        return Model([], np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 0)), [])
+    drawn = rows.sparkSession.createDataFrame([(x, int((1 << 30) * p)) for x, p in language_shares(share, fit_rows).items()], "lang string, below long")
+    place = F.pmod(F.xxhash64(F.lit("fit"), F.col("key"), F.col("text")), F.lit(1 << 30))
+    rows = rows.join(F.broadcast(drawn), "lang").where(place < F.col("below"))  # a row per language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,17 +138,44 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     names=["word", "hash", "lang", "n"],
                 )
 
-    counted = rows.select(F.col(text), F.col(lang).cast("string")).mapInArrow(count, "word string, hash long, lang string, n long")
-    share = {r.lang: r.n for r in rows.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
-    langs = sorted(share)
-    sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
-    if not langs:
-        return Model([], np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 0)), [])
-    table = counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"), *sums)
-    best = table.orderBy(F.desc("n"), "hash").limit(MAX_WORDS).toPandas()
-    counts = best[[f"n{k}" for k in range(len(langs))]].to_numpy(float)
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which = batch.column(1).dictionary_encode()
+            uses = batch.column(2).to_numpy()
+            points, first, length = _points([w.encode() for w in batch.column(0).to_pylist()])
+            for n in range(1, LONGEST + 1):
+                at, own = _grams(points, first, length, n)
+                if not len(at):
+                    continue
+                gram = W.run_hash(points, at, n)
+                for k, x in enumerate(which.dictionary.to_pylist()):
+                    some = which.indices.to_numpy()[own] == k
+                    value, to = np.unique(gram[some], return_inverse=True)
+                    sums = np.bincount(to, weights=uses[own[some]], minlength=len(value)).astype(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(value), n, np.int32)), pa.array(value.view(np.int64)), pa.array([x] * len(value), pa.string()), pa.array(sums)], names=["size", "hash", "lang", "n"])
+
+    counted = rows.select("text", "lang").mapInArrow(count, "word string, hash long, lang string, n long")
+    words = keep(counted.groupBy("hash", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "language-words")
+    best = _in_turns(words.withColumn("size", F.lit(0)), langs, MAX_WORDS).toPandas()
+    grams = words.select("word", "lang", "n").mapInArrow(count_grams, "size int, hash long, lang string, n long")
+    grams = keep(grams.groupBy("size", "hash", "lang").agg(F.sum("n").alias("n")), "language-grams")
+    totals = {(r["size"], r["lang"]): r["n"] for r in grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    most = _in_turns(grams, langs, MAX_GRAMS).toPandas()
+    names = [f"n{k}" for k in range(len(langs))]
+    tables = []
+    for n, own in most.groupby("size"):
+        tables.append((own["hash"].to_numpy(np.int64).view(np.uint64), own[names].to_numpy(float), np.array([totals.get((n, x), 0) for x in langs], float)))
     prior = np.log(np.array([share[x] for x in langs], float) / sum(share.values()))
-    return Model(langs, prior, best["hash"].to_numpy(np.int64).view(np.uint64), counts, best["word"].tolist())
+    return Model(langs, prior, best["hash"].to_numpy(np.int64).view(np.uint64), best[names].to_numpy(float), tables)
+
+
+def _in_turns(counts: DataFrame, langs: list[str], limit: int) -> DataFrame:
+    """Per size ``limit`` hashes with their counts in each language: each language's most frequent, then its second, and so on."""
+    by = Window.partitionBy("size", "lang").orderBy(F.desc("n"), "hash")
+    sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
+    table = counts.withColumn("rank", F.row_number().over(by)).groupBy("size", "hash").agg(F.min("rank").alias("rank"), *sums)
+    turn = F.row_number().over(Window.partitionBy("size").orderBy("rank", "hash"))
+    return table.withColumn("turn", turn).where(F.col("turn") <= limit).drop("rank", "turn")
 
 
 def _has_letter(column: pa.Array) -> np.ndarray:

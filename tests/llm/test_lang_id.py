@@ -61,3 +61,18 @@ def test_nothing_to_learn_from(spark):
 def test_sample_is_bounded(spark):
     some = L.fit_sample(spark.range(50_000).withColumnRenamed("id", "doc_id"), "doc_id", 1000)
     assert 800 < some.count() < 1200 and sorted(some.collect()) == sorted(some.collect())
+
+
+def test_a_small_language_is_learned_beside_a_large_one(spark, monkeypatch):
+    draw = random.Random(5)
+    monkeypatch.setattr(L, "MAX_WORDS", 400)
+    monkeypatch.setattr(L, "MAX_GRAMS", 200)
+    syllables = {"aa": [a + b for a in "bcdfghjk" for b in "aeiou"], "bb": [a + b for a in "lmnpqrst" for b in "aeiou"]}
+    make = lambda lang: " ".join("".join(draw.choice(syllables[lang]) for _ in range(3)) for _ in range(12))
+    train = [(i, make("aa"), "aa") for i in range(6000)] + [(10_000 + i, make("bb"), "bb") for i in range(6)]
+    model = L.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), fit_rows=300)
+    assert model.langs == ["aa", "bb"] and len(model.word) == 400
+    assert ((model.word_value[:, 1] > model.word_value[:, 0]).sum()) > 50
+    assert L.language_shares({"aa": 6000, "bb": 6}, 300) == {"bb": 1.0, "aa": 294 / 6000}
+    got = L.identify(spark.createDataFrame([(i, make("bb")) for i in range(50)], "doc_id long, text string"), model)
+    assert sum(r.lang_pred == "bb" for r in got.collect()) > 45
