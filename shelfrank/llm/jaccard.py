@@ -2,7 +2,7 @@
 
 1. Routing. Two sets that link differ in few shingles, D at most for their sizes. Dealt over
    more than D parts by hash, some part is the same in both, so every set sends out a key for
-   each of its parts (a set of less than SMALL shingles, or one with many empty parts:
+   each of its parts (a set of less than SMALL shingles, or one with an empty part, also
    its first shingles in a common order, of which linked sets share one). Shingles that
    many documents of a sample hold come last in that order and are left out of the parts;
    this changes which keys meet, never the result. Keys travel in packed blocks; each task
@@ -117,7 +117,7 @@ class Router:
             keys.append(W.mix(sums ^ W.mix(salt + np.uint64(7)))[filled])
             owners.append(own[owner[filled]])
             empty = many - np.bincount(owner[filled], minlength=len(own))
-            short[own[4 * empty >= many]] = True
+            short[own[empty > 0]] = True  # the part that linked sets share may be empty in both
         own = np.flatnonzero(short)
         at = W.spans(first[own], spare[own])
         keys.append(W.mix(value[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))

@@ -114,3 +114,16 @@ def test_tree_finds_all_ties(split):
     else:  # with the links within both blocks, which other tasks find
         inside = [(a, b) for a, b in every if (a < split) == (b < split)]
         assert labels(found + inside) == labels(every)
+
+
+def test_linked_sets_share_a_key_though_the_parts_they_share_are_empty():
+    """A base of frequent shingles only, and copies whose own shingles fill all parts but a few."""
+    draw, router, links = np.random.default_rng(3), J.Router(90), 0
+    for _ in range(300):
+        base = np.unique(draw.integers(0, 1 << 62, 100, dtype=np.uint64)) | J._HOT
+        own = np.sort(draw.integers(0, 1 << 50, 11, dtype=np.uint64) * router.parts[0].astype(np.uint64) + np.arange(11, dtype=np.uint64))  # a part each
+        copy = np.concatenate([own, base])  # frequent ones last
+        links += 100 * len(base) >= 90 * len(copy)
+        keys, owner = router.keys(np.concatenate([base, copy]), np.array([len(base), len(copy)]))
+        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    assert links == 300
