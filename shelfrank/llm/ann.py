@@ -100,6 +100,11 @@ def _gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slack(limit: float, length: np.ndarray, longest: float) -> np.ndarray:
+    """Rounding of a reach and of a gap: vectors as near as the k-th best, equal ones at distance 0, are to be seen."""
+    return 1e-9 * limit * (length + longest) ** 2
+
+
 def search_block(ids, vectors, places, query_ids, queries, query_places, bound, k: int, limit: float, longest: float):
     """(query number, id, score) of each query's best ``k`` in a block that are verified before the test holds.
 
@@ -117,7 +122,7 @@ def search_block(ids, vectors, places, query_ids, queries, query_places, bound,
     while at < len(leaves):
         near = order[:, at : at + wide]
         reach = limit * (length**2 + longest**2 - 2 * kth)
-        go = np.take_along_axis(gap, near, axis=1) < reach[:, None]
+        go = np.take_along_axis(gap, near, axis=1) <= (reach + _slack(limit, length, longest))[:, None]
         if not go[:, 0].any():  # leaves come from near to far
             break
         own, leaf = np.nonzero(go)[0], near[go]
@@ -231,8 +236,9 @@ class Index:
 
         def others(frames):
             for f in frames:
-                reach = limit * ((_matrix(f["query"]).astype(float).reshape(-1, dims) ** 2).sum(axis=1) + longest**2 - 2 * f["bound"].to_numpy())
-                go = _gap(_matrix(f["place"]).reshape(-1, PROJECTED), low, high) < reach[:, None]
+                squares = (_matrix(f["query"]).astype(float).reshape(-1, dims) ** 2).sum(axis=1)
+                reach = limit * (squares + longest**2 - 2 * f["bound"].to_numpy()) + _slack(limit, np.sqrt(squares), longest)
+                go = _gap(_matrix(f["place"]).reshape(-1, PROJECTED), low, high) <= reach[:, None]
                 go &= cells != f["cell"].to_numpy()[:, None]
                 at, cell = np.nonzero(go)
                 yield f.iloc[at].assign(cell=cells[cell].astype(np.int32))

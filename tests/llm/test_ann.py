@@ -66,3 +66,14 @@ def test_few_and_no_candidates(spark):
 
 def test_quantile():
     assert abs(A.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3 and abs(A.chi_square_quantile(0.5, 2) - 1.38629) < 1e-4
+
+
+@pytest.mark.parametrize("cells", [8192, 100])
+def test_many_equal_vectors_and_one_hot_vectors(spark, monkeypatch, cells):
+    monkeypatch.setattr(A, "CELL_ROWS", cells)
+    draw = np.random.default_rng(1)
+    for x in (np.tile(np.array([[0.1, 0.7, 0.3]], np.float32), (1000, 1)), np.eye(3, dtype=np.float32)[np.arange(1000) % 3]):
+        ids = draw.permutation(1000)
+        got = run(spark, rows_of(ids, x), 20, every=100)
+        wide = x.astype(float)
+        assert got == {int(ids[q]): [(i, pytest.approx(s)) for i, s in exact(ids, wide, q, 20)] for q in np.flatnonzero(ids % 100 == 0)}
