@@ -7,7 +7,8 @@ shingle's place in the window gives the only place where the window can start, t
 document's length bounds it, and the words there are compared one by one.
 
 Windows are held by every task, in blocks of at most BLOCK_BYTES of item text; a larger
-benchmark takes one pass over the documents for each block, with the same results.
+benchmark takes one pass over the documents for each block, written before the next block
+is read, with the same results: every document row has a stored number by which they meet.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
-from shelfrank.llm.storage import keep_rows
+from shelfrank.llm.storage import keep, keep_rows
 
 WINDOW, SHINGLE = 10, 3
 #: Item text whose windows one pass holds; about 20 times that in memory.
@@ -173,44 +174,42 @@ def _search(docs: DataFrame, text: str, windows: Windows) -> DataFrame:
     return docs.mapInArrow(search, schema)
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Windows]:
-    """The benchmark's windows, some items at a time. Items without an id or a text take no part."""
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark's windows, some items at a time, and whether there are several blocks. Items without an id or a text take no part."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("text")).where("item is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = size // block_bytes + 1
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Windows([(r.item, bytes(r.text)) for r in part.collect()])
+        yield Windows([(r.item, bytes(r.text)) for r in part.collect()]), n > 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: key, n_words, runs of hit words (first and last word number), items that occur.
 
     A null or empty text has no words, no runs and no items. Equal item texts all count.
-    Repeated keys keep a row each; only with several blocks, rows equal in key and text
-    become one. Other columns are not read.
+    Repeated keys keep a row each. Other columns are not read.
     """
     docs = docs.select(F.col(key), F.col(text).cast("binary").alias("_text"))
-    parts = []
-    for windows in blocks(benchmark, block_bytes=block_bytes):
+    rows = None
+    for windows, more in blocks(benchmark, block_bytes=block_bytes):
+        if more and rows is None:
+            docs = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "benchmark-rows")
         windows.order(count_shingles(docs, "_text", windows.all_shingles()))
-        parts.append(windows)
-    if len(parts) == 1:
-        return _search(docs, "_text", parts[0])
-    docs = docs.withColumn("_row", F.xxhash64("_text"))
-    parts = [_search(docs, "_text", windows) for windows in parts]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+        found = _search(docs, "_text", windows)
+        if not more:
+            return found
+        found = keep(found, "benchmark-block")
+        rows = found if rows is None else rows.unionByName(found)
     words = F.flatten(F.collect_list(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))
-    merged = rows.groupBy(key, "_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(words)).alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = rows.groupBy("_row").agg(F.first(key).alias(key), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(words)).alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     single = F.transform("_hit", lambda w: F.struct(w.alias("first"), w.alias("last")))
     return merged.select(key, "n_words", single.alias("runs"), "items")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that hold no window of the benchmark, as they were."""
-    for windows in blocks(benchmark, block_bytes=block_bytes):
+    for windows, more in blocks(benchmark, block_bytes=block_bytes):
         windows.order(count_shingles(docs, text, windows.all_shingles()))
         shared = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -222,6 +221,9 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
             return out
 
         docs = keep_rows(docs, text, clean)
+        if more:
+            docs = keep(docs, "benchmark-clean")
+            shared.unpersist()
     return docs
 
 

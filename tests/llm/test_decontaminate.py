@@ -68,3 +68,11 @@ def test_runs_of_hit_words(spark):
     bench = spark.createDataFrame([(7, "Alpha, beta")], "item_id long, text string")
     row = D.decontaminate(rows, bench).first()
     assert [tuple(r) for r in row.runs] == [(1, 2), (4, 5)] and list(row["items"]) == ["7"]
+
+
+def test_repeated_rows_stay_with_several_blocks(spark):
+    docs, items = case()
+    rows = spark.createDataFrame(docs + [(None, docs[-1][1]), (None, None)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.digest(D.decontaminate(rows, bench, block_bytes=400)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs + [(None, docs[-1][1]), (None, None)], items)
