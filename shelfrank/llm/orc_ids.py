@@ -8,8 +8,9 @@ row groups by their metadata, and Spark reads the stripes of one file in paralle
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,29 +35,37 @@ TAIL = ".,;:!?|%&$#*"
 AT_ONCE = 64
 
 
-class Chunks(dict):
-    """Numbers of the chunks of text seen so far, and the ids of all of them, one after the other.
+def core_of(text: str) -> str:
+    """A chunk without its tail, or whole where the tokenizer could join the tail to what stands before it.
+
+    The tokenizer composes (NFC) and lower-cases before it looks for words, and some letters
+    end in a combining mark then, which is no letter and stays with the punctuation.
+    """
+    core = text.rstrip(TAIL)
+    return core if core and (core[-1].isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha()) and core[-1].isalpha() else text
+
+
+class Chunks:
+    """The chunks of text seen so far, by hash, and the ids of all of them, one after the other.
 
     The tokenizer never joins across white space, so a text's ids are those of its chunks.
     Nor does it join a letter with punctuation, so a chunk's tail is encoded apart; and each
     word ends with an id that only ends words, so the ids of many words encoded as one text
-    can be told apart.
+    can be told apart. Texts that may hold a special token are not lower-cased first.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.new = tokenizer, []
+        self.tokenizer = tokenizer
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, numbers of their chunks
         self.core, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.parts = {"": 0}
         self.length, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
+    def __len__(self) -> int:
+        return len(self.known)
 
     def _encode(self, parts: list[str]) -> None:
         """Gives the next numbers to the parts, and adds their ids."""
@@ -79,37 +88,42 @@ class Chunks(dict):
             ids.append(np.array(found.ids, np.int32))
         self.length, self.ids = np.concatenate(lengths), np.concatenate(ids)
 
-    def learn(self) -> None:
-        if not self.new:
-            return
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         split, new = [], {}
-        for chunk in self.new:
+        for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
-            core = text.rstrip(TAIL)
-            tail = text[len(core) :] if core and core[-1].isalpha() else ""
-            split.append((text[: len(text) - len(tail)], tail))
+            core = core_of(text)
+            split.append((core, text[len(core) :]))
             for part in split[-1]:
                 if part not in self.parts:
                     new[part] = None
         self._encode(list(new))
+        number = np.arange(len(self.core), len(self.core) + len(chunks))
         self.core = np.concatenate([self.core, [self.parts[c] for c, _ in split]])
         self.tail = np.concatenate([self.tail, [self.parts[t] for _, t in split]])
-        self.new = []
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has."""
-        number, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = (text if b"<|" in text else text.lower()).split()  # the tokenizer lowers all but its special tokens
-            counts[i] = len(own)
-            number += map(self.__getitem__, own)
-        self.learn()
-        number = np.array(number, np.int64)
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known)
+        self.known, self.number = known[order], np.concatenate([self.number, number])[order]
+
+    def _numbers(self, hashes: np.ndarray, chunk: Callable[[int], bytes]) -> np.ndarray:
+        """Numbers of the chunks with these hashes; ``chunk`` gives one that is new."""
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], [chunk(int(i)) for i in first[new]])
+            at = np.searchsorted(self.known, distinct)
+        return self.number[at][place]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts that ``offsets`` cuts ``data`` into, and how many each has."""
+        words = W.split(data, offsets, lower=False) if b"<|" in data[offsets[0] : offsets[-1]].tobytes() else W.split(data, offsets)
+        number = self._numbers(words.hash, words.word) if len(words.hash) else np.zeros(0, np.int64)
         part = np.stack([self.core[number], self.tail[number]], axis=1).ravel()
         first = np.cumsum(self.length) - self.length
         length = self.length[part]
         ids = self.ids[W.spans(first[part], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[2 * np.cumsum(counts)]
+        ends = np.concatenate([[0], np.cumsum(length)])[2 * words.first()[1:]]
         return ids, np.diff(ends, prepend=0)
 
 
@@ -133,7 +147,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + W.PIECE_BYTES, side="right")) - 1)
                 if len(_SEEN[tokenizer_path]) > REMEMBERED:
                     _SEEN[tokenizer_path] = Chunks(_SEEN[tokenizer_path].tokenizer)
-                ids, counts = _SEEN[tokenizer_path].encode(column.slice(at, to - at).to_pylist())
+                ids, counts = _SEEN[tokenizer_path].encode(data, offsets[at : to + 1])
                 places = np.cumsum(counts)
                 ids = np.insert(ids, places, end_id).astype(np.int32)
                 edges = np.concatenate([[0], places + np.arange(1, to - at + 1)]).astype(np.int32)
@@ -147,13 +161,15 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> str:
     """Encodes and writes the documents in ascending order of their id; returns the folder.
 
-    Texts are dealt to tasks by ranges of the id and sorted there, so file k holds smaller
-    ids than file k + 1. Null ids come first; rows with equal ids lie in one file. The
-    writer's commit names files only when their task has ended well.
+    Texts are dealt to tasks by ranges of the id and the text's hash and sorted there, so
+    file k holds no larger ids than file k + 1, and one id that many rows have is dealt to
+    many files. Null ids come first. The writer's commit names files only when their task
+    has ended well.
     """
     folder = folder or shared_folder(docs.sparkSession, "token-ids")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     encode(rows, tokenizer_path, "doc_id", "text", end_id).write.format("orc").options(**ORC_OPTIONS).save(folder)
     return folder
 
@@ -178,13 +194,15 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the written files.
 
-    Running sums are taken file by file; files follow each other by their smallest id.
+    Running sums are taken file by file; files follow each other by the number that their
+    writer gave them, which is that of their range.
     """
     rows = spark.read.orc(folder).select(F.col("_metadata.file_path").alias("file"), "doc_id", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = keep(rows.mapInArrow(_crc, f"file string, doc_id {kind}, n_tokens long, ids_crc32 long"), "token-index")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least"))
-    earlier = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_tokens").over(own), F.lit(0))

@@ -7,7 +7,7 @@ machine; two different words share one with a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,10 +102,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> Words:
-    """Words of the texts that ``offsets`` cuts ``data`` into, A to Z lower-cased."""
-    data, offsets = _LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
-    inside = kind[data]
+def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | Callable[[np.ndarray], np.ndarray] = SPACED, lower: bool = True) -> Words:
+    """Words of the texts that ``offsets`` cuts ``data`` into, A to Z lower-cased if not told otherwise.
+
+    ``kind``: which byte values belong to words, or a function that marks the bytes that do.
+    """
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    data = _LOWER[data] if lower else data
+    inside = kind(data) if callable(kind) else kind[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]

@@ -2,10 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from shelfrank.llm import orc_ids as O
+from shelfrank.llm import words as W
+from shelfrank.llm.storage import settings
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -52,10 +55,35 @@ def test_empty_table(spark, docs):
     assert O.index(spark, O.write_ids(docs.limit(0), PATH)).count() == 0
 
 
-def test_forgetting_changes_nothing(monkeypatch):
+def _encode(chunks, texts):
+    return chunks.encode(*W.column_bytes(pa.array([(t or "").encode() for t in texts], pa.large_binary())))
+
+
+def test_forgetting_changes_nothing():
     chunks = O.Chunks(Tokenizer.from_file(PATH))
-    texts = [(t or "").encode() for t in TEXTS]
-    whole, counts = chunks.encode(texts)
-    parts = [O.Chunks(chunks.tokenizer).encode([t]) for t in texts]
+    whole, counts = _encode(chunks, TEXTS)
+    parts = [_encode(O.Chunks(chunks.tokenizer), [t]) for t in TEXTS]
     assert np.concatenate([p for p, _ in parts]).tolist() == whole.tolist()
     assert [int(c[0]) for _, c in parts] == counts.tolist()
+
+
+@pytest.mark.parametrize("before, after", [("", "."), ("a", "!"), ("al", "*x"), ("", ".,;:!?|%&$#*")])
+def test_every_letter_before_punctuation(before, after):
+    """Some letters end in a combining mark once composed and lower-cased, and take the punctuation with them."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [before + c + after for c in map(chr, range(0x110000)) if c.isalpha()]
+    ids, counts = _encode(O.Chunks(tokenizer), texts)
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_one_id_of_many_rows_in_several_files(spark):
+    rows = [(7, f"text {i}") for i in range(400)] + [(8, "last"), (None, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        folder = O.write_ids(docs, PATH)
+    assert spark.read.orc(folder).where("doc_id = 7").select("_metadata.file_path").distinct().count() > 1
+    got = O.index(spark, folder).orderBy("start").collect()
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got[:-1]]]))
+    assert got[0].doc_id is None and got[-1].doc_id == 8
