@@ -8,9 +8,8 @@ row groups by their metadata, and Spark reads the stripes of one file in paralle
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from shelfrank.session import shared_folder
 END_ID = 2
 #: Stripe size, rows an index entry stands for, and false hits of the Bloom filter.
 ORC_OPTIONS = {"orc.stripe.size": 64 << 20, "orc.row.index.stride": 10_000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.create.index": "true", "compression": "zstd"}
-#: Texts between white space whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words and other parts of chunks whose ids a task remembers.
+REMEMBERED = 1_000_000
 _SEEN: dict[str, "Chunks"] = {}
 
 
@@ -35,18 +34,38 @@ TAIL = ".,;:!?|%&$#*"
 AT_ONCE = 64
 
 
-def core_of(text: str) -> str:
-    """A chunk without its tail, or whole where the tokenizer could join the tail to what stands before it.
+_TAIL = W.byte_set(*[(ord(c), ord(c)) for c in TAIL])
+_ASCII_LETTER = W.byte_set((0x41, 0x5A), (0x61, 0x7A))
 
-    The tokenizer composes (NFC) and lower-cases before it looks for words, and some letters
-    end in a combining mark then, which is no letter and stays with the punctuation.
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes of letters that neither composing nor lower-casing changes into several: ASCII and Latin-1 ones."""
+    second = np.zeros(len(data), dtype=bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # no multiplication or division sign
+    first = np.zeros(len(data), dtype=bool)
+    first[:-1] = second[1:]
+    return _ASCII_LETTER[data] | first | second
+
+
+def parts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks what is no white space, and where the punctuation at the end of a chunk begins.
+
+    Only after a plain letter: the tokenizer composes (NFC) and lower-cases before it looks
+    for words, and some letters end in a combining mark then, which stays with punctuation.
     """
-    core = text.rstrip(TAIL)
-    return core if core and (core[-1].isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha()) and core[-1].isalpha() else text
+    inside, tail = W.SPACED[data], _TAIL[data]
+    # Tail bytes up to the end of their chunk: no other byte of the chunk comes later.
+    order = np.arange(len(data))
+    other = np.maximum.accumulate(np.where((inside & ~tail)[::-1], order, -1))[::-1]
+    space = np.maximum.accumulate(np.where(~inside[::-1], order, -1))[::-1]
+    last = tail & (space >= other)  # seen from behind, the white space is the nearer one
+    cuts = np.zeros(len(data), dtype=bool)
+    cuts[1:] = last[1:] & ~last[:-1] & _letters(data)[:-1]
+    return inside, cuts
 
 
 class Chunks:
-    """The chunks of text seen so far, by hash, and the ids of all of them, one after the other.
+    """The parts of chunks seen so far, by hash, and the ids of all of them, one after the other.
 
     The tokenizer never joins across white space, so a text's ids are those of its chunks.
     Nor does it join a letter with punctuation, so a chunk's tail is encoded apart; and each
@@ -59,72 +78,63 @@ class Chunks:
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, numbers of their chunks
-        self.core, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts = {"": 0}
-        self.length, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, numbers of their parts
+        self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __len__(self) -> int:
         return len(self.known)
 
-    def _encode(self, parts: list[str]) -> None:
-        """Gives the next numbers to the parts, and adds their ids."""
-        words, rest, lengths, ids = [], [], [self.length], [self.ids]
-        for p in parts:
-            (words if p.isalpha() else rest).append(p)
-        rows = [words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)]
-        for own, found in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
-            row = np.array(found.ids, np.int32)
-            ends = np.flatnonzero(self.ends[row])
-            if len(ends) != len(own) or ends[-1] != len(row) - 1:  # not one word each
-                rest += own
+    def _learn(self, hashes: np.ndarray, words: W.Words, which: np.ndarray) -> None:
+        """Encodes new parts: words of letters many at a time, all else one by one."""
+        start, length = words.start[which], words.end[which] - words.start[which]
+        # All parts one after the other, with a space behind each.
+        ends = np.cumsum(length + 1)
+        text = np.full(int(ends[-1]), 0x20, np.uint8)
+        text[W.spans(ends - length - 1, length)] = words.data[W.spans(start, length)]
+        plain = np.add.reduceat(_letters(text), ends - length - 1) == length
+        counts, found, alone = np.zeros(len(which), np.int64), [], list(np.flatnonzero(~plain))
+        order = []
+        many = np.flatnonzero(plain)
+        rows = [many[at : at + AT_ONCE] for at in range(0, len(many), AT_ONCE)]
+        raw = text.tobytes()
+        texts = [b"".join([raw[ends[i] - length[i] - 1 : ends[i]] for i in row.tolist()]).decode() for row in rows]
+        for row, encoded in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids])
+            if len(stops) != len(row) or stops[-1] != len(ids) - 1:  # not one word each
+                alone += row.tolist()
                 continue
-            self.parts.update(zip(own, range(len(self.parts), len(self.parts) + len(own)), strict=True))
-            lengths.append(np.diff(ends, prepend=-1))
-            ids.append(row)
-        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.parts[part] = len(self.parts)
-            lengths.append(np.array([len(found.ids)]))
-            ids.append(np.array(found.ids, np.int32))
-        self.length, self.ids = np.concatenate(lengths), np.concatenate(ids)
-
-    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        split, new = [], {}
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            core = core_of(text)
-            split.append((core, text[len(core) :]))
-            for part in split[-1]:
-                if part not in self.parts:
-                    new[part] = None
-        self._encode(list(new))
-        number = np.arange(len(self.core), len(self.core) + len(chunks))
-        self.core = np.concatenate([self.core, [self.parts[c] for c, _ in split]])
-        self.tail = np.concatenate([self.tail, [self.parts[t] for _, t in split]])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known, self.number = known[order], np.concatenate([self.number, number])[order]
-
-    def _numbers(self, hashes: np.ndarray, chunk: Callable[[int], bytes]) -> np.ndarray:
-        """Numbers of the chunks with these hashes; ``chunk`` gives one that is new."""
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(new):
-            self._learn(distinct[new], [chunk(int(i)) for i in first[new]])
-            at = np.searchsorted(self.known, distinct)
-        return self.number[at][place]
+            counts[row] = np.diff(stops, prepend=-1)
+            order.append(row)
+            found.append(ids)
+        texts = [raw[ends[i] - length[i] - 1 : ends[i] - 1].decode("utf-8", "replace") for i in alone]
+        for i, encoded in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            counts[i] = len(encoded.ids)
+            order.append([i])
+            found.append(np.array(encoded.ids, np.int32))
+        order = np.concatenate(order)
+        number = np.empty(len(which), np.int64)
+        number[order] = len(self.first) + np.arange(len(which))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts[order]) - counts[order]])
+        self.length = np.concatenate([self.length, counts[order]])
+        self.ids = np.concatenate([self.ids, *found])
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, number)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts that ``offsets`` cuts ``data`` into, and how many each has."""
-        words = W.split(data, offsets, lower=False) if b"<|" in data[offsets[0] : offsets[-1]].tobytes() else W.split(data, offsets)
-        number = self._numbers(words.hash, words.word) if len(words.hash) else np.zeros(0, np.int64)
-        part = np.stack([self.core[number], self.tail[number]], axis=1).ravel()
-        first = np.cumsum(self.length) - self.length
+        special = b"<|" in data[offsets[0] : offsets[-1]].tobytes()
+        words = W.split(data, offsets, parts_of, lower=not special)
+        if not len(words.hash):
+            return np.zeros(0, np.int32), np.zeros(words.texts, np.int64)
+        distinct, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.known[np.searchsorted(self.known, distinct).clip(max=len(self) - 1)] != distinct) if len(self) else np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], words, first[new])
+        part = self.number[np.searchsorted(self.known, distinct)][place]
         length = self.length[part]
-        ids = self.ids[W.spans(first[part], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[2 * words.first()[1:]]
-        return ids, np.diff(ends, prepend=0)
+        ends = np.concatenate([[0], np.cumsum(length)])[words.first()[1:]]
+        return self.ids[W.spans(self.first[part], length)], np.diff(ends, prepend=0)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -102,17 +102,21 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | Callable[[np.ndarray], np.ndarray] = SPACED, lower: bool = True) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = SPACED, lower: bool = True) -> Words:
     """Words of the texts that ``offsets`` cuts ``data`` into, A to Z lower-cased if not told otherwise.
 
-    ``kind``: which byte values belong to words, or a function that marks the bytes that do.
+    ``kind``: which byte values belong to words, or a function that marks the bytes that do
+    and those that begin a word of their own after another one.
     """
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     data = _LOWER[data] if lower else data
-    inside = kind(data) if callable(kind) else kind[data]
+    inside, apart = kind(data) if callable(kind) else (kind[data], None)
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
+    if apart is not None and len(data):
+        opens |= apart
+        closes[:-1] |= apart[1:]
     if len(data):  # a word ends with its text
         cuts = offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(data))]
