@@ -73,3 +73,37 @@ def op6(size: int, percent: int) -> str:
       r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
       SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id)
         JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) AS m USING (doc_id)"""
+
+
+def op11(shortest: int, fewest: int, ratio: int, erased: int) -> str:
+    return f"""WITH RECURSIVE crc AS {_CRC_TABLE},
+      runs AS (SELECT doc_id, run, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) AS a
+          WHERE length(run) >= {shortest} GROUP BY doc_id, run),
+      hashed AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM runs, crc),
+      results AS (SELECT n, CASE WHEN h % {erased} = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END AS word FROM hashed),
+      w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS size FROM results WHERE length(word) >= {shortest} GROUP BY word HAVING sum(n) >= {fewest}),
+      less AS (SELECT word, n, size, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, size, unnest(range(1, size + 1)) AS i FROM w) AS p),
+      one AS (SELECT a.word, b.word AS other, b.n FROM less AS a JOIN less AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND a.size = b.size),
+      two AS (SELECT DISTINCT w.word, w.n, less.word AS longer, less.n AS longer_n FROM w JOIN less ON less.rest = w.word),
+      near AS (SELECT word, other, n FROM one UNION ALL SELECT word, longer, longer_n FROM two UNION ALL SELECT longer, word, n FROM two),
+      best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+      first AS (SELECT near.word, min(other) AS other FROM near JOIN best ON near.word = best.word AND near.n = best.top GROUP BY near.word),
+      f AS (SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN top >= {ratio} * w.n THEN other END AS form, CASE WHEN top >= {ratio} * w.n THEN top END AS form_n
+        FROM w LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
+      way(word, at, form) AS (SELECT word, word, form FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.form)
+      SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.form IS NULL"""
+
+
+def op13() -> str:
+    said = "'</s>[INST] ok [/INST]'"
+
+    def marks(text):
+        return " + ".join(f"(length({text}) - length(replace({text}, '{m}', ''))) // {len(m)}" for m in ("<s>", "</s>", "[INST]", "[/INST]", "\\"))
+
+    size = f"length(role) + length(body) + length('<s>[INST][/INST]</s>') + {marks('role')} + {marks('body')}"
+    loss = "COALESCE(string_agg(body, '' ORDER BY turn) FILTER (role = 'assistant'), '')"
+    return f"""WITH c AS (SELECT conv_id, turn, role, COALESCE(text, '') AS body FROM conversations
+        UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said})
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), body, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+        CAST(length({loss}) AS BIGINT) AS loss_chars, sha256({loss}) AS loss_sha256, CAST(sum({size}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""

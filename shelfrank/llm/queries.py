@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm import ann, brown, checks, decontaminate, jaccard, lang_id, orc_ids, pieces, sharding, toxicity, warc
+from shelfrank.llm import alignment, ann, brown, chat, checks, decontaminate, jaccard, lang_id, orc_ids, pieces, sharding, spelling, toxicity, warc
 from shelfrank.llm.storage import table
 
 SHARDS, NEIGHBOURS, QUERY_EVERY = 24, 20, 20
@@ -61,6 +61,31 @@ def op10_orc_ids(spark: SparkSession, d: str) -> DataFrame:
     return orc_ids.index(spark, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op7_sentencepiece, op8_brown, op9_toxicity, op10_orc_ids)}
+def op11_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.rate(alignment.align(table(spark, d, "documents"), *paths, digest=True)).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_chat(spark: SparkSession, d: str) -> DataFrame:
+    told = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", spoken), (-7, 1, "assistant", spoken)], told.schema)
+    return chat.digest(chat.conversations(told.unionByName(extra)))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_language, op2_rendezvous, op3_warc, op4_neighbours, op5_decontaminate, op6_jaccard, op7_sentencepiece, op8_brown, op9_toxicity, op10_orc_ids,
+        op11_spelling, op12_alignment, op13_chat,
+    )
+}
 #: The others fit models, search with a stopping test or call a tokenizer; tests hold them against plain versions.
-SQL = {"op2_rendezvous": checks.op2(SHARDS, sharding.ROWS_PER_RUN), "op3_warc": checks.op3(), "op5_decontaminate": checks.op5(decontaminate.WINDOW), "op6_jaccard": checks.op6(3, 90)}
+SQL = {
+    "op2_rendezvous": checks.op2(SHARDS, sharding.ROWS_PER_RUN), "op3_warc": checks.op3(), "op5_decontaminate": checks.op5(decontaminate.WINDOW), "op6_jaccard": checks.op6(3, 90),
+    "op11_spelling": checks.op11(spelling.MIN_LENGTH, spelling.MIN_COUNT, spelling.RATIO, spelling.ERASED_ONE_IN), "op13_chat": checks.op13(),
+}
