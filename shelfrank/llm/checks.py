@@ -91,8 +91,8 @@ def op11(shortest: int, fewest: int, ratio: int, erased: int) -> str:
       first AS (SELECT near.word, min(other) AS other FROM near JOIN best ON near.word = best.word AND near.n = best.top GROUP BY near.word),
       f AS (SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN top >= {ratio} * w.n THEN other END AS form, CASE WHEN top >= {ratio} * w.n THEN top END AS form_n
         FROM w LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
-      way(word, at, form) AS (SELECT word, word, form FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.form)
-      SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.form IS NULL"""
+      way(word, ending, form) AS (SELECT word, word, form FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.form)
+      SELECT f.word, f.form, way.ending AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.form IS NULL"""
 
 
 def op13() -> str:
