@@ -31,6 +31,8 @@ from shelfrank.llm.storage import keep
 
 #: Cuts whose alignment a task remembers; cuts encoded as one text, and the longest such.
 REMEMBERED, AT_ONCE, LONGEST = 300_000, 64, 200
+#: Bytes of text taken at a time (one longer text is taken whole); cuts whose groups' texts are put together at a time.
+PIECE_BYTES, GATHERED = 1 << 19, 1 << 14
 #: Pairs of ids that are sent to every task.
 FREQUENT = 1 << 20
 _SEEN: dict[tuple[str, str], "Cuts"] = {}
@@ -141,12 +143,21 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values[by], first) if len(first) else np.zeros(0, np.int64)
 
 
+def _token_table(tokens: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each token, where it begins, and the bytes of all; a token without bytes is empty."""
+    size = np.array([len(t or b"") for t in tokens], np.int64)
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+
+
+_SPACES = W.byte_set((0x09, 0x0D), (0x1C, 0x20))
+
+
 class Cuts:
     """Alignments of the cuts seen so far, by hash."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.a, self.b = a, b
-        self.a_size, self.b_size = (np.array([len(t or b"") for t in v.bytes], np.int64) for v in (a, b))
+        self.a_table, self.b_table = (_token_table(v.bytes) for v in (a, b))
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         #: A row a cut: tokens of both kinds, groups, links, and 1 if its bytes can't be had back.
         self.sums = np.zeros((0, 5), np.int64)
@@ -157,52 +168,73 @@ class Cuts:
     def __len__(self) -> int:
         return len(self.known)
 
-    def _encode(self, cuts: list[bytes]) -> tuple[list, list, np.ndarray]:
-        """Ids of both kinds of each cut, and whether its bytes can't be had back from them.
+    def _runs(self, raw: bytes, edges: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Encodes runs of cuts that stand one after the other in ``raw``, each run as one text.
+
+        ``edges``: where each run ends. Gives the ids of both kinds, how many each run has, and
+        which runs' bytes can be had back from both; the others have no ids.
+        """
+        texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True)]
+        ids, counts, good = [], [], np.ones(len(edges), dtype=bool)
+        size = np.diff(edges, prepend=0)
+        for v, sizes, at, flat in ((self.a, *self.a_table), (self.b, *self.b_table)):
+            found = v.encode(texts)
+            n = np.array([len(f) for f in found], np.int64)
+            own = np.concatenate([np.array(f, np.int64) for f in found])
+            have = np.add.reduceat(np.append(sizes[own], 0), np.cumsum(n) - n) * (n > 0)
+            bad = have != size
+            text = flat[W.spans(at[own], sizes[own])].tobytes()
+            if bad.any() or text != raw:
+                ends = np.cumsum(have)
+                for i in np.flatnonzero(~bad):
+                    bad[i] = text[ends[i] - have[i] : ends[i]] != raw[edges[i] - size[i] : edges[i]]
+            good &= ~bad
+            ids.append(own)
+            counts.append(n)
+        keep_ = [np.repeat(good, n) for n in counts]
+        return [i[k] for i, k in zip(ids, keep_, strict=True)], [n * good for n in counts], good
+
+    def _encode(self, words: W.Words, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The cuts in the order they were encoded in, their ids of both kinds, how many each
+        has, and which cuts' bytes can't be had back from them.
 
         Cuts are encoded many at a time; the ids are told apart by their bytes, and a run
         whose bytes differ or that has a token across an edge is encoded cut by cut.
         """
-        found = [[None] * len(cuts), [None] * len(cuts)]
-        lost = np.zeros(len(cuts), dtype=bool)
-        run_of = [i for i, c in enumerate(cuts) if len(c) <= LONGEST and not c[-1:].isspace() and c[-1] < 0x80]
-        runs = [run_of[at : at + AT_ONCE] for at in range(0, len(run_of), AT_ONCE)]
-        together = set(run_of)
-        runs += [[i] for i in range(len(cuts)) if i not in together]
-        while runs:
-            raw = [b"".join([cuts[i] for i in run]) for run in runs]
-            texts = [r.decode("utf-8", "replace") for r in raw]
-            ids = self.a.encode(texts), self.b.encode(texts)
-            again = []
-            for run, whole, *own in zip(runs, raw, *ids, strict=True):
-                good = all(None not in (parts := [v.bytes[i] for i in x]) and b"".join(parts) == whole for v, x in zip((self.a, self.b), own, strict=True))
-                if len(run) == 1:
-                    lost[run[0]] = not good
-                    for f, x in zip(found, own, strict=True):
-                        f[run[0]] = x if good else []
-                    continue
-                if good:
-                    edges = np.cumsum([len(cuts[i]) for i in run])
-                    ends = [np.cumsum(s[x]) for s, x in zip((self.a_size, self.b_size), own, strict=True)]
-                    at = [np.searchsorted(e, edges) for e in ends]
-                    good = all(np.array_equal(e[p], edges) for e, p in zip(ends, at, strict=True))
-                if not good:
-                    again += [[i] for i in run]
-                    continue
-                for f, x, p in zip(found, own, at, strict=True):
-                    low = 0
-                    for i, high in zip(run, (p + 1).tolist(), strict=True):
-                        f[i] = x[low:high]
-                        low = high
-            runs = again
-        return *found, lost
-
-    def _learn(self, hashes: np.ndarray, cuts: list[bytes]) -> None:
-        own_a, own_b, lost = self._encode(cuts)
-        n_a, n_b = (np.array([len(x) for x in own], np.int64) for own in (own_a, own_b))
-        a, b = (np.array([i for x in own for i in x], np.int64) for own in (own_a, own_b))
+        start, size = words.start[which], words.end[which] - words.start[which]
+        joined = np.flatnonzero((size <= LONGEST) & (words.data[start + size - 1] < 0x80) & ~_SPACES[words.data[start + size - 1]])
+        alone = np.setdiff1d(np.arange(len(which)), joined)
+        done = []  # (cuts, ids, counts, lost)
+        if len(joined):
+            raw = words.data[W.spans(start[joined], size[joined])].tobytes()
+            edges = np.cumsum(size[joined])
+            last = np.append(np.arange(AT_ONCE - 1, len(joined) - 1, AT_ONCE), len(joined) - 1)
+            ids, counts, good = self._runs(raw, edges[last])
+            own = np.repeat(good, np.diff(last, prepend=-1))  # cuts of good runs
+            ends = np.cumsum(size[joined][own])
+            parts, apart = [], np.zeros(len(ends), dtype=bool)
+            for i, sizes in zip(ids, (self.a_table[0], self.b_table[0]), strict=True):
+                token_ends = np.cumsum(sizes[i])
+                place = np.searchsorted(token_ends, ends)
+                apart |= token_ends[place] != ends if len(ends) else apart
+                parts.append(np.diff(place, prepend=-1))
+            if apart.any():  # a token across an edge: none is known, and all are encoded cut by cut then
+                own[:] = False
+                ids, parts = [i[:0] for i in ids], [p[:0] for p in parts]
+            done.append((joined[own], ids, parts, np.zeros(int(own.sum()), dtype=bool)))
+            alone = np.concatenate([alone, joined[~own]])
+        if len(alone):
+            raw = words.data[W.spans(start[alone], size[alone])].tobytes()
+            ids, counts, good = self._runs(raw, np.cumsum(size[alone]))
+            done.append((alone, ids, counts, ~good))
+        ids, counts = ([np.concatenate([d[k][kind] for d in done]) for kind in (0, 1)] for k in (1, 2))
+        return np.concatenate([d[0] for d in done]), ids, counts, np.concatenate([d[3] for d in done])
+
+    def _learn(self, hashes: np.ndarray, words: W.Words, which: np.ndarray) -> None:
+        cuts, (a, b), (n_a, n_b), lost = self._encode(words, which)
+        hashes = hashes[cuts]
         cut_of_a = np.repeat(np.arange(len(cuts)), n_a)
-        group_a, group_b = groups_of(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+        group_a, group_b = groups_of(np.cumsum(self.a_table[0][a]), np.cumsum(self.b_table[0][b]))
         groups = int(group_a[-1]) + 1 if len(a) else 0
         in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
         cut_of = cut_of_a[np.cumsum(in_a) - 1] if groups else np.zeros(0, np.int64)
@@ -238,14 +270,15 @@ class Cuts:
             setattr(self, size, np.concatenate([getattr(self, size), new_size]))
             setattr(self, flat, np.concatenate([getattr(self, flat), new]))
         self.times = np.concatenate([self.times, np.add.reduceat(times, first) if len(first) else times])
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, number)
+        by = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[by])
+        self.known, self.number = np.insert(self.known, place, hashes[by]), np.insert(self.number, place, number[by])
 
     def numbers(self, words: W.Words) -> np.ndarray:
         distinct, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
         new = np.flatnonzero(self.known[np.searchsorted(self.known, distinct).clip(max=len(self) - 1)] != distinct) if len(self) else np.arange(len(distinct))
         if len(new):
-            self._learn(distinct[new], [words.word(int(i)) for i in first[new]])
+            self._learn(distinct[new], words, first[new])
         return self.number[np.searchsorted(self.known, distinct)][place]
 
     def align(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +299,8 @@ class Cuts:
         sums = np.where(lost[:, None], 0, sums)[:, :4]
 
         size = np.bincount(text, weights=self.text_size[cut], minlength=texts).astype(np.int64)
-        flat = memoryview(self.text[W.spans(self.text_at[cut], self.text_size[cut])].tobytes())
+        parts = (cut[at : at + GATHERED] for at in range(0, len(cut), GATHERED))
+        flat = memoryview(b"".join([self.text[W.spans(self.text_at[p], self.text_size[p])].tobytes() for p in parts]))
         ends = np.cumsum(size)
         groups = [bytes(flat[e - s : e - 1]) if s else b"" for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
@@ -313,7 +347,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
             data, offsets = _with_space(batch.column(1))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + W.PIECE_BYTES, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1)
                 if len(_SEEN[files]) > REMEMBERED:
                     _SEEN[files] = Cuts(_SEEN[files].a, _SEEN[files].b)
                 sums, groups, size, pairs, times = _SEEN[files].align(data, offsets[at : to + 1])

@@ -30,7 +30,7 @@ from shelfrank.llm.storage import keep
 #: Shortest word in code points, fewest occurrences, and how much more frequent a form is.
 MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 #: Words dealt to one cell; words of the sample that the upper trees are fitted on, and sampled words a cell at least.
-CELL, SAMPLE, PER_CELL = 4096, 400_000, 4
+CELL, SAMPLE, PER_CELL = 4096, 100_000, 4
 #: Points in a box whose letter order is compared with all queries that reach it; letters compared at once.
 LEAF, COMPARED = 24, 4 << 20
 #: Distinct words that a task gathers before it passes them on.
@@ -141,9 +141,14 @@ def letters(words: list[str] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def vectors(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Counts of each letter, up to 255: a step changes a capped count by no more than a whole one."""
-    row = np.repeat(np.arange(len(length)), length)
-    counts = np.bincount(row * DIMENSIONS + _DIMENSION[codes], minlength=len(length) * DIMENSIONS)
-    return np.minimum(counts, 255).astype(np.int16).reshape(len(length), DIMENSIONS)
+    out = np.empty((len(length), DIMENSIONS), np.int16)
+    ends = np.concatenate([[0], np.cumsum(length)])
+    for at in range(0, len(length), 10_000):
+        some = length[at : at + 10_000]
+        row = np.repeat(np.arange(len(some)), some)
+        counts = np.bincount(row * DIMENSIONS + _DIMENSION[codes[ends[at] : ends[at + len(some)]]], minlength=len(some) * DIMENSIONS)
+        out[at : at + len(some)] = np.minimum(counts, 255).reshape(len(some), DIMENSIONS)
+    return out
 
 
 def _split(points: np.ndarray) -> tuple[int, int] | None:
@@ -223,11 +228,12 @@ def fit(words: DataFrame) -> Trees:
     sizes = {r.length: r.n for r in words.groupBy(F.length("word").alias("length")).agg(F.count("*").alias("n")).collect()}
     share = min(1.0, SAMPLE / max(sum(sizes.values()), 1))
     sample = [r.word for r in words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))).select("word").collect()]
-    codes, length = letters(sample)
-    points = vectors(codes, length).astype(np.uint8)
+    own: dict[int, list[str]] = {}
+    for word in sample:
+        own.setdefault(len(word), []).append(word)
     trees = Trees()
     for size, n in sorted(sizes.items()):
-        trees.add(size, points[length == size].astype(np.int16), n)
+        trees.add(size, vectors(*letters(own.get(size, []))), n)
     return trees
 
 
