@@ -40,7 +40,7 @@ def main() -> None:
 
     def one_profile():
         wish = {"min_budget": 10000.0, "max_budget": 60000.0, "usage_key": "gaming", "min_gpu_score_required": 6.0}
-        return R.recommend_for(Q.prepared(spark, folder), wish, top_n=5)
+        return R.recommend_for(Q.listings_store(spark, folder), wish, top_n=5)
 
     def named(name):
         return lambda: Q.all_queries()[name](spark, folder)

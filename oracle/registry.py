@@ -141,6 +141,7 @@ def all_sql() -> dict[str, str]:
             ssd, CAST(NULL AS STRING) AS cpu, ram, CAST(NULL AS STRING) AS os, CASE WHEN source <> 'incehesap' THEN gpu END AS gpu"""),
         "inventory": over("source AS shop, CAST(count(*) AS BIGINT) AS n_rows", where="GROUP BY source") + " UNION ALL SELECT 'empty', CAST(0 AS BIGINT)",
         "csv_round_trip": over("seq, price, ram_gb, ssd_gb, screen_size, brand, os", CLEANED),
+        "dataset_cache": over("seq, price, ram_gb, ssd_gb, screen_size, brand, os", CLEANED),
         "history_append": over("source, count(*) AS n_rows, CAST(sum(seq) AS BIGINT) AS seq_sum", where="GROUP BY source"),
         "new_listings_anti": f"""SELECT seq, url FROM ({D.LISTINGS}) AS n WHERE scraped_at >= TIMESTAMP '1998-01-01' AND NOT EXISTS (
             SELECT 1 FROM ({D.LISTINGS}) AS h WHERE h.scraped_at < TIMESTAMP '1998-01-01' AND h.url = n.url)""",

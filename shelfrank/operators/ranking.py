@@ -54,6 +54,35 @@ def diverse_top(scored: DataFrame, max_top_n: int, few_profiles: bool) -> DataFr
     return rank_all(kept, max(max_top_n, 1)).where(F.col("rank") <= F.greatest(F.col("top_n"), F.lit(1)))
 
 
+def brand_heads(scored: DataFrame, size: int) -> DataFrame:
+    """The best ``size`` rows of each profile and brand, numbered ``_b``; no task sends more of them."""
+    per_brand = Window.partitionBy(PROFILE, "brand").orderBy(*_best_first())
+    return scored.withColumn("_b", F.row_number().over(per_brand)).where(F.col("_b") <= size)
+
+
+def diverse_top_of_heads(heads: DataFrame, size: int) -> DataFrame:
+    """``diverse_top`` out of the best ``size`` rows of each brand (at least as many as any
+    ``top_n``), with ``open``: whether a profile's result may need rows beyond them.
+
+    Only the brands of places 1 and 2 can lack rows: those between place 2 and the third
+    brand are passed over, so a brand whose rows all end before the last place of the
+    result, and that has more of them, leaves its profile open.
+    """
+    profile = Window.partitionBy(PROFILE)
+    in_order = profile.orderBy("_key")
+    rows = heads.withColumn("_key", _key()).withColumn("_r", F.row_number().over(in_order))
+    rows = rows.withColumn("_taken", F.collect_set(F.when(F.col("_r") <= 2, F.col("brand"))).over(profile))
+    taken = F.array_contains("_taken", F.col("brand"))
+    rows = rows.withColumn("_third", F.min(F.when(~taken, F.col("_key"))).over(profile))
+    kept = (F.col("_r") <= 2) | (F.col("_key") >= F.col("_third"))
+    rows = rows.withColumn("rank", F.sum(F.when(kept, 1).otherwise(0)).over(in_order).cast("int"))
+    last = F.greatest(F.col("top_n"), F.lit(1))
+    rows = rows.withColumn("_last", F.min(F.when(kept & (F.col("rank") == last), F.col("_key"))).over(profile))
+    ends_early = (F.col("_b") == size) & taken & F.col("_third").isNotNull() & (F.col("_last").isNull() | (F.col("_key") < F.col("_last")))
+    rows = rows.withColumn("open", F.max(ends_early & (F.col("top_n") > 2)).over(profile))
+    return rows.where(kept & (F.col("rank") <= last)).drop("_b", "_key", "_r", "_taken", "_third", "_last")
+
+
 def summarise(recommended: DataFrame) -> DataFrame:
     """Mean score, price range and size of each profile's result."""
     return recommended.groupBy("profile_id").agg(

@@ -17,8 +17,9 @@ from shelfrank.plans import recommend as R
 from shelfrank.plans.prepare import clean_data, prepare
 from shelfrank.session import shared_folder, shared_root, ship_package, tune
 from shelfrank.sources import csv_files, driver_tables as D, history, pages as P
+from shelfrank.sources.listing_store import ListingStore, listing_store
 from shelfrank.sources.listings import as_listing, union_by_name
-from shelfrank.sources.snapshot import input_state, stored
+from shelfrank.sources.snapshot import input_state
 from shelfrank.streaming import history_stream as HS
 
 SHOPS = ["amazon", "incehesap", "mediamarkt", "vatan"]
@@ -28,11 +29,14 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def prepared(spark, d) -> DataFrame:
-    """Prepared listings with their features, parsed once and kept: the plans read them
-    more than once, and filters reach the scan of a stored table."""
+def listings_store(spark, d) -> ListingStore:
+    """Prepared listings with their features and what depends on no profile, parsed and written once."""
     state = input_state(spark, f"{d}/orders.parquet")
-    return stored(spark, shared_root(spark), "prepared", state, lambda: scoring.add_features(prepare(D.listings(spark, d))))
+    return listing_store(spark, shared_root(spark), "listings", state, lambda: scoring.add_features(prepare(D.listings(spark, d))))
+
+
+def prepared(spark, d) -> DataFrame:
+    return listings_store(spark, d).listings
 
 
 # --- cleaning and hardware -----------------------------------------------------------
@@ -160,6 +164,16 @@ def csv_round_trip(spark, d):
     )
 
 
+def dataset_cache(spark, d):
+    """Shop files read from the stored copy that the first reading of their folder made."""
+    folder, cache = written_shops(spark, d), shared_folder(spark, "cache")
+    csv_files.snapshot(spark, folder, cache, recursive=True)
+    raw = csv_files.snapshot(spark, folder, cache, recursive=True)
+    return clean_data(raw.drop("seq")).select(
+        F.col("seq_no").cast("bigint").alias("seq"), "price", "ram_gb", "ssd_gb", "screen_size", "brand", "os"
+    )
+
+
 def append_history(spark, d):
     """One table written by a batch (first half years) and by two streams with states of their own, the
     first of which is run twice; then rows per source."""
@@ -202,8 +216,9 @@ def profile_table(usage, spark, d):
 def decided(spark, d, usage=None):
     stored, load = R.store_profiles(profile_table(usage, spark, d))
     rule = scoring.add_profile_constants(stored).select(*R.FILTER_COLUMNS)
-    rows = prepared(spark, d)
-    return rows, stored.select("pno", "profile_id"), R.decide_filters(R.count_rows(rows, rule, load), rule, load), load
+    store = listings_store(spark, d)
+    table = R.decide_filters(R.count_rows(store.cells, store.running, rule, load), rule, load)
+    return store.listings, stored.select("pno", "profile_id"), table, load
 
 
 def budget_filter(spark, d):
@@ -261,12 +276,12 @@ REC_COLUMNS = ["profile_id", "rank", "seq", "url", "name", "price", "brand", "os
 
 
 def recommend(usage, spark, d):
-    top = R.recommend(prepared(spark, d), profile_table(usage, spark, d))
+    top = R.recommend(listings_store(spark, d), profile_table(usage, spark, d))
     return top.withColumn("score", r6("score")).select(*REC_COLUMNS)
 
 
 def recommend_summary(spark, d):
-    top = R.recommend(prepared(spark, d), D.profiles(spark, d))
+    top = R.recommend(listings_store(spark, d), D.profiles(spark, d))
     return summarise(top).withColumn("avg_score", r6("avg_score"))
 
 
@@ -282,9 +297,9 @@ def plain_top5(spark, d):
     stored, load = R.store_profiles(p)
     constants = scoring.add_profile_constants(stored)
     rule = constants.select(*R.FILTER_COLUMNS)
-    rows = prepared(spark, d)
-    table = R.decide_filters(R.count_rows(rows, rule, load), rule, load)
-    pairs = R.candidates(rows, table, load)
+    store = listings_store(spark, d)
+    table = R.decide_filters(R.count_rows(store.cells, store.running, rule, load), rule, load)
+    pairs = R.candidates(store.listings, table, load, shared=store.shared)
     scored = R.score_pairs(pairs, constants.select("profile_id", *R.SCORE_COLUMNS), load)
     return rank_all(scored, 5).select("profile_id", "rank", "seq", "price", r6("score").alias("score"))
 
@@ -416,7 +431,7 @@ def all_queries() -> dict:
     q.update(
         clean_data=cleaned_listings, prepare=prepared_listings, stock_status=hinted_stock, noise_titles=noise_titles,
         labelled_value=labelled_values, union_by_name=union_listings, listing_schema=listing_schema, inventory=inventory,
-        csv_round_trip=csv_round_trip, history_append=append_history, new_listings_anti=new_listings,
+        csv_round_trip=csv_round_trip, dataset_cache=dataset_cache, history_append=append_history, new_listings_anti=new_listings,
         vendor_dedup=vendor_dedup, budget_filter=budget_filter, weights=part_weights, score_parts=score_parts,
         score_breakdown=score_breakdowns, dedup_url=dedup_url, dedup_name_price=dedup_name_price, rank=ranked,
         gaming_top5_plain=plain_top5, diverse_topn=diverse, recommend_batch=partial(recommend, None),

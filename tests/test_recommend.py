@@ -9,6 +9,7 @@ from shelfrank.operators.ranking import diverse_top
 from shelfrank.plans import recommend as R
 from shelfrank.plans.prepare import prepare
 from shelfrank.sources import driver_tables as D
+from shelfrank.sources import listing_store as LS
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["profile_id", "rank", "seq", "name", "price", "score"]
@@ -139,8 +140,9 @@ def test_titles_and_design_hints(spark):
     assert hints == {"a": ("mid", 32), "b": ("high", 32), "c": ("low", 16), "d": ("low", 16)}
 
 
-def test_pairs_of_unshared_urls_cross_no_duplicate_shuffle(listings, profiles):
+def test_pairs_of_unshared_urls_cross_no_duplicate_shuffle(listings, profiles, monkeypatch):
     """Pairs are shuffled for ranking, and those of shared urls, cut per task, for duplicate removal; no others."""
+    monkeypatch.setattr(R, "BROADCAST_RESULTS", 0)  # the plan of many results holds the pairs
     plan = R.recommend(listings, profiles)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # A window over url and profile sits on the listings' own shuffle by url: nothing but the
@@ -151,11 +153,11 @@ def test_pairs_of_unshared_urls_cross_no_duplicate_shuffle(listings, profiles):
 
 
 def test_one_url_and_one_name_may_hold_half_of_the_rows(spark, listings, profiles, monkeypatch):
-    monkeypatch.setattr(R, "FREQUENT_URL", 50)
+    monkeypatch.setattr(LS, "FREQUENT_URL", 50)
     busy = listings.withColumns({"url": F.when(F.col("seq") % 2 == 0, F.lit("https://shop.example/one")).otherwise(F.col("url")), "name": F.when(F.col("seq") % 3 == 0, F.lit("Asus one")).otherwise(F.col("name"))})
     some = profiles.where("usage_key IN ('gaming', 'productivity')")
     got = rows(R.recommend(busy, some))
-    monkeypatch.setattr(R, "FREQUENT_URL", 10**9)
+    monkeypatch.setattr(LS, "FREQUENT_URL", 10**9)
     assert got and got == rows(R.recommend(busy, some))
     monkeypatch.setattr(R, "shared_urls", lambda keys: keys.select("url_hash").distinct().withColumn("_shared", F.lit(True)))  # all by shuffles
     assert got == rows(R.recommend(busy, some))
