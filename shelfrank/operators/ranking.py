@@ -25,6 +25,27 @@ def rank_all(scored: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
+def rank_in_ranges(scored: DataFrame, folder: str) -> DataFrame:
+    """``rank`` of every row of every profile, for profiles that may hold most of the rows.
+
+    Rows are sorted by ranges of (profile, order), so one profile lies in many tasks. A row's
+    rank is its place in its range, less where its profile begins there, plus the
+    profile's rows in earlier ranges. The sorted rows are written to ``folder`` once, since
+    ranges that are drawn anew may have other bounds.
+    """
+    order = [F.col(PROFILE).asc_nulls_first(), *_best_first()]
+    placed = scored.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = scored.sparkSession.read.parquet(folder).withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(PROFILE, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(PROFILE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumnsRenamed({PROFILE: "_profile", "_part": "_run"})
+    same = (rows["_part"] == runs["_run"]) & rows[PROFILE].eqNullSafe(runs["_profile"])
+    joined = rows.join(runs, same)
+    rank = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return joined.withColumn("rank", rank).drop("_at", "_part", "_n", "_first", "_before", "_profile", "_run")
+
+
 def diverse_top(scored: DataFrame, max_top_n: int, few_profiles: bool) -> DataFrame:
     """The brand-diverse top ``top_n`` of each profile, with ``rank``.
 

@@ -11,7 +11,7 @@ from shelfrank import rules
 from shelfrank.functions import amazon, clean, hardware, incehesap, mediamarkt, scoring, vatan
 from shelfrank.operators import facets, filters, profiles as prof
 from shelfrank.operators.dedup import keep_first
-from shelfrank.operators.ranking import diverse_top, rank_all, summarise
+from shelfrank.operators.ranking import diverse_top, rank_all, rank_in_ranges, summarise
 from shelfrank.plans import page_listings as PL
 from shelfrank.plans import recommend as R
 from shelfrank.plans.prepare import clean_data, prepare
@@ -313,8 +313,8 @@ def dedup_name_price(spark, d):
 
 
 def ranked(spark, d):
-    rows = own_scores(spark, d).withColumn("pno", F.col("profile_id"))
-    return rank_all(rows).select("profile_id", "rank", "seq", "price")
+    rows = own_scores(spark, d).select(F.col("profile_id").alias("pno"), "score", "price", "seq")
+    return rank_in_ranges(rows, shared_folder(spark, "rank")).select(F.col("pno").alias("profile_id"), "rank", "seq", "price")
 
 
 # --- choices and summaries ----------------------------------------------------------------

@@ -80,7 +80,8 @@ def test_counts_against_a_scan(store, listings, profiles):
 def test_no_listing_is_read_for_counts(store, profiles):
     table, load = R.store_profiles(profiles)
     plan = R.count_rows(store.cells, store.running, R.add_profile_constants(table).select(*R.FILTER_COLUMNS), load)._jdf.queryExecution().executedPlan().toString()
-    assert "/listings" not in plan and "PartitionFilters: [" in plan and "_step" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("url_key" not in line and "PartitionFilters: [_step" in line and " IN (" in line for line in scans)
 
 
 def test_pairs_are_made_once(store, profiles, monkeypatch):

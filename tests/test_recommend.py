@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.operators import profiles as prof
 from shelfrank.operators.dedup import keep_first
-from shelfrank.operators.ranking import diverse_top
+from shelfrank.operators.ranking import diverse_top, rank_in_ranges
 from shelfrank.plans import recommend as R
 from shelfrank.plans.prepare import prepare
 from shelfrank.sources import driver_tables as D
@@ -172,3 +172,23 @@ def test_nothing_is_left_behind(spark, listings):
     before = set(os.listdir(root))
     R.recommend_for(listings, {"usage_key": "dev"}).collect()
     assert set(os.listdir(root)) == before
+
+
+def test_ranks_of_a_profile_with_most_rows(spark, tmp_path):
+    """Ranges cut the busy profile into many tasks; ranks are those of one sort."""
+    rng = random.Random(11)
+    data = [("busy" if i % 4 else rng.choice(["a", "b", None]), float(rng.randrange(20)), rng.randrange(5), i) for i in range(4000)]
+    df = spark.createDataFrame(data, "pno string, score double, price int, seq int").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.pno, r["rank"]): r.seq for r in rank_in_ranges(df, str(tmp_path / "rank")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    stored = spark.read.parquet(str(tmp_path / "rank"))
+    assert stored.where("pno = 'busy'").select(F.shiftright("_at", 33).alias("p")).distinct().count() > 3
+    want = {}
+    for pno in {r[0] for r in data}:
+        for i, r in enumerate(sorted((r for r in data if r[0] == pno), key=lambda r: (-r[1], r[2], r[3]))):
+            want[pno, i + 1] = r[3]
+    assert got == want
