@@ -75,6 +75,11 @@ class ProfileLoad:
     #: Price steps where budgets begin and end, where the profiles were seen one by one.
     ends: frozenset[int] | None = None
 
+    @property
+    def looked_up(self) -> set[int] | None:
+        """Price steps whose running counts are needed."""
+        return None if self.ends is None else {s for e in self.ends for s in (e, e + 1)}
+
     @property
     def few_results(self) -> bool:
         return self.n * self.max_top_n <= BROADCAST_RESULTS
@@ -162,7 +167,7 @@ def count_rows(cells: DataFrame, running: DataFrame, profiles: DataFrame, load:
     thin = F.col("screen_size") <= 14.5
     if load.ends is not None:
         cells = cells.where(F.col("_step").isin(*load.ends))
-        running = running.where(F.col("_step").isin(*load.ends, *[e + 1 for e in load.ends]))
+        running = running.where(F.col("_step").isin(*load.looked_up))
 
     def totals(pairs):
         sum_of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
@@ -272,7 +277,7 @@ def recommend(listings: DataFrame | ListingStore, profiles: DataFrame, null_urls
     # Literal bounds reach the scan of a stored listing table.
     listings = with_features(listings.where((F.col("price") >= load.low) & (F.col("price") <= load.high)))
     cells = store.cells if store else count_cells(listings)
-    decided = decide_filters(count_rows(cells, store.running if store else running_counts(cells), rule, load), rule, load)
+    decided = decide_filters(count_rows(cells, store.running if store else running_counts(cells, load.looked_up), rule, load), rule, load)
 
     def scored_of(table: DataFrame) -> DataFrame:
         pairs = candidates(listings, table, load, null_urls, store and store.shared)

@@ -14,7 +14,7 @@ one url, or none, may hold most of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,13 +50,21 @@ def count_cells(listings: DataFrame) -> DataFrame:
     return rows.groupBy(price_step(F.col("price")).alias("_step"), "price", *COUNT_COLUMNS).agg(F.count("*").alias("n"))
 
 
-def running_counts(cells: DataFrame) -> DataFrame:
-    """_step, hardware, n: listings of this hardware below each price step from the first that has some below it."""
+def running_counts(cells: DataFrame, steps: Iterable[int] | None = None) -> DataFrame:
+    """_step, hardware, n: listings of this hardware below each price step from the first that has some below it.
+
+    ``steps``: the steps that are asked for, if not all.
+    """
     per_step = cells.groupBy(*COUNT_COLUMNS, "_step").agg(F.sum("n").alias("n"))
     along = Window.partitionBy(*COUNT_COLUMNS).orderBy("_step")  # a row for each price step at most
     per_step = per_step.withColumns({"n": F.sum("n").over(along), "_next": F.coalesce(F.lead("_step").over(along), F.lit(LAST_STEP))})
     per_step = per_step.where(F.col("_step") < LAST_STEP)
-    return per_step.withColumn("_step", F.explode(F.sequence(F.col("_step") + 1, F.col("_next")))).drop("_next")
+    if steps is None:
+        found = F.sequence(F.col("_step") + 1, F.col("_next"))
+    else:
+        asked = F.array(*[F.lit(s) for s in sorted(steps)]).cast("array<int>")
+        found = F.filter(asked, lambda s: (s > F.col("_step")) & (s <= F.col("_next")))
+    return per_step.withColumn("_step", F.explode(found)).drop("_next")
 
 
 def offer_keys() -> dict[str, Column]:
