@@ -1,16 +1,18 @@
 """Documents whose word-shingle sets are alike, exactly, and the groups they form.
 
 1. Routing. Two sets that link differ in few shingles, D at most for their sizes. Dealt over
-   more than D parts by hash, some part is the same in both, so every set sends out a key for
-   each of its parts (a set of less than SMALL shingles, or one with an empty part, also
-   its first shingles in a common order, of which linked sets share one). Shingles that
-   many documents of a sample hold come last in that order and are left out of the parts;
-   this changes which keys meet, never the result. Keys travel in packed blocks; each task
-   first ties together its own rows of a key, so a key has at most one row per block.
-2. Sets that share a key hang together in candidate groups; linked sets always do.
+   parts by hash, each differing shingle changes one part, so of any D + 1 parts one is the
+   same in both. Every set sends a key for each of its first D + 1 parts that aren't empty; a
+   small set, or one with too few such parts, its first shingles in a common order, of which
+   linked sets share one. Shingles that many documents of a sample hold come last in that
+   order and are left out of the parts; this changes which keys meet, never the result.
+2. Sets are told by a hash of the whole set, so equal sets are one from here on. Sets of a key
+   meet with their parity sketches: bits that differ in two sketches are at most the shingles
+   that differ. Only pairs within D hang together in candidate groups, so unlike documents
+   that share a passage don't. Keys with the same sets meet once.
 3. Within each group, signature trees find the links (see signature_tree). A large group is
    cut into blocks, and pairs of blocks are traversed as separate tasks.
-4. Links are joined to components. Equal sets are one set from step 2 on.
+4. Links are joined to components.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ from shelfrank.llm.storage import keep, pruned_joins
 SMALL, STEP = 100, 1.5
 #: Documents sampled for frequent shingles, how many of them make one frequent, and how many are held.
 SAMPLE, FREQUENT, MOST_FREQUENT = 12_000, 5, 200_000
+#: Parts beyond those that linked sets of a class may differ in, so that empty ones can be passed over.
+SPARE_PARTS = 1.25
+#: Bits of the smallest and the longest parity sketch; between them a sketch has a bit for each shingle.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+#: Sets of a key that meet in one task, and those up to which all their pairs are compared at once.
+KEY_SETS, FEW = 4096, 24
 #: Rows of keys that a task packs at a time, and the least number of blocks that keys are dealt into.
 PACK, LEAST_BLOCKS = 1 << 20, 1024
 #: Sets and shingles of a block of a large group.
@@ -79,11 +87,11 @@ class Router:
 
     def __init__(self, percent: int):
         self.percent = percent
-        bounds = [SMALL]
+        bounds, step = [SMALL], max(STEP, 100 / percent)  # a linked set is of the same class or the next
         while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * STEP)))
+            bounds.append(int(bounds[-1] * step) + 1)
         self.bounds = np.array(bounds, np.int64)
-        self.parts = self.differ(self.bounds[1:] - 1) + 1
+        self.parts = (SPARE_PARTS * self.differ(self.bounds[1:] - 1)).astype(np.int64) + 3
 
     def differ(self, n: np.ndarray) -> np.ndarray:
         """Shingles in which a set of ``n`` and a linked one that isn't smaller differ at most."""
@@ -102,22 +110,24 @@ class Router:
                 own = own[100 * sizes[own] // self.percent >= self.bounds[level[own] + 1]]
             if not len(own):
                 continue
-            many = self.differ(sizes[own]) + 1
+            many = self.parts[level[own] + up]
             base = np.cumsum(many) - many
             at, which = W.spans(first[own], sizes[own]), np.repeat(np.arange(len(own)), sizes[own])
             v = value[at]
-            part = (v % self.parts[level[own] + up].astype(np.uint64)[which]).astype(np.int64)
-            good = (part < many[which]) & (v < _HOT)
-            slot = base[which[good]] + part[good]
+            part = (v % many.astype(np.uint64)[which]).astype(np.int64)
+            slot = (base[which] + part)[v < _HOT]
             sums = np.zeros(int(many.sum()), np.uint64)
-            np.add.at(sums, slot, W.mix(v[good]))
+            np.add.at(sums, slot, W.mix(v[v < _HOT]))
             filled = np.bincount(slot, minlength=len(sums)) > 0
-            owner = np.repeat(np.arange(len(own)), many)
+            owner, need = np.repeat(np.arange(len(own)), many), self.differ(sizes[own]) + 1
+            before = np.cumsum(filled) - filled  # filled parts before this one, of this set:
+            before -= before[base][owner]
             salt = (level[own][owner] + up).astype(np.uint64) << np.uint64(40) | (np.arange(len(sums)) - base[owner]).astype(np.uint64)
-            keys.append(W.mix(sums ^ W.mix(salt + np.uint64(7)))[filled])
-            owners.append(own[owner[filled]])
-            empty = many - np.bincount(owner[filled], minlength=len(own))
-            short[own[empty > 0]] = True  # the part that linked sets share may be empty in both
+            sent = filled & (before < need[owner])
+            keys.append(W.mix(sums ^ W.mix(salt + np.uint64(7)))[sent])
+            owners.append(own[owner[sent]])
+            # Of two sets with too few filled parts, the part that they share may be empty in both.
+            short[own[np.bincount(owner[sent], minlength=len(own)) < need]] = True
         own = np.flatnonzero(short)
         at = W.spans(first[own], spare[own])
         keys.append(W.mix(value[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -125,31 +135,92 @@ class Router:
         return np.concatenate(keys), np.concatenate(owners)
 
 
-def _tie(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order with their smallest document, and (smallest, other) of keys with several."""
-    by = np.argsort(keys, kind="stable")
-    keys, docs = keys[by], docs[by]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(keys):
-        return keys, docs, docs, docs
-    least = np.minimum.reduceat(docs, start)
-    centre = np.repeat(least, np.diff(np.append(start, len(keys))))
-    other = docs != centre
-    pairs = np.unique(np.stack([centre[other], docs[other]], axis=1), axis=0)
-    return keys[start], least, pairs[:, 0], pairs[:, 1]
-
-
-def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
-    """Sorted keys as differences, and documents, byte plane by byte plane, which compresses well."""
-    planes = [np.diff(keys, prepend=np.uint64(0)), docs]
+def sketches(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches, one after the other, and the 64-bit words of each: bit x tells whether an odd number of shingles fall on it."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    first = np.cumsum(bits) - bits
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (W.mix((value & ~_HOT) + np.uint64(11)) & (bits - 1).astype(np.uint64)[owner]).astype(np.int64)
+    odd = np.zeros(int(bits.sum()), np.uint8)
+    np.bitwise_xor.at(odd, first[owner] + place, np.uint8(1))
+    return np.packbits(odd, bitorder="little").view(np.uint64), bits // 64
+
+
+class Meeting:
+    """Sets with sizes and sketches, of which pairs are asked whether they may link."""
+
+    def __init__(self, size: np.ndarray, sketch: np.ndarray, words: np.ndarray, percent: int):
+        self.size, self.sketch, self.words, self.percent = size, sketch, words, percent
+        self.first = np.cumsum(words) - words
+
+    def _cut(self, own: np.ndarray, words: int) -> np.ndarray:
+        """Sketches of some sets, folded to the given length: the low bits of a place are its place in a shorter sketch."""
+        out = np.empty((len(own), words), np.uint64)
+        for length in np.unique(self.words[own]).tolist():
+            these = np.flatnonzero(self.words[own] == length)
+            long = self.sketch[self.first[own[these]][:, None] + np.arange(length)]
+            out[these] = np.bitwise_xor.reduce(long.reshape(len(these), length // words, words), axis=1)
+        return out
+
+    def may(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether two sets of each pair differ in few enough bits, and in size."""
+        total = self.size[one] + self.size[two]
+        fits = 100 * np.minimum(self.size[one], self.size[two]) >= self.percent * np.maximum(self.size[one], self.size[two])
+        words = np.minimum(self.words[one], self.words[two])
+        for length in np.unique(words[fits]).tolist():
+            these = np.flatnonzero(fits & (words == length))
+            for at in range(0, len(these), max(1, (1 << 20) // length)):
+                pair = these[at : at + max(1, (1 << 20) // length)]
+                apart = np.bitwise_count(self._cut(one[pair], length) ^ self._cut(two[pair], length)).sum(axis=1, dtype=np.int64)
+                fits[pair] = (100 + self.percent) * apart <= (100 - self.percent) * total[pair]
+        return fits
+
+    def ties(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that tie together whatever pairs that may link tie together, within each run of sets."""
+        one, two = [], []
+        for m in range(2, FEW + 1):
+            runs = start[length == m]
+            i, j = np.triu_indices(m, 1)
+            for at in range(0, len(runs), 4096):
+                a, b = ((runs[at : at + 4096, None] + k).ravel() for k in (i, j))
+                good = self.may(a, b)
+                one.append(a[good])
+                two.append(b[good])
+        for first, m in zip(start[length > FEW].tolist(), length[length > FEW].tolist(), strict=True):
+            label = np.arange(m)
+            for pivot in range(m):
+                other = np.flatnonzero(label != label[pivot])
+                if not len(other):
+                    break
+                other = other[self.may(np.full(len(other), first + pivot), first + other)]
+                if len(other):
+                    groups, at = np.unique(label[other], return_index=True)
+                    one.append(np.full(len(groups), first + pivot))
+                    two.append(first + other[at])
+                    label[np.isin(label, np.append(groups, label[pivot]))] = label[pivot]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
+
+
+def _distinct(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, set) in order."""
+    by = np.lexsort((marks, keys))
+    keys, marks = keys[by], marks[by]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+    return keys[new], marks[new]
+
+
+def _pack(keys: np.ndarray, marks: np.ndarray) -> bytes:
+    """Sorted keys as differences, and sets, byte plane by byte plane, which compresses well."""
+    planes = [np.diff(keys, prepend=np.uint64(0)), marks]
     return b"".join(np.ascontiguousarray(np.ascontiguousarray(p).view(np.uint8).reshape(-1, 8).T).tobytes() for p in planes)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(block) // 16
     planes = np.frombuffer(block, np.uint8).reshape(2, 8, n)
-    keys, docs = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
-    return np.cumsum(keys, dtype=np.uint64), docs.view(np.int64)
+    keys, marks = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
+    return np.cumsum(keys, dtype=np.uint64), marks.view(np.int64)
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -168,19 +239,22 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and two marks of every row's set."""
+    """doc_id, n_shingles, two marks and the parity sketch of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, found in W.pieces(batch.column(1)):
                 value, sizes = shingle_sets(found, size, np.zeros(0, np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(x, pa.int64()) for x in (sizes, *_marks(value, sizes))]], names=["doc_id", "n_shingles", "mark", "mark2"])
+                bits, words = sketches(value, sizes)
+                ends = np.append(0, np.cumsum(words * 8)).astype(np.int64)
+                sketch = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(bits)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(x, pa.int64()) for x in (sizes, *_marks(value, sizes))], sketch], names=["doc_id", "n_shingles", "mark", "mark2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark long, mark2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark long, mark2 long, sketch binary")
 
 
 def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
-    """One pass over the texts: packed keys by range of key, and from ``blocks`` on the edges that the task found."""
+    """One pass over the texts: packed (key, mark of the set) by range of key."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
     shift = np.uint64(64 - (blocks - 1).bit_length())
 
@@ -188,25 +262,20 @@ def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
         router, held, rows = Router(percent), [], 0
 
         def flush():
-            keys, docs, u, v = _tie(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]))
+            keys, marks = _distinct(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held]))
             block, start = np.unique((keys >> shift).astype(np.int64), return_index=True)
             ends = np.append(start[1:], len(keys))
             for at in range(0, len(block), 256):
-                part = [_pack(keys[a:b], docs[a:b]) for a, b in zip(start[at : at + 256], ends[at : at + 256], strict=True)]
+                part = [_pack(keys[a:b], marks[a:b]) for a, b in zip(start[at : at + 256], ends[at : at + 256], strict=True)]
                 yield pa.record_batch([pa.array(block[at : at + 256]), pa.array(part, pa.binary())], names=["at", "block"])
-            cuts = range(0, len(u), 1000)
-            part = [_pack(u[a : a + 1000].astype(np.uint64), v[a : a + 1000]) for a in cuts]
-            place = [blocks + int(W.mix(u[a : a + 1])[0] % np.uint64(blocks)) for a in cuts]
-            yield pa.record_batch([pa.array(place, pa.int64()), pa.array(part, pa.binary())], names=["at", "block"])
 
         for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for at, to, found in W.pieces(batch.column(1)):
-                key, owner = router.keys(*shingle_sets(found, size, shared.value))
+                value, sizes = shingle_sets(found, size, shared.value)
+                key, owner = router.keys(value, sizes)
                 good = known[at:to][owner]
-                held.append((key[good], number[at:to][owner[good]]))
+                held.append((key[good], _marks(value, sizes)[0][owner[good]]))
                 rows += len(key)
                 if rows >= PACK:
                     yield from flush()
@@ -217,25 +286,67 @@ def _route(docs: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "at long, block binary")
 
 
-def _meet(blocks: int):
-    """Edges between the documents of a key; rows (at, block) come sorted by the former."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(meeting, mark): the sets of every key that has several; keys with the same sets are one meeting.
 
-    def tied(at: int, held: list[bytes]) -> pa.RecordBatch:
-        keys, docs = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
-        u, v = _tie(keys, docs)[2:] if at < blocks else (keys.view(np.int64), docs)
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    Rows (at, block) come sorted by the former. A key of many sets becomes meetings of every
+    two blocks of its sets.
+    """
+
+    def found(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, marks = _distinct(*(np.concatenate(x) for x in zip(*map(_unpack, held), strict=True)))
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        length = np.diff(np.append(start, len(keys)))
+        meeting = np.add.reduceat(W.mix(marks.view(np.uint64) + np.uint64(5)), start)
+        _, once = np.unique(meeting, return_index=True)
+        once = once[length[once] > 1]
+        few = once[length[once] <= KEY_SETS]
+        yield rows(np.repeat(meeting[few], length[few]), marks[W.spans(start[few], length[few])])
+        for k in once[length[once] > KEY_SETS].tolist():
+            cuts = np.array_split(marks[start[k] : start[k] + length[k]], -(-2 * length[k] // KEY_SETS))
+            for i in range(len(cuts)):
+                for j in range(i + 1, len(cuts)):
+                    name = W.mix(meeting[k : k + 1] + np.uint64(i << 32 | j))
+                    yield rows(np.repeat(name, len(cuts[i]) + len(cuts[j])), np.concatenate([cuts[i], cuts[j]]))
+
+    def rows(meeting: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(meeting.view(np.int64)), pa.array(marks, pa.int64())], names=["meeting", "mark"])
+
+    now, held = -1, []
+    for batch in batches:
+        for at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if at != now and held:
+                yield from found(held)
+                held = []
+            now = at
+            held.append(block)
+    if held:
+        yield from found(held)
+
+
+def _ties(percent: int):
+    """(u, v), marks of sets that may link, of rows (meeting, mark, n_shingles, sketch) sorted by meeting."""
+
+    def tied(table: pa.Table) -> pa.RecordBatch:
+        meeting, mark, size = (table.column(k).to_numpy() for k in range(3))
+        data, offsets = W.column_bytes(table.column(3))
+        sketch = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64)
+        start = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))
+        u, v = Meeting(size, sketch, np.diff(offsets) // 8, percent).ties(start, np.diff(np.append(start, len(meeting))))
+        pairs = np.unique(np.stack([np.minimum(mark[u], mark[v]), np.maximum(mark[u], mark[v])], axis=1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
+        held = None
         for batch in batches:
-            for at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at != now and held:
-                    yield tied(now, held)
-                    held = []
-                now = at
-                held.append(block)
-        if held:
-            yield tied(now, held)
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            meeting = held.column(0).to_numpy()
+            whole = int(np.searchsorted(meeting, meeting[-1])) if len(meeting) else 0  # the last one may go on
+            if whole:
+                yield tied(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield tied(held)
 
     return run
 
@@ -285,13 +396,15 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     blocks = 1 << (max(LEAST_BLOCKS, docs.count() // 500) - 1).bit_length()
-    sets = keep(_sets(docs, size), "shingle-marks")
-    edges = _route(docs, size, percent, blocks).repartition("at").sortWithinPartitions("at").mapInArrow(_meet(blocks), "u long, v long")
-    group = components(edges)
+    rows = keep(_sets(docs, size), "shingle-marks")
+    sets = rows.drop("sketch")
     same = ["n_shingles", "mark", "mark2"]
-    some = sets.where("n_shingles > 0 and doc_id is not null")
-    grouped = some.join(group, some["doc_id"] == group["vertex"]).groupBy(*same).agg(F.min("doc_id").alias("set_id"), F.min("component").alias("group"))
-    grouped = keep(grouped, "shingle-sets")
+    distinct = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("set_id"), F.first("sketch").alias("sketch"))
+    distinct = keep(distinct, "shingle-sets")
+    met = _route(docs, size, percent, blocks).repartition("at").sortWithinPartitions("at").mapInArrow(_meet, "meeting long, mark long").distinct()
+    met = met.join(distinct.select("mark", "n_shingles", "sketch"), "mark").select("meeting", "mark", "n_shingles", "sketch")
+    group = components(met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_ties(percent), "u long, v long"))
+    grouped = distinct.select(*same, "set_id").join(group, distinct["mark"] == group["vertex"]).withColumnRenamed("component", "group")
     sizes = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("n")).where("m > 1")
     blocked = sizes.select("group", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     asked = grouped.join(blocked, "group").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -303,7 +416,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     rows = rows.select("group", "p.one", "p.two", "block", "doc_id", "mark", "text")
     with pruned_joins(docs.sparkSession):
         found = keep(rows.mapInArrow(_traverse(size, percent), "u long, v long"), "links")
-    return sets.join(grouped.select(*same, "set_id"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("set_id", "doc_id")).alias("set_id")), found
+    return sets.join(distinct.select(*same, "set_id"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("set_id", "doc_id")).alias("set_id")), found
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,6 +60,8 @@ def test_against_brute_force(spark, monkeypatch, size, percent, small_blocks):
     if small_blocks:  # several blocks a group, several packs a task
         monkeypatch.setattr(J, "BLOCK_SETS", 3)
         monkeypatch.setattr(J, "PACK", 500)
+        monkeypatch.setattr(J, "KEY_SETS", 3)
+        monkeypatch.setattr(J, "FEW", 2)
     docs = corpus(percent)
     rows = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, component_id string, u int").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.groups(rows, size, percent).collect()}
@@ -127,3 +129,51 @@ def test_linked_sets_share_a_key_though_the_parts_they_share_are_empty():
         keys, owner = router.keys(np.concatenate([base, copy]), np.array([len(base), len(copy)]))
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
     assert links == 300
+
+
+def test_sketches_never_turn_down_a_link_and_tell_unlike_sets_apart():
+    draw, sets = np.random.default_rng(4), []
+    for n in (1, 5, 40, 130, 260, 520, 3000):
+        base = draw.integers(0, 1 << 62, n, dtype=np.uint64)
+        for keep in (1, 0.99, 0.95, 0.9, 0.5):
+            sets.append(np.unique(np.concatenate([base[draw.random(n) < keep], draw.integers(0, 1 << 62, n // 50, dtype=np.uint64)])))
+    sets = [x for x in sets if len(x)]
+    size = np.array([len(x) for x in sets])
+    sketch, words = J.sketches(np.concatenate(sets), size)
+    one, two = (np.array(x) for x in zip(*combinations(range(len(sets)), 2), strict=True))
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(one, two, strict=True)])
+    linked = 180 * both >= 80 * (size[one] + size[two])
+    may = J.Meeting(size, sketch, words, 80).may(one, two)
+    assert linked.any() and may[linked].all()
+    unlike = (both < 0.6 * np.minimum(size[one], size[two])) & (np.minimum(size[one], size[two]) > 100)
+    assert unlike.any() and not may[unlike].any()
+
+
+@pytest.mark.parametrize("few", [1, 24])
+def test_ties_hang_together_what_pairs_do(monkeypatch, few):
+    monkeypatch.setattr(J, "FEW", few)
+    draw, sets, start, length = np.random.default_rng(6), [], [], []
+    for m in (2, 3, 7, 20):
+        start.append(len(sets))
+        length.append(m)
+        bases = [draw.integers(0, 1 << 62, 200, dtype=np.uint64) for _ in range(2)]
+        sets += [bases[i % 2][draw.random(200) < 0.97] for i in range(m)]
+    size = np.array([len(x) for x in sets])
+    meeting = J.Meeting(size, *J.sketches(np.concatenate(sets), size), 80)
+    u, v = meeting.ties(np.array(start), np.array(length))
+    head = list(range(len(sets)))
+    for a, b in zip(u, v, strict=True):
+        x, y = head[a], head[b]
+        head = [min(x, y) if h in (x, y) else h for h in head]
+    want = [s + i % 2 for s, m in zip(start, length, strict=True) for i in range(m)]
+    assert head == want
+
+
+def test_sets_that_share_a_passage_are_no_group(spark):
+    """Unlike texts around one passage: their keys meet, and sketches tell them apart."""
+    draw = random.Random(9)
+    own = lambda n: " ".join(f"v{draw.randrange(10**6)}" for _ in range(n))
+    passage = own(150)
+    rows = [(i, f"{own(70)} {passage} {own(70)}") for i in range(60)]
+    sets, found = J.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sets.count() == 60 and found.count() == 0
