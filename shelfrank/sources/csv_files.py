@@ -7,12 +7,13 @@ same column is text in one file and numbers in another.
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Mapping
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,7 @@ LOCAL_FILE = "^file:/+"  # the lister and the readers write local paths differen
 DELIMITERS = [",", ";", "\t", "|"]
 SEQ, BROKEN = "seq", "broken_line"
 MARK = "\ufeff"
+VOTERS = 200  # first lines of a file, after its header, that have a vote on its delimiter
 BROADCAST_FILES = 100_000  # up to this many one-row-per-file flags are sent to every task
 
 
@@ -46,24 +48,53 @@ def sniff_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
-def _headers(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> dict[str, list[str]]:
-    """Paths by header line. One job finds the first line of every file."""
+def _marks(line: str) -> Column:
+    """How often each delimiter stands in a line outside quotes; null for a line that ends within quotes."""
+    value = F.col(line)
+    closed = F.length(F.translate(value, '"', "")) % 2 == F.length(value) % 2
+    bare = F.regexp_replace(value, '"[^"]*"', "")
+    return F.when(closed, F.array(*[F.length(bare) - F.length(F.translate(bare, d, "")) for d in DELIMITERS]))
+
+
+def _delimiter() -> Column:
+    """The delimiter that cuts most voting lines into as many cells as the header; of equal ones the header's most frequent."""
+
+    def vote(k: int) -> Column:
+        n = F.element_at("head", k + 1)
+        agree = F.size(F.filter("voters", lambda marks: F.element_at(marks, k + 1) == n))
+        return F.struct((n > 0).alias("stands"), F.when(n > 0, agree).otherwise(0).alias("votes"), n.alias("n"), F.lit(-k).alias("first"), F.lit(DELIMITERS[k]).alias("sep"))
+
+    votes = [vote(k) for k in range(len(DELIMITERS))]
+    return F.greatest(*votes)["sep"]
+
+
+def _headers(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> dict[tuple[str, str], list[str]]:
+    """Paths by header line and delimiter. One job finds the first line of every file and lets the next ones vote.
+
+    Lines with an odd number of quotes have no vote. A file whose header ends within quotes is
+    told by its header alone, as is one without further lines.
+    """
     reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
     try:
         lines = reader.text(folder)
     except AnalysisException:
         return {}
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    heads = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    first = lines.where("start = 0").withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("place") <= VOTERS + 1)
+    heads = first.withColumn("marks", _marks("value")).groupBy("path").agg(
+        F.min_by("value", "place").alias("header"), F.min_by("marks", "place").alias("head"),
+        F.collect_list(F.when((F.col("place") > 1) & (F.col("value") != ""), F.col("marks"))).alias("voters"),
+    )
+    heads = heads.where("header <> ''").select("path", "header", F.when(F.col("head").isNotNull(), _delimiter()).alias("sep"))
     by_header = defaultdict(list)
-    for row in heads.where("header <> ''").orderBy("path").toLocalIterator():
-        by_header[row.header.removeprefix(MARK)].append(unquote(row.path))
+    for row in heads.orderBy("path").toLocalIterator():
+        header = row.header.removeprefix(MARK)
+        by_header[header, row.sep or sniff_delimiter(header)].append(unquote(row.path))
     return by_header
 
 
-def _read_group(spark: SparkSession, paths: list[str], header: str, multi_line: bool) -> DataFrame:
-    sep = sniff_delimiter(header)
-    names = [n.strip().strip('"') or f"unnamed_{i}" for i, n in enumerate(header.split(sep))]
+def _read_group(spark: SparkSession, paths: list[str], header: str, sep: str, multi_line: bool) -> DataFrame:
+    names = [n.strip().strip('"') or f"unnamed_{i}" for i, n in enumerate(next(csv.reader([header], delimiter=sep)))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
     rows = (
         spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", "UTF-8").option("enforceSchema", True)
@@ -97,7 +128,7 @@ def read_folder(
     by_header = _headers(spark, folder, pattern, recursive)
     if not by_header:
         return None
-    rows = union_by_name([_read_group(spark, p, h, multi_line) for h, p in by_header.items()])
+    rows = union_by_name([_read_group(spark, p, h, sep, multi_line) for (h, sep), p in by_header.items()])
     rows = null_missing(rename_aliases(normalise_headers(rows)), None)
     rows = rows.withColumn(SEQ, F.struct("_path", "_block", "_row")).drop("_block", "_row")
     n_files = sum(map(len, by_header.values()))

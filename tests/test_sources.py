@@ -103,6 +103,19 @@ def test_sniff():
     assert [C.sniff_delimiter(h) for h in ("a,b", "a;b;c", "a\tb", "a|b", "a", "a;b,c")] == [",", ";", "\t", "|", ",", ","]
 
 
+def test_rows_vote_on_the_delimiter(spark, tmp_path):
+    """Headers with more marks of another kind than the delimiter, quoted marks, and the same header under two delimiters."""
+    (tmp_path / "a.csv").write_text("url;name, brand, model;price\nu1;Asus A;1\nu2;Dell, B;2\n")
+    (tmp_path / "b.csv").write_text('url|"name; shop; city"|price\n"u|3"|"c;d"|3\nu4|"open, ""quote"""|4\n')
+    (tmp_path / "c.csv").write_text("url,name;price\nu5,x;5\nu6,y;6\n")
+    (tmp_path / "d.csv").write_text("url,name;price\nu7 a,b c\nu8,d\n")
+    (tmp_path / "e.csv").write_text("url;name,price,ram\n")
+    found = {p.rsplit("/", 1)[1]: sep for (_, sep), paths in C._headers(spark, str(tmp_path), "*.csv", False).items() for p in paths}
+    assert found == {"a.csv": ";", "b.csv": "|", "c.csv": ",", "d.csv": ",", "e.csv": ","}
+    rows = C.read_folder(spark, str(tmp_path), pattern="[ab].csv").orderBy("price").collect()
+    assert [(r.url, r.price, r.broken_line) for r in rows] == [("u1", "1", None), ("u2", "2", None), ("u|3", "3", None), ("u4", "4", None)]
+
+
 def test_csv_export_has_a_mark_and_keeps_blanks(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"', " padded "), ("ü", None)], "name string, note string")
     C.save_csv(df, str(tmp_path / "out"))
