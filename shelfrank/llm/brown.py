@@ -3,44 +3,49 @@
 * Exchange clustering deals the VOCABULARY most frequent training words into CLASSES
   classes: each word in turn moves to the class that raises the likelihood of the training
   bigrams most, until no word moves.
-* Every training word then goes to its best class by the classes that stand before and after
-  it. In up to ROUNDS written rounds all words' contexts are gathered anew, and half of the
-  words by hash, the other half in the next round, go to their best class against the class
-  bigrams of the round before: all at once would overshoot. A round that lowers the
-  likelihood is not used and ends the rounds.
+* Every other training word then goes to its best class by the classes that stand before and
+  after it. In up to ROUNDS written rounds their contexts are gathered anew, and half of
+  them by hash, the other half in the next round, go to their best class against the class
+  bigrams of the round before: all at once would overshoot. After each round the frequent
+  words are exchanged one by one again, beside the new classes of the others. A round that
+  lowers the likelihood is not used and ends the rounds.
 * A word's probability is that of its class after the class of the word before it (smoothed
   by the class's own share), times its share of its class. Words never seen are one class,
   which gets as much as the words seen once; they are no history, the word before them is.
 
 Counts, contexts and classes of all words go through shuffles and grow with the corpus. The
-texts are kept as blocks of word numbers, each with its own vocabulary; a block sends the
-counts and contexts of its words, and gets their classes, in packed lists by range of word
-hash. Only tables of fixed size reach the driver: bigrams of the VOCABULARY words, and of
-classes.
+texts are kept as blocks of word numbers, each with its own vocabulary. A block sends the
+counts of its words once and in a round the contexts of the words whose turn it is, in packed
+lists by range of word hash, and gets their classes. Blocks and classes are bucketed by
+block, so the blocks themselves are shuffled once. Only tables of fixed size reach the
+driver: bigrams of the VOCABULARY words and the classes.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm import words as W
-from shelfrank.llm.storage import keep, settings
+from shelfrank.llm.storage import keep, keep_clustered, settings
 
 VOCABULARY, CLASSES, ROUNDS = 1024, 64, 4
-#: Text of a block, and the least number of ranges of word hashes.
-BLOCK_BYTES, LEAST_RANGES = 8 << 20, 1024
+#: Text of a block; texts for each range of word hashes, and the least number of ranges.
+BLOCK_BYTES, RANGE_TEXTS, LEAST_RANGES = 8 << 20, 16384, 1024
+#: Text of a bucket of blocks, and how many buckets there are at least and at most.
+BUCKET_BYTES, FEWEST, MOST = 16 << 20, 8, 65536
 #: Weight of a class's own share against what follows the class before.
 WEIGHT = 20.0
 
 #: A block's row is some MB, so few of them are to travel to Python at once.
 FEW_BLOCKS = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
+#: Every step ends in a stored table or a small result, so Spark can delete its shuffle files then.
+NO_OLD_SHUFFLES = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
 
 # Classes of the model: CLASSES of training words, unseen words, the end. As neighbours of a
 # word, UNSEEN are words without a class yet and END is the edge of a text.
@@ -62,7 +67,7 @@ def unplanes(data: bytes, kind) -> np.ndarray:
 BLOCKS = "block long, ids array<long>, train array<boolean>, counts array<int>, tokens binary, vocabulary binary, places binary"
 
 
-def _blocks(docs: DataFrame, train: Column) -> DataFrame:
+def _blocks(docs: DataFrame, train: Column, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -86,7 +91,8 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
                     number, held, at, size = number + 1, [], to, 0
 
     body = F.col("text").cast("binary")
-    return keep(docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), body).mapInArrow(run, BLOCKS), "lm-blocks")
+    blocks = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), body).mapInArrow(run, BLOCKS)
+    return keep_clustered(blocks.repartition(buckets, "block"), "lm-blocks", "block", buckets)
 
 
 @dataclass
@@ -129,8 +135,8 @@ def history(block: Block, clas: np.ndarray) -> np.ndarray:
     return np.concatenate([inside, end])
 
 
-def contexts(block: Block, clas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of the vocabulary how many kinds of neighbours it has in training texts; kinds and uses, word after word.
+def contexts(block: Block, clas: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per asked word of the vocabulary how many kinds of neighbours it has in training texts; kinds and uses, word after word.
 
     A kind is the class before, END + 1 and the class after, or SAME for the word before itself.
     """
@@ -139,46 +145,42 @@ def contexts(block: Block, clas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     before, after = np.concatenate([[END], own])[:n], np.concatenate([own, [END]])[1:]
     before[first] = END
     after[first[1:] - 1] = END
-    inside, again = block.in_training(), np.zeros(n, dtype=bool)
+    inside, again = np.flatnonzero(block.in_training() & asked[block.tokens]), np.zeros(n, dtype=bool)
     again[:-1] = block.tokens[1:] == block.tokens[:-1]
     again[first[1:] - 1] = False
-    base = block.tokens.astype(np.int64) * (SAME + 1)
-    cells, uses = np.unique(np.concatenate([(base + before)[inside], (base + side + after)[inside], (base + SAME)[inside & again]]), return_counts=True)
-    return np.bincount(cells // (SAME + 1), minlength=len(block.vocabulary)), cells % (SAME + 1), uses
+    base = block.tokens[inside].astype(np.int64) * (SAME + 1)
+    cells, uses = np.unique(np.concatenate([base + before[inside], base + side + after[inside], (base + SAME)[again[inside]]]), return_counts=True)
+    return np.bincount(cells // (SAME + 1), minlength=len(block.vocabulary))[asked], cells % (SAME + 1), uses
 
 
 SAME = 2 * (END + 1)
-REQUEST = "range long, block long, words binary, counts binary, clas binary, many binary, kinds binary, uses binary"
+COUNTS = "range long, block long, words binary, counts binary"
+CONTEXTS = "range long, block long, words binary, clas binary, many binary, kinds binary, uses binary"
 
 
-def _ask(blocks: DataFrame, ranges: int, classes: Callable[[dict, Block], np.ndarray] | None = None) -> DataFrame:
-    """The words of each block with their training counts and, once there are classes, their own and their neighbours'."""
+def _send(blocks: DataFrame, ranges: int, schema: str, lists: Callable[[dict, Block], tuple]) -> DataFrame:
+    """Words of each block with what ``lists`` says of them, by range of their hashes.
+
+    ``lists``: the words, then for each further column its values and, if these aren't one a
+    word, how many each word has.
+    """
     shift = np.uint64(64 - (ranges - 1).bit_length())
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, block in _open(batch):
-                n = len(block.vocabulary)
-                lists = [block.vocabulary, np.bincount(block.tokens[block.in_training()], minlength=n).astype(np.int32)]
-                bounds = np.arange(n + 1)
-                cuts = [bounds] * 2
-                if classes is not None:
-                    clas = classes(row, block)
-                    many, kinds, uses = contexts(block, clas)
-                    lists += [clas.astype(np.uint8), many.astype(np.int32), kinds.astype(np.uint8), uses.astype(np.int32)]
-                    cuts = [bounds] * 4 + [np.concatenate([[0], np.cumsum(many)])] * 2
-                at, start = np.unique((block.vocabulary >> shift).astype(np.int64), return_index=True)
-                ends = np.append(start[1:], n)
+                words, *columns = lists(row, block)
+                single = np.arange(len(words) + 1)
+                columns = [(words, single)] + [(x, single if many is None else np.concatenate([[0], np.cumsum(many)])) for x, many in columns]
+                at, start = np.unique((words >> shift).astype(np.int64), return_index=True)
+                ends = np.append(start[1:], len(words))
                 for k in range(0, len(at), 256):
                     part = list(zip(start[k : k + 256], ends[k : k + 256], strict=True))
-                    packed = [[planes(x[c[a] : c[b]]) for a, b in part] for x, c in zip(lists, cuts, strict=True)]
-                    packed += [[b""] * len(part)] * (6 - len(packed))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[k : k + 256]), pa.array(np.full(len(part), row["block"])), *[pa.array(x, pa.binary()) for x in packed]],
-                        names=[x.split()[0] for x in REQUEST.split(", ")],
-                    )
+                    packed = [pa.array([planes(x[c[a] : c[b]]) for a, b in part], pa.binary()) for x, c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 256]), pa.array(np.full(len(part), row["block"])), *packed], names=names)
 
-    return blocks.mapInArrow(run, REQUEST).repartition("range").sortWithinPartitions("range")
+    return blocks.mapInArrow(run, schema).repartition("range").sortWithinPartitions("range")
 
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -194,82 +196,136 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _sum(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each request, then all words with their counts, and where each request's words are among them."""
+def _words(rows: list[dict]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Bounds of each request's words, all words, and where each request's words are among them."""
     own = [unplanes(r["words"], np.uint64) for r in rows]
+    ends = np.cumsum([len(o) for o in own])
     words, which = np.unique(np.concatenate(own), return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate([unplanes(r["counts"], np.int32) for r in rows]), minlength=len(words)).astype(np.int64)
-    return own, words, counts, which
+    return list(zip(ends - [len(o) for o in own], ends, strict=True)), words, which
 
 
-def _totals(blocks: DataFrame, ranges: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Training tokens and distinct words without the ends, and the most frequent words with their counts."""
+def _column(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([unplanes(r[name], kind) for r in rows])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+STATE = "block long, clas binary, uses binary"
+
+
+def _counts(blocks: DataFrame, ranges: int, buckets: int) -> tuple[int, int, np.ndarray, DataFrame]:
+    """Training tokens and distinct words without the ends, the most frequent words, and each block's words with counts and no classes yet."""
+
+    def lists(row: dict, block: Block) -> tuple:
+        uses = np.bincount(block.tokens[block.in_training()], minlength=len(block.vocabulary))
+        return block.vocabulary, (uses.astype(np.int32), None)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "range", "counts", "word", "n", "distinct"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        table = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         for rows in _by_range(batches):
-            _, words, counts, _ = _sum(rows)
+            bounds, words, which = _words(rows)
+            counts = np.bincount(which, weights=_column(rows, "counts", np.int32), minlength=len(words)).astype(np.int64)
             best = np.lexsort((words, -counts))[:VOCABULARY]
             best = best[counts[best] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(counts[best]), pa.array(np.zeros(len(best), np.int64))], names=["word", "n", "distinct"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["word", "n", "distinct"])
+            none, every = [None] * len(best), counts[which]
+            yield table(none, none, none, words[best].view(np.int64), counts[best], np.zeros(len(best), np.int64))
+            yield table([None], [None], [None], [None], [int(counts.sum())], [int((counts > 0).sum())])
+            none = [None] * len(rows)
+            yield table([r["block"] for r in rows], [r["range"] for r in rows], [planes(every[a:b]) for a, b in bounds], none, none, none)
 
-    found = keep(_ask(blocks, ranges).mapInArrow(run, "word long, n long, distinct long"), "lm-counts")
+    found = keep(_send(blocks, ranges, COUNTS, lists).mapInArrow(add, "block long, range long, counts binary, word long, n long, distinct long"), "lm-counts")
     tokens, distinct = found.where("word is null").agg(F.sum("n"), F.sum("distinct")).first()
-    top = found.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    words = top["word"].to_numpy(np.int64).view(np.uint64)
-    return int(tokens or 0), int(distinct or 0), words, top["n"].to_numpy(np.int64)
+    top = found.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = [unplanes(x["counts"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
+                counts = np.concatenate([np.zeros(0, np.int64), *counts])
+                yield _state(row["block"], np.full(len(counts), UNSEEN), counts)
+
+    state = blocks.select("block").join(_gathered(found.where("block is not null"), buckets, "counts"), "block", "left")
+    return int(tokens or 0), int(distinct or 0), np.sort(top), keep_clustered(state.mapInArrow(join, STATE), "lm-state", "block", buckets)
+
+
+def _gathered(answers: DataFrame, buckets: int, value: str) -> DataFrame:
+    """All answers to a block, in the buckets of the blocks."""
+    return answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("range", value)).alias("answers")).hint("merge")
+
+
+def _state(block: int, clas: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([block], pa.int64()), *[pa.array([planes(x)], pa.binary()) for x in (clas.astype(np.uint8), counts)]]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "clas", "uses"])
+
+
+def _ranks(vocabulary: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Number of each word among the frequent ones, -1 for others. ``top`` is sorted."""
+    if not len(top):
+        return np.full(len(vocabulary), -1)
+    at = np.minimum(np.searchsorted(top, vocabulary), len(top) - 1)
+    return np.where(top[at] == vocabulary, at, -1)
+
 
+def _known(row: dict, block: Block, top: np.ndarray, clas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, count and rank of each word of a block; the classes of frequent words are those of ``clas``."""
+    own, counts = unplanes(row["clas"], np.uint8).astype(np.int64), unplanes(row["uses"], np.int64)
+    if len(own) != len(block.vocabulary):
+        raise ValueError(f"block {row['block']}: {len(own)} of {len(block.vocabulary)} words answered")
+    rank = _ranks(block.vocabulary, top)
+    return np.where(rank >= 0, clas[rank], own) if len(top) else own, counts, rank
 
-def _frequent(vocabulary: np.ndarray, top: np.ndarray, clas: np.ndarray) -> np.ndarray:
-    """Class of the frequent words of a vocabulary, UNSEEN for others. ``top`` is sorted."""
-    out = np.full(len(vocabulary), UNSEEN, np.int64)
-    if len(top):
-        at = np.searchsorted(top, vocabulary)
-        at[at == len(top)] = 0
-        known = top[at] == vocabulary
-        out[known] = clas[at[known]]
-    return out
 
+def _asked(block: Block, counts: np.ndarray, rank: np.ndarray, turn: int | None) -> np.ndarray:
+    """The words of a block that move in a round: trained ones that aren't frequent, of one half by hash or of both."""
+    asked = (counts > 0) & (rank < 0)
+    return asked if turn is None else asked & (W.mix(block.vocabulary) % np.uint64(2) == turn)
 
-def _bigrams(blocks: DataFrame, top: np.ndarray) -> np.ndarray:
-    """Training bigrams of the frequent words; other words and the ends of texts are one word each."""
-    side = len(top) + 2
-    shared = blocks.sparkSession.sparkContext.broadcast(top)
+
+def _bigrams(rows: DataFrame, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training bigrams, and what stands before words seen once.
+
+    Frequent words stand for themselves, others for their class, after all frequent ones; END
+    of these is the end of a text, and of the text before the first word.
+    """
+    side, n = len(top) + END + 1, len(top)
+    shared = rows.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
-        total = np.zeros(side * side, np.int64)
+        total, single = np.zeros(side * side, np.int64), np.zeros(side, np.int64)
         for batch in batches:
-            for _, block in _open(batch):
-                rank = np.full(len(block.vocabulary), side - 2)
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, block.vocabulary), len(top) - 1)
-                    known = top[at] == block.vocabulary
-                    rank[known] = at[known]
-                texts = np.flatnonzero(block.train & (block.counts > 0))
-                first, counts = block.first()[texts], block.counts[texts]
-                word = rank[block.tokens[W.spans(first, counts)]]
-                places = np.cumsum(counts)
-                line = np.concatenate([[side - 1], np.insert(word, places, side - 1)])  # a text's end starts the next
+            for row, block in _open(batch):
+                clas, counts, rank = _known(row, block, shared.value, np.zeros(n, np.int64))
+                symbol = np.where(rank >= 0, rank, n + clas)
+                texts = np.flatnonzero(block.train)
+                tokens = block.tokens[W.spans(block.first()[texts], block.counts[texts])]
+                places = np.cumsum(block.counts[texts])
+                line = np.concatenate([[n + END], np.insert(symbol[tokens], places, n + END)])  # a text's end starts the next
+                once = np.insert(counts[tokens] == 1, places, False)
                 total += np.bincount(line[:-1] * side + line[1:], minlength=side * side)
+                single += np.bincount(line[:-1][once], minlength=side)
+        total = np.concatenate([total, single])
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["cell", "n"])
 
-    pairs = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(side * side)
-    out[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(float)
-    return out.reshape(side, side)
+    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(side * (side + 1))
+    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
+    return out[: side * side].reshape(side, side), out[side * side :]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(bigrams: np.ndarray, classes: int, fixed: int = 0, rounds: int = 12) -> np.ndarray:
-    """Class of each word: exchange clustering on bigram counts. The last ``fixed`` words are classes of their own."""
+def exchange(bigrams: np.ndarray, classes: int, fixed: int = 0, rounds: int = 12, clas: np.ndarray | None = None) -> np.ndarray:
+    """Class of each word: exchange clustering on bigram counts.
+
+    ``clas``: the classes to start from. The last ``fixed`` words don't move; they are
+    classes of their own if no classes are given.
+    """
     n = len(bigrams) - fixed
-    total = classes + fixed
-    clas = np.concatenate([np.arange(n) % classes, classes + np.arange(fixed)])
+    clas = np.concatenate([np.arange(n) % classes, classes + np.arange(fixed)]) if clas is None else clas.copy()
+    total = int(clas.max(initial=0)) + 1
     hot = np.zeros((len(bigrams), total))
     hot[np.arange(len(bigrams)), clas] = 1
     table = hot.T @ bigrams @ hot
@@ -360,80 +416,49 @@ def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.n
     return best
 
 
-ANSWER = "block long, range long, clas binary, counts binary"
+ANSWER = "block long, range long, clas binary"
 
 
-def _answer(asked: DataFrame, table: np.ndarray, turn: int | None = None) -> DataFrame:
-    """One exchange round: contexts of every word from all blocks, its best class, sent to the blocks that hold it.
+def _round(blocks: DataFrame, state: DataFrame, known: tuple, table: np.ndarray, turn: int | None, ranges: int, buckets: int) -> DataFrame:
+    """The classes after a round: contexts of every word whose turn it is from all blocks, its best class, sent to the blocks that hold it."""
+    shared = blocks.sparkSession.sparkContext.broadcast((table, known))
 
-    ``turn``: only words of this half move.
-    """
-    shared = asked.sparkSession.sparkContext.broadcast(table)
+    def lists(row: dict, block: Block) -> tuple:
+        clas, counts, rank = _known(row, block, *shared.value[1])
+        asked = _asked(block, counts, rank, turn)
+        many, kinds, uses = contexts(block, clas, asked)
+        return block.vocabulary[asked], (clas[asked].astype(np.uint8), None), (many.astype(np.int32), None), (kinds.astype(np.uint8), many), (uses.astype(np.int32), many)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_range(batches):
-            own, words, counts, which = _sum(rows)
-            many = np.concatenate([unplanes(r["many"], np.int32) for r in rows])
-            kinds, uses = (np.concatenate([unplanes(r[c], k) for r in rows]) for c, k in (("kinds", np.uint8), ("uses", np.int32)))
-            word = np.repeat(which, many)
-            clas, found = np.full(len(words), UNSEEN, np.int64), np.full(len(words), UNSEEN, np.int64)
-            clas[which] = np.concatenate([unplanes(r["clas"], np.uint8) for r in rows])
-            trained = np.flatnonzero(counts > 0)
+            bounds, words, which = _words(rows)
+            word = np.repeat(which, _column(rows, "many", np.int32))
+            kinds, uses = _column(rows, "kinds", np.uint8), _column(rows, "uses", np.int32)
+            clas = np.zeros(len(words), np.int64)
+            clas[which] = _column(rows, "clas", np.uint8)
             by = np.argsort(word, kind="stable")
             word, kinds, uses = word[by], kinds[by], uses[by]
-            for k in range(0, len(trained), 8192):  # rows of all kinds for some words at a time
-                some = trained[k : k + 8192]
-                a, b = np.searchsorted(word, [some[0], some[-1] + 1])
-                cells = np.searchsorted(some, word[a:b]) * (SAME + 1) + kinds[a:b]
-                sums = np.bincount(cells, weights=uses[a:b], minlength=len(some) * (SAME + 1)).reshape(len(some), SAME + 1)
-                best = reassign(clas[some], sums[:, : END + 1], sums[:, END + 1 : SAME], sums[:, SAME], shared.value)
-                found[some] = best if turn is None else np.where(W.mix(words[some]) % np.uint64(2) == turn, best, clas[some])
-            ends = np.cumsum([len(o) for o in own])
-            parts = list(zip(ends - [len(o) for o in own], ends, strict=True))
-            found, counts = found[which].astype(np.uint8), counts[which]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["block"] for r in rows]), pa.array([r["range"] for r in rows]), pa.array([planes(found[a:b]) for a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for a, b in parts], pa.binary())],
-                names=["block", "range", "clas", "counts"],
-            )
-
-    answers = asked.mapInArrow(run, ANSWER).groupBy("block").agg(F.collect_list(F.struct("range", "clas", "counts")).alias("answers"))
-    return keep(answers, "lm-classes")
-
-
-def _known(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class and count of each word of a block, from the answers to it."""
-    clas, counts = np.full(n, UNSEEN, np.int64), np.zeros(n, np.int64)
-    at = 0
-    for x in sorted(row["answers"], key=lambda x: x["range"]):
-        own = unplanes(x["clas"], np.uint8)
-        clas[at : at + len(own)], counts[at : at + len(own)] = own, unplanes(x["counts"], np.int64)
-        at += len(own)
-    if at != n:
-        raise ValueError(f"block {row['block']}: {at} of {n} words answered")
-    return clas, counts
-
-
-def _tables(answered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts: class after history; seen-once words after history."""
-    side = END + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, single = np.zeros((START + 1) * side, np.int64), np.zeros(START + 1, np.int64)
+            for k in range(0, len(words), 8192):  # rows of all kinds for some words at a time
+                own = clas[k : k + 8192]
+                a, b = np.searchsorted(word, [k, k + len(own)])
+                sums = np.bincount((word[a:b] - k) * (SAME + 1) + kinds[a:b], weights=uses[a:b], minlength=len(own) * (SAME + 1)).reshape(len(own), SAME + 1)
+                clas[k : k + 8192] = reassign(own, sums[:, : END + 1], sums[:, END + 1 : SAME], sums[:, SAME], shared.value[0])
+            found = clas[which].astype(np.uint8)
+            columns = [pa.array([r["block"] for r in rows]), pa.array([r["range"] for r in rows]), pa.array([planes(found[a:b]) for a, b in bounds], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "range", "clas"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, block in _open(batch):
-                clas, counts = _known(row, len(block.vocabulary))
-                train = np.concatenate([block.in_training(), block.train])
-                own = np.concatenate([clas[block.tokens], np.full(len(block.counts), END)])
-                before = history(block, clas)
-                total += np.bincount(before[train] * side + own[train], minlength=len(total))
-                once = np.concatenate([counts[block.tokens] == 1, np.zeros(len(block.counts), bool)]) & train
-                single += np.bincount(before[once], minlength=len(single))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + len(single))), pa.array(np.concatenate([total, single]))], names=["cell", "n"])
-
-    cells = answered.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((START + 1) * (side + 1))
-    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    return out[: (START + 1) * side].reshape(START + 1, side), out[(START + 1) * side :]
+                clas, counts, rank = _known(row, block, *shared.value[1])
+                new = [unplanes(x["clas"], np.uint8) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
+                clas[_asked(block, counts, rank, turn)] = np.concatenate([np.zeros(0, np.uint8), *new])
+                yield _state(row["block"], clas, counts)
+
+    rows = blocks.join(state.hint("merge"), "block")
+    answers = _send(rows, ranges, CONTEXTS, lists).mapInArrow(answer, ANSWER)
+    narrow = rows.withColumns({"ids": F.array().cast("array<long>"), "tokens": F.lit(b""), "places": F.lit(b"")})  # texts aren't needed
+    return keep_clustered(narrow.join(_gathered(answers, buckets, "clas"), "block", "left").mapInArrow(join, STATE), "lm-state", "block", buckets)
 
 
 def transitions(follows: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -446,12 +471,6 @@ def transitions(follows: np.ndarray, single: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(smooth, 1e-300))
 
 
-def _free(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of steps that have ended once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def likelihood(follows: np.ndarray) -> float:
     """Log-likelihood of the training classes given those before them, less what classes don't change."""
     return float(_xlogx(follows).sum() - _xlogx(follows.sum(axis=0)).sum() - _xlogx(follows.sum(axis=1)).sum())
@@ -470,47 +489,42 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     rows like others. Without training texts every token is unseen and has probability 1.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias("text"))
-    with settings(docs.sparkSession, **FEW_BLOCKS):
+    with settings(docs.sparkSession, **FEW_BLOCKS, **NO_OLD_SHUFFLES):
         return _score(docs)
 
 
 def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    blocks = _blocks(docs, F.col("train"))
-    ranges = 1 << (max(LEAST_RANGES, docs.count() // 500) - 1).bit_length()
+    number, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = min(max(-(-(size or 0) // BUCKET_BYTES), FEWEST), MOST)
+    ranges = 1 << (max(LEAST_RANGES, number // RANGE_TEXTS) - 1).bit_length()
+    blocks = _blocks(docs, F.col("train"), buckets)
     texts = blocks.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    tokens, distinct, top, _ = _totals(blocks, ranges)
-    top = np.sort(top)
-    pairs = _bigrams(blocks, top)
-    clas = exchange(pairs, CLASSES, fixed=2)
-    hot = np.zeros((len(pairs), CLASSES + 2))
-    hot[np.arange(len(pairs)), np.concatenate([clas, [UNSEEN, END]])] = 1
-    first = spark.sparkContext.broadcast((top, clas))
-    answers = _answer(_ask(blocks, ranges, lambda row, block: _frequent(block.vocabulary, *first.value)), hot.T @ pairs @ hot)
-    best = None
-    for k in range(ROUNDS + 1):
-        _free(spark)
-        answered = blocks.join(answers, "block", "left").withColumn("answers", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)))
-        follows, single = _tables(answered)
-        _free(spark)
-        gained = likelihood(follows)
-        if best is not None and gained <= best[0]:
-            break
-        best = gained, answered, follows, single
-        if k < ROUNDS:
-            square = np.insert(follows, UNSEEN, 0, axis=0)  # no word of the training texts is without a class
-            answers = _answer(_ask(answered, ranges, lambda row, block: _known(row, len(block.vocabulary))[0]), square, k % 2)
-    _, answered, follows, single = best
-    _free(spark)
-    answered = keep(answered, "lm-answered")
-    shared = spark.sparkContext.broadcast((transitions(follows, single), follows.sum(axis=0), tokens + texts, distinct + (texts > 0), texts))
+    tokens, distinct, top, state = _counts(blocks, ranges, buckets)
+    clas, best = np.arange(len(top)) % CLASSES, None
+    for k in range(ROUNDS + 2):
+        pairs, single = _bigrams(blocks.join(state.hint("merge"), "block"), top)
+        clas = np.concatenate([exchange(pairs, CLASSES, fixed=END + 1, clas=np.concatenate([clas, np.arange(END + 1)])), np.arange(END + 1)])
+        hot = np.eye(END + 1)[clas]
+        table, clas = hot.T @ pairs @ hot, clas[: len(top)]
+        if k:  # before the first round only frequent words have classes
+            gained = likelihood(table)
+            if best is not None and gained <= best[0]:
+                break
+            best = gained, state, clas, table, hot.T @ single
+        if k <= ROUNDS:
+            state = _round(blocks, state, (top, clas), table, k % 2 if k else None, ranges, buckets)
+    _, state, clas, table, single = best
+    follows, single = (np.delete(x, UNSEEN, axis=0) for x in (table, single))  # no word of the training texts is without a class
+    answered = blocks.join(state.hint("merge"), "block")
+    shared = spark.sparkContext.broadcast((transitions(follows, single), follows.sum(axis=0), tokens + texts, distinct + (texts > 0), texts, (top, clas)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, size, n, v, ends = shared.value
+        step, size, n, v, ends, known = shared.value
         base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         for batch in batches:
             for row, block in _open(batch):
-                clas, counts = _known(row, len(block.vocabulary))
+                clas, counts, _ = _known(row, block, *known)
                 emit = np.where(counts > 0, np.log10(np.maximum(counts, 1) / np.maximum(size[clas], 1)), 0.0)
                 own = np.concatenate([clas[block.tokens], np.full(len(block.counts), END)])
                 value = step[history(block, clas), own]
