@@ -203,8 +203,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         rows = found if rows is None else rows.unionByName(found)
     words = F.flatten(F.collect_list(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))
     merged = rows.groupBy("_row").agg(F.first(key).alias(key), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(words)).alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    single = F.transform("_hit", lambda w: F.struct(w.alias("first"), w.alias("last")))
-    return merged.select(key, "n_words", single.alias("runs"), "items")
+    # Neighbouring words are one run again, as they are within a block.
+    first = F.filter("_hit", lambda w, i: F.coalesce(F.get("_hit", i - 1) < w - 1, F.lit(True)))
+    last = F.filter("_hit", lambda w, i: F.coalesce(F.get("_hit", i + 1) > w + 1, F.lit(True)))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    return merged.select(key, "n_words", runs.alias("runs"), "items")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

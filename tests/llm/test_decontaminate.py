@@ -76,3 +76,11 @@ def test_repeated_rows_stay_with_several_blocks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = D.digest(D.decontaminate(rows, bench, block_bytes=400)).collect()
     assert sorted(map(tuple, got), key=str) == brute(docs + [(None, docs[-1][1]), (None, None)], items)
+
+
+def test_runs_are_the_same_with_several_blocks(spark):
+    docs, items = case()
+    rows = spark.createDataFrame([d for i, d in enumerate(docs) if d not in docs[:i]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, several = ([(r.doc_id, r.n_words, list(map(tuple, r.runs)), list(r["items"])) for r in D.decontaminate(rows, bench, block_bytes=n).collect()] for n in (D.BLOCK_BYTES, 400))
+    assert sorted(one, key=str) == sorted(several, key=str) and any(b > a for r in one for a, b in r[2])
