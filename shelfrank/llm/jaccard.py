@@ -437,14 +437,19 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest id of each group, as it was.
 
-    Rows without shingles or without an id stay. Of rows that repeat an id, the one with the
-    smallest text hash stands for it.
+    Groups are of texts, by their hashes, whatever ids they have: unlike texts under one id
+    stay, each in its own group. Of rows equal in id and text one stays. Rows without
+    shingles or without an id stay.
     """
     from pyspark.sql import Window
 
-    head, place = (next(n for n in (f"{name}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("head", "place"))
-    heads = groups(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
-    found = docs.join(heads, F.col(key).cast("long") == F.col(head)).drop(head)
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    single = found.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-    return single.union(docs.where(F.col(key).isNull()))
+    own, head, least, place = (next(n for n in (f"{name}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("own", "head", "least", "place"))
+    part = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(part).withColumn(own, F.xxhash64(text))
+    named = groups(rows.select(F.col(own).alias("doc_id"), F.col(text).alias("text")), size, percent).select(F.col("doc_id").alias(own), "component_id").distinct()
+    first = F.min(F.struct(F.col(key).alias("id"), F.col(own).alias("text")))
+    heads = rows.select(F.col(key), own).distinct().join(named, own).groupBy("component_id").agg(first.alias("first")).select(F.col("first.text").alias(head), F.col("first.id").alias(least))
+    found = rows.join(heads, (F.col(own) == F.col(head)) & (F.col(key) == F.col(least))).drop(head, least)
+    order = Window.partitionBy(own, key).orderBy(own)
+    single = found.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, own)
+    return single.union(docs.where(~part))

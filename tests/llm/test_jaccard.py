@@ -84,6 +84,15 @@ def test_repeated_and_missing_ids(spark):
     assert [d for d, _ in map(tuple, kept.collect())].count(1) == 1 and None in [r.doc_id for r in kept.collect()]
 
 
+def test_one_row_of_each_group_of_texts_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (0, a), (2, c), (None, c), (None, b + " x"), (None, a[::-1]), (None, a[::-1]), (5, None), (5, " "), (5, None), (6, "one two"), (7, "one two")]
+    got = J.keep_one(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, own0 string, component_id int").repartition(3), 5, 80)
+    assert got.columns == ["doc_id", "text", "own0", "component_id"]
+    want = [(0, a), (1, b), (2, c), (None, c), (None, b + " x"), (None, a[::-1]), (None, a[::-1]), (5, None), (5, None), (5, " "), (6, "one two")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.groups(empty).count() == 0 and J.keep_one(empty).count() == 0
