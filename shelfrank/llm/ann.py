@@ -148,7 +148,11 @@ def search_block(ids, vectors, places, query_ids, queries, query_places, bound,
 
 
 class Index:
-    """All usable vectors with their places and cells, stored; and what is known of each cell."""
+    """All usable vectors with their places and cells, stored; and what is known of each cell.
+
+    Components are read as 32-bit floats. Vectors whose length isn't the commonest one (of
+    equally common ones the smallest) take no part, neither as candidates nor as queries.
+    """
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"):
         rows = usable(vectors, key, vector)
