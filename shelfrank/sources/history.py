@@ -49,7 +49,8 @@ def read(spark: SparkSession, table: str) -> DataFrame:
     if WRITING not in rows.columns:
         return rows.drop(RUN, BATCH)
     last = rows.where(F.col(RUN).isNotNull()).groupBy(RUN, BATCH).agg(F.max(WRITING).alias("_last"))
-    joined = rows.join(last, [RUN, BATCH], "left")
+    # A row per batch goes to the rows: one batch may hold most of the table.
+    joined = rows.join(F.broadcast(last), [RUN, BATCH], "left")
     return joined.where(F.col(RUN).isNull() | (F.col(WRITING) == F.col("_last"))).drop(RUN, BATCH, WRITING, "_last")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +65,13 @@ def append_files(spark: SparkSession, folder: str, table: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int):
         at = F.monotonically_increasing_id()
         batch = batch.withColumn("at", at).where("value <> ''")
-        heads = batch.where("start = 0").groupBy("path").agg(F.min("at").alias("at"), F.min_by("value", "at").alias("header"))
+        heads = batch.where("start = 0").groupBy("path").agg(F.min("at").alias("head"), F.min_by("value", "at").alias("header"))
+        # A row per file. The lines stay where they are read: a file's lines never meet in one task.
+        heads = heads.persist(StorageLevel.DISK_ONLY)
         parts = []
         for header in [r.header for r in heads.select("header").distinct().collect()]:  # a row per layout
-            named = heads.where(F.col("header") == header).select("path", F.col("at").alias("head"))
-            rows = batch.join(named, "path").where("at <> head")
+            named = heads.where(F.col("header") == header).select("path", "head")
+            rows = batch.join(F.broadcast(named), "path").where("at <> head")
             sep = sniff_delimiter(header)
             names = [n.strip().strip('"').lower() or f"unnamed_{i}" for i, n in enumerate(header.lstrip(MARK).split(sep))]
             schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
@@ -77,6 +80,7 @@ def append_files(spark: SparkSession, folder: str, table: str, checkpoint: str,
             parts.append(as_listing(rows, "source"))
         if parts:
             _add(union_by_name(parts), table, run, batch_id)
+        heads.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
