@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfrank.sources.snapshot import input_state
+
 LISTINGS = """
 WITH k AS (
   SELECT o_orderkey AS seq, o_custkey AS pid, o_orderdate AS scraped_at,
@@ -144,20 +146,34 @@ MADE_PAGES = {
 MADE_PAGES["detail_all"], MADE_PAGES["detail"] = MADE_PAGES["detail"], MADE_PAGES["detail"] + " WHERE seq % 3 <> 2"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input that comes in fewer pieces than there are cores, dealt out to all of them.
+#: Stored bytes whose rows one task reads text from.
+PIECE_BYTES = 1 << 20
+
 
-    Parsing text is far dearer than moving it. Large inputs have more pieces than that
-    and are left alone.
+def spread(df: DataFrame, stored_bytes: int) -> DataFrame:
+    """Input dealt out by its size: to pieces of about PIECE_BYTES, and to all cores at least.
+
+    Parsing text is far dearer than moving it. A file is read by as many tasks as it has row
+    groups at most, which may be few however large it is, so its pieces as read don't count.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, -(-stored_bytes // PIECE_BYTES)))
+
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    return sum(int(length) for _, length, _ in input_state(spark, path))
 
-def sql_over(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Runs SQL over the parquet tables it names, without leaving views behind."""
+
+def sql_over(spark: SparkSession, sf_dir: str, query: str, parses: bool = True) -> DataFrame:
+    """Runs SQL over the parquet tables it names, without leaving views behind.
+
+    ``parses``: whether rows are read as text or made into it afterwards, which is to be dealt out.
+    """
     tables = sorted(set(re.findall(r"\b(?:FROM|JOIN) (orders|customer|nation|pages)\b", query)))
-    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables}
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in tables}
+    frames = {t: spark.read.parquet(p) for t, p in paths.items()}
+    if parses:
+        frames = {t: spread(f, stored_bytes(spark, paths[t])) for t, f in frames.items()}
     return spark.sql(re.sub(r"\b(FROM|JOIN) (orders|customer|nation|pages)\b", r"\1 {\2}", query), **frames)
 
 
@@ -166,7 +182,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql_over(spark, sf_dir, PROFILES)
+    return sql_over(spark, sf_dir, PROFILES, parses=False)
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:

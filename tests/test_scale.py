@@ -1,13 +1,37 @@
 """No task's share grows with the input."""
 
 import pytest
+from pyspark.sql import functions as F
 from tests.test_streaming import HEADER
 
 from shelfrank.functions import amazon, vatan
+from shelfrank.functions.text import group
+from shelfrank.sources import driver_tables as D
 from shelfrank.sources import history as H
 from shelfrank.streaming import history_stream as HS
 
 
+def orders(spark, folder, n):
+    """A table in one row group."""
+    rows = spark.range(n).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "DATE'1997-01-01' AS o_orderdate", "CAST(id AS DOUBLE) AS o_totalprice")
+    rows.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_one_row_group_is_dealt_out_by_its_size(spark, tmp_path, monkeypatch):
+    folder = orders(spark, tmp_path, 4000)
+    monkeypatch.setattr(D, "PIECE_BYTES", D.stored_bytes(spark, f"{folder}/orders.parquet") // 40)
+    made = D.sql_over(spark, folder, D.MADE_PAGES["detail_all"])
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 40 and max(sizes) <= 200
+
+
+def test_many_empty_pieces_are_not_taken_for_spread_rows(spark, monkeypatch):
+    rows = spark.range(4000).coalesce(1).unionByName(spark.range(0).repartition(64))
+    dealt = D.spread(rows, 0)
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) <= 4000 / 8 * 1.5
+
+
 @pytest.fixture
 def no_small_tables(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
