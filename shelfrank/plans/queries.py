@@ -32,7 +32,11 @@ def r6(c):
 def listings_store(spark, d) -> ListingStore:
     """Prepared listings with their features and what depends on no profile, parsed and written once."""
     state = input_state(spark, f"{d}/orders.parquet")
-    return listing_store(spark, shared_root(spark), "listings", state, lambda: scoring.add_features(prepare(D.listings(spark, d))))
+
+    def build() -> DataFrame:
+        return scoring.add_features(prepare(D.listings(spark, d))).select("seq", *R.OFFER_COLUMNS, *scoring.FEATURES)
+
+    return listing_store(spark, shared_root(spark), "listings", state, build)
 
 
 def prepared(spark, d) -> DataFrame:
@@ -244,7 +248,7 @@ def part_weights(spark, d):
 
 def own_profile_rows(spark, d):
     """Each listing with the profile of the customer behind it."""
-    own = D.sql_over(spark, d, D.OWN_PROFILE)
+    own = D.sql_over(spark, d, D.OWN_PROFILE, parses=False)
     p = scoring.add_profile_constants(prof.complete_profiles(D.profiles(spark, d)))
     return prepared(spark, d).join(own, "seq").join(p, "profile_id")
 

@@ -27,8 +27,9 @@ COUNT_COLUMNS = ["brand", "os", "screen_size", "ram_gb", "ssd_gb", "cpu_score",
 PRICE_STEP, LAST_STEP = 5000, 100  # the last step is open-ended
 # Offers of one url above which they are not gathered in one task.
 FREQUENT_URL = 10_000
-# Input bytes of a bucket, and how many buckets there are at least and at most.
-BUCKET_BYTES, FEWEST, MOST = 64 << 20, 8, 50_000
+# Input bytes of a bucket, and how many buckets there are at least and at most. A task holds the
+# pairs of a bucket's offers with all profiles, and stored input may be far narrower than they are.
+BUCKET_BYTES, FEWEST, MOST = 1 << 20, 8, 50_000
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,8 @@ def write_store(spark: SparkSession, folder: str, listings: DataFrame, buckets:
     # Only the url column of the input is read for this.
     urls = listings.where("url is not null").groupBy(F.xxhash64("url").alias("url_hash")).agg(F.count("*").alias("n"))
     frequent = urls.where(F.col("n") > FREQUENT_URL).select("url_hash", F.lit(True).alias("_frequent"))
-    rows = listings.withColumns(offer_keys()).join(frequent, "url_hash", "left")
+    # One row for each FREQUENT_URL listings at most: sent to all tasks, so that listings are shuffled once, to their buckets.
+    rows = listings.withColumns(offer_keys()).join(F.broadcast(frequent), "url_hash", "left")
     own = F.col("url").isNotNull() & F.col("_frequent").isNull()
     rows = rows.withColumn("url_key", F.when(own, F.col("url_hash")).otherwise(F.xxhash64("seq"))).drop("_frequent")
     _write_clustered(rows, f"{name}_listings", f"{folder}/listings", "url_key", "price", buckets)

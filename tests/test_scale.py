@@ -8,6 +8,7 @@ from shelfrank.functions import amazon, vatan
 from shelfrank.functions.text import group
 from shelfrank.sources import driver_tables as D
 from shelfrank.sources import history as H
+from shelfrank.sources import listing_store as LS
 from shelfrank.streaming import history_stream as HS
 
 
@@ -32,6 +33,10 @@ def test_many_empty_pieces_are_not_taken_for_spread_rows(spark, monkeypatch):
     assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) <= 4000 / 8 * 1.5
 
 
+def test_buckets_grow_with_the_input():
+    assert [LS.bucket_count([("a", str(n << 20), "t")]) for n in (0, 1, 60, 970)] == [8, 8, 60, 970]
+
+
 @pytest.fixture
 def no_small_tables(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
