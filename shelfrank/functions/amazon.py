@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import (
-    blank, col, contains_any, first_keyword, first_match, group, groups, matches, raw_group, replace, strip, to_double,
+    blank, col, contains_any, first_keyword, first_match, folded, group, groups, matches, once, raw_group, replace, strip, to_double,
 )
 
 # Patterns, word lists and defaults of this shop's titles.
+# Of each list of words next to patterns, a title that matches the pattern holds one.
 SCREEN_PATTERNS = [
     r"(\d+[\.,]?\d*)\s*(?:inç|inch|\")",
     r"(\d+[\.,]?\d*)\s*ekran",
@@ -17,6 +18,7 @@ SCREEN_PATTERNS = [
     r"(\d+[\.,]?\d*)\s*fhd",
     r"(\d+[\.,]?\d*)\s*hd",
 ]
+SCREEN_WORDS = [["in", '"'], ["ekran"], ['"', "'"], ["fhd"], ["hd"]]
 STORAGE_PATTERNS = [
     r"(\d+)\s*(gb|tb)\s*(?:ssd|m\.2|nvme|pcie)",
     r"ssd\s*(\d+)\s*(gb|tb)",
@@ -33,6 +35,7 @@ MEMORY_PATTERNS = [
     r"(\d+)\s*gb\s*ddr\d",
     r"(\d+)\s*gb",
 ]
+MEMORY_WORDS = [["ram", "ddr", "bellek", "memory"], ["ram"], ["ram"], ["bellek"], ["bellek"], ["ddr"], ["gb"]]
 LARGE_MEMORY_CPUS = ["i7", "i9", "ryzen 7", "ryzen 9", "m2", "m3"]
 OS_WORDS = [
     ("freedos", "FreeDOS"), ("free dos", "FreeDOS"), (" dos ", "FreeDOS"),
@@ -85,15 +88,16 @@ def price(text: Column | str) -> Column:
     return F.bround(lira(col(text)), 0).try_cast("bigint")
 
 
-def screen(title: Column | str, specs: Column | None = None) -> Column:
+def screen(title: Column | str, specs: Column | None = None, low: Column | None = None) -> Column:
     t = col(title)
+    low = folded(t) if low is None else low
 
-    def sized(pattern):
+    def sized(pattern, words):
         size = F.replace(group(t, pattern, 1, True), F.lit(","), F.lit("."))
-        return F.when(to_double(size).between(10.0, 20.0), F.concat(size, F.lit('"')))
+        return F.when(contains_any(low, words), once(size, lambda s: F.when(to_double(s).between(10.0, 20.0), F.concat(s, F.lit('"')))))
 
     guess = F.when(contains_any(F.lower(t), ["ultrabook", "air"]), F.lit('13.3"')).otherwise('15.6"')
-    return F.coalesce(*[sized(p) for p in SCREEN_PATTERNS], F.when(blank(t), F.lit('15.6"')).otherwise(guess))
+    return F.coalesce(*[sized(*p) for p in zip(SCREEN_PATTERNS, SCREEN_WORDS)], F.when(blank(t), F.lit('15.6"')).otherwise(guess))
 
 
 def storage(title: Column | str, specs: Column | None = None) -> Column:
@@ -127,16 +131,18 @@ def cpu(title: Column | str, specs: Column | None = None) -> Column:
     return F.when(~blank(t), first_match(cases, F.lit("i5")))
 
 
-def memory(title: Column | str, specs: Column | None = None) -> Column:
+def memory(title: Column | str, specs: Column | None = None, low: Column | None = None) -> Column:
     t = col(title)
+    low = folded(t) if low is None else low
     on_disk = groups(F.lower(t), STORAGE_NUMBER, 1, True)
 
-    def sized(pattern):
+    def sized(pattern, words):
         n = group(t, pattern, 1, True)
-        return F.when(~F.exists(on_disk, lambda d: d.endswith(n)), F.concat(n, F.lit("GB")))
+        beside = lambda x: F.when(x.isNotNull(), F.when(~F.exists(on_disk, lambda d: d.endswith(x)), F.concat(x, F.lit("GB"))))
+        return F.when(low.contains("gb") & contains_any(low, words), once(n, beside))
 
     large = contains_any(F.lower(cpu(t)), LARGE_MEMORY_CPUS)
-    return F.coalesce(*[sized(p) for p in MEMORY_PATTERNS], F.when(large, F.lit("16GB")).otherwise("8GB"))
+    return F.coalesce(*[sized(*p) for p in zip(MEMORY_PATTERNS, MEMORY_WORDS)], F.when(large, F.lit("16GB")).otherwise("8GB"))
 
 
 def os(title: Column | str, specs: Column | None = None) -> Column:

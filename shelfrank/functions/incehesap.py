@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import (
-    blank, col, contains_any, first_match, fold_dotted_i, group, matches, strip, tidy, to_double, to_long,
+    blank, col, contains_any, first_match, fold_dotted_i, folded, group, matches, not_empty, strip, tidy, to_double, to_long,
 )
 
-# Patterns and names of this shop's texts.
+# Patterns and names of this shop's texts. Of each list of words next to patterns, a
+# text that matches the pattern holds one.
 CPU_PATTERNS = [
     r"(i[3579]-?\s?\d{3,5}\w*)",
     r"(Ryzen\s?\d(?:\s?\d)?\s?[\w\-]*)",
@@ -17,6 +18,7 @@ CPU_PATTERNS = [
     r"(Core\s?Ultra\s?\d+\w*)",
     r"(Core\s?[357]\s?\d{3}\w*)",
 ]
+CPU_WORDS = [["i3", "i5", "i7", "i9"], ["ryzen"], ["apple"], ["core"], ["core"]]
 GPU_PATTERNS = [
     r"(RTX\s?\d{3,4}\w*\s?(?:Ti|Max-Q|SUPER)?)",
     r"(GTX\s?\d{3,4}\w*)",
@@ -26,6 +28,8 @@ GPU_PATTERNS = [
     r"(Apple\s?Integrated)",
     r"(Apple\s?M[1-5]\w*\s?GPU)",
 ]
+GPU_WORDS = [["rtx"], ["gtx"], ["radeon"], ["arc"], ["iris"], ["apple"], ["apple"]]
+APPLE_CHIPS = ["apple", "macbook", "m1", "m2", "m3", "m4", "m5"]
 OS_PATTERNS = [
     (r"Free\s?DOS", "FreeDOS"),
     (r"Windows\s?11|Win11|\bW11(?:P|Pro)?\b", "Windows 11"),
@@ -98,9 +102,13 @@ def memory(title: Column | str, specs: Column | None = None, text: Column | None
     return to_long(group(text_of(title, specs) if text is None else text, r"(\d+)\s*GB", 1, True))
 
 
-def cpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+def _first_found(t: Column, low: Column, patterns: list[str], words_of: list[list[str]]) -> Column:
+    return F.coalesce(*[F.when(contains_any(low, words), not_empty(tidy(group(t, p, 1, True)))) for p, words in zip(patterns, words_of)])
+
+
+def cpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None, low: Column | None = None) -> Column:
     t = fold_dotted_i(text_of(title, specs) if text is None else text)
-    return F.coalesce(*[F.nullif(tidy(group(t, p, 1, True)), F.lit("")) for p in CPU_PATTERNS], F.lit(""))
+    return F.coalesce(_first_found(t, folded(t) if low is None else low, CPU_PATTERNS, CPU_WORDS), F.lit(""))
 
 
 def cpu_family(cpu: Column | str) -> Column:
@@ -126,16 +134,15 @@ def os(title: Column | str, specs: Column | None = None, text: Column | None = N
     return first_match([(matches(t, p, True), F.lit(v)) for p, v in OS_PATTERNS], F.lit(""))
 
 
-def gpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None) -> Column:
+def gpu_text(title: Column | str, specs: Column | None = None, text: Column | None = None, low: Column | None = None) -> Column:
     t = fold_dotted_i(text_of(title, specs) if text is None else text)
-    found = F.coalesce(*[F.nullif(tidy(group(t, p, 1, True)), F.lit("")) for p in GPU_PATTERNS])
-    apple_chip = matches(t, r"\b(Apple|MacBook|M[1-5])\b", True) & contains_any(found, ["Integrated", "GPU"])
-    return first_match(
-        [
-            (apple_chip, F.lit("Apple Integrated")),
-            (found.isNotNull(), found),
-            (matches(t, r"\b(Apple|MacBook|Mac)\b", True), F.lit("Apple Integrated")),
-        ],
+    low = folded(t) if low is None else low
+    found = _first_found(t, low, GPU_PATTERNS, GPU_WORDS)
+    apple_chip = contains_any(low, APPLE_CHIPS) & matches(t, r"\b(Apple|MacBook|M[1-5])\b", True) & contains_any(found, ["Integrated", "GPU"])
+    return F.coalesce(
+        F.when(apple_chip, F.lit("Apple Integrated")),
+        found,
+        F.when(contains_any(low, ["apple", "mac"]) & matches(t, r"\b(Apple|MacBook|Mac)\b", True), F.lit("Apple Integrated")),
         F.lit(""),
     )
 

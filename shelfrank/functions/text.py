@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +25,30 @@ def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     return c.rlike(rx(pattern, ignore_case))
 
 
+def not_empty(c: Column) -> Column:
+    """Null for an empty text. ``nullif`` works its text out twice where it stands in a branch."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, which a branch otherwise does for each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def folded(c: Column) -> Column:
+    """Lower case as case-insensitive patterns see it, which take four more letters for ASCII ones.
+
+    A plain word of such a pattern can only match where this contains it, so a cheap search
+    for the word may stand before the pattern.
+    """
+    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    return F.lower(c)
+
+
 def group(c: Column, pattern: str, idx: int = 1, ignore_case: bool = False) -> Column:
     """Group of the first match; null when there is no match or the group is empty."""
-    return F.nullif(F.regexp_extract(c, rx(pattern, ignore_case), idx), F.lit(""))
+    return not_empty(F.regexp_extract(c, rx(pattern, ignore_case), idx))
 
 
 def raw_group(c: Column, pattern: str, idx: int = 1, ignore_case: bool = False) -> Column:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import amazon, incehesap, mediamarkt, vatan
 from shelfrank.functions.clean import is_blocked_page, is_noise_title, stock_status, title_blob
-from shelfrank.functions.text import blank
+from shelfrank.functions.text import blank, fold_dotted_i, folded
 from shelfrank.operators.dedup import keep_first
 from shelfrank.sources import pages as P
 from shelfrank.sources.listings import as_listing
 
 DIALECTS = {"amazon": amazon, "incehesap": incehesap, "mediamarkt": mediamarkt, "vatan": vatan}
 LISTING_ATTRIBUTES = {"screen_size": "screen", "ssd": "storage", "ram": "memory", "cpu": "cpu", "os": "os", "gpu": "gpu"}
+# Attributes that look for a word of the text before they match a pattern.
+FOLDS = {"amazon": ("screen", "memory"), "vatan": ("cpu", "gpu"), "incehesap": ("cpu", "gpu")}
 
 
 def add_attribute(df: DataFrame, target: str, attribute: str, shop: str, name: str, specs: str | None = None) -> DataFrame:
@@ -30,18 +32,26 @@ def add_attributes(
     row: the joined text, and for one shop the model texts its tags are cut from.
     """
     module, spec = DIALECTS[shop], None if specs is None else F.col(specs)
+    folds = FOLDS.get(shop, ())
+
+    def low(attribute):
+        return {"low": F.col("_low")} if attribute in folds else {}
+
     if shop in ("amazon", "mediamarkt"):
-        return df.withColumns({c: getattr(module, a)(F.col(name), spec) for c, a in wanted.items()})
+        df = df.withColumn("_low", folded(F.col(name))) if folds else df
+        return df.withColumns({c: getattr(module, a)(F.col(name), spec, **low(a)) for c, a in wanted.items()}).drop("_low")
     df = df.withColumn("_text", module.text_of(F.col(name), spec))
     text = F.col("_text")
     if shop == "vatan":
-        values = {c: getattr(vatan, a)(name, None, text) for c, a in wanted.items()}
-        return df.withColumns(values).drop("_text")
+        df = df.withColumn("_low", folded(text))
+        values = {c: getattr(vatan, a)(name, None, text, **low(a)) for c, a in wanted.items()}
+        return df.withColumns(values).drop("_text", "_low")
+    df = df.withColumn("_low", folded(fold_dotted_i(text)))
     texts = {"cpu": incehesap.cpu_text, "gpu": incehesap.gpu_text}
-    df = df.withColumns({f"_{a}": f(name, None, text) for a, f in texts.items() if a in wanted.values()})
+    df = df.withColumns({f"_{a}": f(name, None, text, **low(a)) for a, f in texts.items() if a in wanted.values()})
     tags = {"cpu": lambda: incehesap.cpu_family("_cpu"), "gpu": lambda: incehesap.gpu_tag("_gpu", text)}
     values = {c: tags[a]() if a in tags else getattr(incehesap, a)(name, None, text) for c, a in wanted.items()}
-    return df.withColumns(values).drop("_text", "_cpu", "_gpu")
+    return df.withColumns(values).drop("_text", "_low", "_cpu", "_gpu")
 
 
 def _position():
@@ -85,7 +95,8 @@ def product_details(pages: DataFrame) -> DataFrame:
     d = d.select("page_id", "product_url", "d.*")
     d = d.withColumn("spec_blob", F.array_join("specs", " | "))
     d = d.withColumn("_text", incehesap.text_of("title", F.col("spec_blob")))
-    title, text = F.col("title"), F.col("_text")
+    d = d.withColumn("_low", folded(fold_dotted_i(F.col("_text"))))
+    title, text, low = F.col("title"), F.col("_text"), F.col("_low")
     named = F.when(blank(title), F.col("product_url")).otherwise(title)
 
     def read(function):
@@ -96,7 +107,7 @@ def product_details(pages: DataFrame) -> DataFrame:
         P.first_price(F.col("price_texts")).alias("price_try"),
         stock_status(F.array_join("stock_hints", " ")).alias("stock_status"),
         incehesap.brand_word(named).alias("brand"), incehesap.model_words(named).alias("model"),
-        read(incehesap.cpu_text).alias("cpu"), read(incehesap.gpu_text).alias("gpu"),
+        incehesap.cpu_text("title", None, text, low).alias("cpu"), incehesap.gpu_text("title", None, text, low).alias("gpu"),
         read(incehesap.memory).alias("ram_gb"), read(incehesap.storage).alias("storage_gb"),
         read(incehesap.screen).alias("screen_inch"), read(incehesap.os).alias("os"),
     )

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 from tests.test_streaming import HEADER
 
-from shelfrank.functions import amazon, vatan
-from shelfrank.functions.text import group
+from shelfrank.functions import amazon, incehesap, vatan
+from shelfrank.functions.text import folded, group
 from shelfrank.sources import driver_tables as D
 from shelfrank.sources import history as H
 from shelfrank.sources import listing_store as LS
+from shelfrank.sources.html import parse
 from shelfrank.streaming import history_stream as HS
 
 
@@ -64,3 +65,35 @@ def test_the_lines_of_a_file_are_not_gathered(spark, tmp_path, no_small_tables,
     HS.append_files(spark, str(folder), str(tmp_path / "history"), str(tmp_path / "state")).awaitTermination()
     (plan, n), = plans
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and n == 4
+
+
+def test_a_pattern_in_a_branch_is_matched_once(spark):
+    df = spark.createDataFrame([("rtx 4060",), ("none",), (None,)], "t string")
+    found = df.select(F.coalesce(group(F.col("t"), r"gtx\s*(\d+)"), group(F.col("t"), r"rtx\s*(\d+)")).alias("v"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2
+    assert [r.v for r in found.collect()] == ["4060", None, None]
+
+
+def test_words_are_looked_for_as_patterns_match_them(evaluate):
+    """Four more letters match an ASCII one when case does not count."""
+    assert evaluate(folded(F.col("a")), ["RTX İIıſK", None]) == ["rtx iiisk", None]
+    assert evaluate(vatan.cpu("a"), ["ſnapdragon X Elite", "RYZEN 7 7840HS", "ULTRA 7 258V"]) == ["Snapdragon X Elite", "Ryzen 7 7840HS", "Intel Ultra 7 258V"]
+    assert evaluate(vatan.gpu("a"), ["Rtx 4060", "rAdeon 780m"]) == ["RTX 4060", "Radeon 780M"]
+    assert evaluate(vatan.memory("a"), ["rtx 4060 8 GB 16 GB", "16 GB gddr6 8 GB", "4 gb vram 32 GB"])[1:] == ["16GB", "32GB"]
+    assert evaluate(amazon.screen("a"), ["15,6 İnch", "14 EKran"]) == ['15.6"', '14"']
+    assert evaluate(amazon.memory("a"), ["16 GB bELLEK", "Ram 32 gb", "512 GB SSD"])[:2] == ["16GB", "32GB"]
+    assert evaluate(incehesap.gpu_text("a"), ["İRİS XE", "i̇ris xe", "MacBook"]) == ["IRIS XE", "iris xe", "Apple Integrated"]
+
+
+def test_tags_written_in_any_way_are_read_alike():
+    def seen(html):
+        return [(e.tag, e.attrs, e.text()) for e in parse(html).walk()]
+
+    plain = [("div", {"class": "a b", "id": "c"}, "x y"), ("b", {}, "y")]
+    assert seen('<div class="a b" id="c">x<b>y</b></div>') == plain
+    assert seen("<DIV  class='a b' ID=c >x<B >y</b ></div >") == plain
+    assert seen('<a href="?a=1&amp;b=2">x</a>') == [("a", {"href": "?a=1&b=2"}, "x")]
+    assert seen('<script>if (a <b class="x">)</script>z') == [("script", {}, "")]
+    page = parse('<ul><li class="prd">1</li></ul><li class="prd">2</li>')
+    assert [e.text() for e in page.find_all("li", "prd")] == ["1", "2"] and [e.text() for e in page.find("ul").find_all("li")] == ["1"]
