@@ -30,8 +30,9 @@ _SEEN: dict[str, "Chunks"] = {}
 
 #: Punctuation that may be cut off the end of a chunk: never part of a word, of a special token or of "'s".
 TAIL = ".,;:!?|%&$#*"
-#: Words encoded in one call.
-AT_ONCE = 64
+#: Words encoded in one call; bits of a part's hash by which it is looked up first.
+AT_ONCE, EARLY_BITS = 256, 20
+_EARLY_SHIFT = np.uint64(64 - EARLY_BITS)
 
 
 _TAIL = W.byte_set(*[(ord(c), ord(c)) for c in TAIL])
@@ -54,13 +55,15 @@ def parts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for words, and some letters end in a combining mark then, which stays with punctuation.
     """
     inside, tail = W.SPACED[data], _TAIL[data]
-    # Tail bytes up to the end of their chunk: no other byte of the chunk comes later.
-    order = np.arange(len(data))
-    other = np.maximum.accumulate(np.where((inside & ~tail)[::-1], order, -1))[::-1]
-    space = np.maximum.accumulate(np.where(~inside[::-1], order, -1))[::-1]
-    last = tail & (space >= other)  # seen from behind, the white space is the nearer one
-    cuts = np.zeros(len(data), dtype=bool)
-    cuts[1:] = last[1:] & ~last[:-1] & _letters(data)[:-1]
+    opens, closes, cuts = tail.copy(), tail.copy(), np.zeros(len(data), dtype=bool)
+    opens[1:] &= ~tail[:-1]
+    closes[:-1] &= ~inside[1:]
+    # The run of punctuation that a chunk closes with: the last one opened before.
+    runs = np.flatnonzero(opens)
+    at = runs[np.searchsorted(runs, np.flatnonzero(closes), side="right") - 1]
+    at = at[at > 0]
+    two = data[np.stack([np.maximum(at - 2, 0), at - 1], axis=1).ravel()]  # the bytes before
+    cuts[at] = _letters(two)[1::2]
     return inside, cuts
 
 
@@ -80,6 +83,8 @@ class Chunks:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, numbers of their parts
         self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # The part that came first of all whose hashes begin alike: found without a search.
+        self.early, self.early_number = np.zeros(1 << EARLY_BITS, np.uint64), np.full(1 << EARLY_BITS, -1, np.int32)
 
     def __len__(self) -> int:
         return len(self.known)
@@ -120,6 +125,9 @@ class Chunks:
         self.ids = np.concatenate([self.ids, *found])
         place = np.searchsorted(self.known, hashes)
         self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, number)
+        at = hashes >> _EARLY_SHIFT
+        free = self.early_number[at] < 0
+        self.early[at[free]], self.early_number[at[free]] = hashes[free], number[free]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts that ``offsets`` cuts ``data`` into, and how many each has."""
@@ -127,11 +135,15 @@ class Chunks:
         words = W.split(data, offsets, parts_of, lower=not special)
         if not len(words.hash):
             return np.zeros(0, np.int32), np.zeros(words.texts, np.int64)
-        distinct, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-        new = np.flatnonzero(self.known[np.searchsorted(self.known, distinct).clip(max=len(self) - 1)] != distinct) if len(self) else np.arange(len(distinct))
-        if len(new):
-            self._learn(distinct[new], words, first[new])
-        part = self.number[np.searchsorted(self.known, distinct)][place]
+        at = words.hash >> _EARLY_SHIFT
+        part = self.early_number[at]
+        rest = np.flatnonzero((part < 0) | (self.early[at] != words.hash))
+        if len(rest):
+            distinct, first, place = np.unique(words.hash[rest], return_index=True, return_inverse=True)
+            new = np.flatnonzero(self.known[np.searchsorted(self.known, distinct).clip(max=len(self) - 1)] != distinct) if len(self) else np.arange(len(distinct))
+            if len(new):
+                self._learn(distinct[new], words, rest[first[new]])
+            part[rest] = self.number[np.searchsorted(self.known, distinct)][place]
         length = self.length[part]
         ends = np.concatenate([[0], np.cumsum(length)])[words.first()[1:]]
         return self.ids[W.spans(self.first[part], length)], np.diff(ends, prepend=0)

@@ -221,9 +221,7 @@ class Encoder:
         opens[(np.cumsum(size) - size)[size > 0]] = True
         first = np.flatnonzero(opens)
         length = np.diff(np.append(first, len(points)))
-        place = np.arange(len(points)) - np.repeat(first, length)
-        value = (points.astype(np.uint64) + np.uint64(1)) * W._powers(int(length.max()))[place]
-        hashes = W.mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+        hashes = W.mix(W.run_sums(points, first, first + length) + length.astype(np.uint64))
         own = np.add.reduceat(opens.astype(np.int64), (np.cumsum(size) - size)[size > 0])
         counts = np.zeros(len(texts), np.int64)
         counts[size > 0] = own

@@ -17,6 +17,8 @@ import pyarrow as pa
 PIECE_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What the base is to be multiplied with to give 1, modulo 2**64.
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -80,14 +82,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> np.ndarray:
-    global _TABLE
-    if len(_TABLE) < n:
-        _TABLE = np.cumprod(np.full(2 * n, _BASE, dtype=np.uint64), dtype=np.uint64)
-    return _TABLE
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first to n-th power of ``base``; those that a usual piece of text needs are kept."""
+    table = _TABLES.get(base, _NO_POWERS)
+    if len(table) < n:
+        table = np.cumprod(np.full(n, base, dtype=np.uint64), dtype=np.uint64)
+        if n <= 2 * PIECE_BYTES:
+            _TABLES[base] = table
+    return table[:n]
 
 
-_TABLE = np.zeros(0, dtype=np.uint64)
+_NO_POWERS = np.zeros(0, dtype=np.uint64)
+_TABLES: dict[np.uint64, np.ndarray] = {}
+
+
+def run_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of (value + 1) * base ** (1, 2, ...) over each of the runs, modulo 2**64.
+
+    Taken from running sums over all values: the powers that a run's place adds are taken
+    off again by those of the base's inverse.
+    """
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    sums[1:] = values
+    sums[1:] += np.uint64(1)
+    sums[1:] *= _powers(_BASE, len(values))
+    np.cumsum(sums, out=sums)
+    return (sums[end] - sums[start]) * _powers(_INVERSE, len(values) + 1)[start] * _BASE
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +143,9 @@ def split(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | Callable[[np
         opens[cuts] = inside[cuts]
         closes[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    text = np.searchsorted(offsets, start, side="right") - 1
-    length = end - start
-    if not len(start):
-        return Words(np.zeros(0, np.uint64), text, start, end, data, len(offsets) - 1)
-    first = np.cumsum(length) - length
-    letters = data[inside]
-    place = np.arange(len(letters)) - np.repeat(first, length)
-    value = (letters.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place]
-    return Words(mix(np.add.reduceat(value, first) + length.astype(np.uint64)), text, start, end, data, len(offsets) - 1)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    hashes = mix(run_sums(data, start, end) + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+    return Words(hashes, text, start, end, data, len(offsets) - 1)
 
 
 def pieces(column: pa.Array, kind: np.ndarray = SPACED, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
@@ -163,5 +177,6 @@ def run_hash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The ranges first, first + 1, ... of the given lengths, one after the other."""
-    total = int(length.sum())
-    return np.arange(total) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
+    places = np.repeat(first - (np.cumsum(length) - length), length)
+    places += np.arange(len(places))
+    return places

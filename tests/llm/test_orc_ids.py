@@ -87,3 +87,37 @@ def test_one_id_of_many_rows_in_several_files(spark):
     got = O.index(spark, folder).orderBy("start").collect()
     assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got[:-1]]]))
     assert got[0].doc_id is None and got[-1].doc_id == 8
+
+
+def test_parts_seen_before_are_not_sorted_again(monkeypatch):
+    chunks = O.Chunks(Tokenizer.from_file(PATH))
+    data, offsets = W.column_bytes(pa.array([(t or "").encode() for t in TEXTS], pa.large_binary()))
+    first = chunks.encode(data, offsets)
+    assert len(chunks) == (chunks.early_number >= 0).sum()  # no two of these words share a place
+    monkeypatch.setattr(np, "unique", None)
+    again = chunks.encode(data, offsets)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+
+
+def test_parts_that_share_a_place(monkeypatch):
+    monkeypatch.setattr(O, "EARLY_BITS", 1)
+    monkeypatch.setattr(O, "_EARLY_SHIFT", np.uint64(63))
+    tokenizer = Tokenizer.from_file(PATH)
+    chunks = O.Chunks(tokenizer)
+    for texts in (TEXTS, TEXTS[::-1]):
+        texts = [t or "" for t in texts]
+        ids, counts = chunks.encode(*W.column_bytes(pa.array([t.encode() for t in texts], pa.large_binary())))
+        assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("piece", [W.PIECE_BYTES, 2])
+def test_word_hashes_against_plain_sums(monkeypatch, piece):
+    monkeypatch.setattr(W, "PIECE_BYTES", piece)
+    monkeypatch.setattr(W, "_TABLES", {})
+    texts = [b"", b"Some words, \xc3\xa9t\xc3\xa9 words", b"next", b" some ", b""]
+    found = W.split(*W.column_bytes(pa.array(texts, pa.large_binary())))
+    want = [(i, w) for i, t in enumerate(texts) for w in t.lower().split()]
+    base = int(W._BASE)
+    sums = np.array([(sum((c + 1) * base ** (k + 1) for k, c in enumerate(w)) + len(w)) % 2**64 for _, w in want], np.uint64)
+    assert list(found.text) == [i for i, _ in want] and list(found.hash) == list(W.mix(sums))
+    assert set(W._TABLES) == (set() if piece == 2 else {W._BASE, W._INVERSE})
