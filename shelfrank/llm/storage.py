@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.session import shared_folder, ship_package
 
+#: Bytes of rows in one batch for a Python worker.
+BATCH_BYTES = 4 << 20
+
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows as a stored table: lost executors lose none of it, and its plan starts at a scan."""
@@ -51,6 +54,15 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.set(n, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows are to travel to Python workers some MB at a time, from now on.
+
+    By Spark's default a batch of texts is held as up to 64 MB in the executor and again in the
+    worker, for each task. Not taken back: a plan is run after the function that made it ended.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def pruned_joins(spark: SparkSession):
     """Joins of a large table with a small filtered one are to drop rows by Spark's own Bloom filter before the shuffle.
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; one longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: What the base is to be multiplied with to give 1, modulo 2**64.

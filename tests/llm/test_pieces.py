@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from sentencepiece import SentencePieceProcessor
 
 from shelfrank.llm import pieces as P
+from shelfrank.llm import words as W
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -60,3 +62,15 @@ def test_batches_and_memory_change_nothing(monkeypatch):
     assert [i for t in texts for i in encoder.encode([t])[0].tolist()] == whole
     monkeypatch.setattr(P, "LONG", 3)  # all by the queue
     assert P.Encoder(pieces).encode(texts)[0].tolist() == whole
+
+
+def test_memory_for_a_batch_of_texts():
+    import tracemalloc
+
+    text = pa.array([b"some words of a long text " * 4000] * 40, pa.large_binary())
+    tracemalloc.start()
+    for _, _, found in W.pieces(text):
+        assert len(found.hash)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # 23 MB at half a MB of text at a time, 90 at two MB
