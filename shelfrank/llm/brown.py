@@ -54,13 +54,19 @@ END = UNSEEN + 1
 START = CLASSES  # the history before the first known word
 
 
+def _turned(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width integers byte plane by byte plane, which compresses well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return _turned(values).tobytes()
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
+    if width == 1:
+        return np.frombuffer(data, kind)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
@@ -172,12 +178,12 @@ def _send(blocks: DataFrame, ranges: int, schema: str, lists: Callable[[dict, Bl
             for row, block in _open(batch):
                 words, *columns = lists(row, block)
                 single = np.arange(len(words) + 1)
-                columns = [(words, single)] + [(x, single if many is None else np.concatenate([[0], np.cumsum(many)])) for x, many in columns]
+                columns = [(_turned(words), single)] + [(_turned(x), single if many is None else np.concatenate([[0], np.cumsum(many)])) for x, many in columns]
                 at, start = np.unique((words >> shift).astype(np.int64), return_index=True)
                 ends = np.append(start[1:], len(words))
                 for k in range(0, len(at), 256):
                     part = list(zip(start[k : k + 256], ends[k : k + 256], strict=True))
-                    packed = [pa.array([planes(x[c[a] : c[b]]) for a, b in part], pa.binary()) for x, c in columns]
+                    packed = [pa.array([x[:, c[a] : c[b]].tobytes() for a, b in part], pa.binary()) for x, c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 256]), pa.array(np.full(len(part), row["block"])), *packed], names=names)
 
     return blocks.mapInArrow(run, schema).repartition("range").sortWithinPartitions("range")
@@ -205,6 +211,8 @@ def _words(rows: list[dict]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndar
 
 
 def _column(rows: list[dict], name: str, kind) -> np.ndarray:
+    if np.dtype(kind).itemsize == 1:
+        return np.frombuffer(b"".join([r[name] for r in rows]), kind)
     return np.concatenate([unplanes(r[name], kind) for r in rows])
 
 
@@ -362,35 +370,44 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int = 0, rounds: int = 12
     return clas[:n]
 
 
-def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _filled(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells that hold something; quicker than ``np.nonzero`` of a table."""
+    return np.divmod(np.flatnonzero(cells.ravel()), cells.shape[1])
+
+
+def _steps(table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Class bigrams by neighbour and class, and what up to 15 more uses in each are worth."""
+    return [(cells, _xlogx(cells + np.arange(16)[:, None, None]) - _xlogx(cells)) for cells in (table[:, :CLASSES], table[:CLASSES].T)]
+
+
+def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.ndarray, table: np.ndarray, steps: list | None = None) -> np.ndarray:
     """The best class of each word, if it alone moved. The step of ``exchange``, for many words at once.
 
     ``before``, ``after``: uses by class of the neighbour; ``same``: uses before the word
-    itself; ``table``: class bigrams with these words in their classes. A word that is UNSEEN
-    has no class yet and gets one.
+    itself; ``table``: class bigrams with these words in their classes; ``steps``: its ``_steps``.
+    A word that is UNSEEN has no class yet and gets one.
     """
     n, words, d = len(clas), np.arange(len(clas)), np.arange(CLASSES)
     left, right = before.astype(float), after.astype(float)
     left[words, clas] -= same
     right[words, clas] -= same
     gain = np.zeros((n, CLASSES))
-    for use, cells in ((left, table[:, :CLASSES]), (right, table[:CLASSES].T)):
-        most = 16
-        steps = _xlogx(cells + np.arange(most)[:, None, None]) - _xlogx(cells)
-        w, c = np.nonzero(use)
+    for use, (cells, worth) in zip((left, right), steps or _steps(table), strict=True):
+        most, flat = len(worth), worth.reshape(-1, CLASSES)
+        w, c = _filled(use)
         for k in range(0, len(w), 1 << 16):
             own, kind, r = w[k : k + (1 << 16)], c[k : k + (1 << 16)], use[w[k : k + (1 << 16)], c[k : k + (1 << 16)]]
-            value = steps[np.minimum(r, most - 1).astype(np.int64), kind]
+            value = flat.take(np.minimum(r, most - 1).astype(np.int64) * len(cells) + kind, axis=0)
             big = np.flatnonzero(r >= most)
             value[big] = _xlogx(cells[kind[big]] + r[big, None]) - _xlogx(cells[kind[big]])
             start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             gain[own[start]] += np.add.reduceat(value, start)
     # The word's own uses leave the cells of its class: those that another class would share with it.
     for use, other, cells in ((left, right, table), (right, left, table.T)):
-        w, b = np.nonzero((use[:, :CLASSES] > 0) & (other[words, clas] > 0)[:, None])
+        w, b = _filled((use[:, :CLASSES] > 0) & (other[words, clas] > 0)[:, None])
         t, x, y = cells[b, clas[w]], use[w, b], other[w, clas[w]]
         gain[w, b] += _xlogx(t - x + y) - _xlogx(t - x) - _xlogx(t + y) + _xlogx(t)
-    w, b = np.nonzero(((left[:, :CLASSES] > 0) & (right[:, :CLASSES] > 0)) | (same > 0)[:, None])
+    w, b = _filled(((left[:, :CLASSES] > 0) & (right[:, :CLASSES] > 0)) | (same > 0)[:, None])
     t, x, y = table[b, b], left[w, b], right[w, b]
     gain[w, b] += _xlogx(t + x + y + same[w]) - _xlogx(t + x) - _xlogx(t + y) + _xlogx(t)
     sums = (table.sum(axis=1), after.sum(axis=1)), (table.sum(axis=0), before.sum(axis=1))
@@ -401,7 +418,7 @@ def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.n
     has = np.flatnonzero(clas < CLASSES)
     a, stay = clas[has], np.zeros(len(has))
     for use, cells in ((left[has], table[:, :CLASSES]), (right[has], table[:CLASSES].T)):
-        w, c = np.nonzero(use)
+        w, c = _filled(use)
         w, c = w[c != a[w]], c[c != a[w]]
         t = cells[c, a[w]]
         stay += np.bincount(w, weights=_xlogx(t) - _xlogx(t - use[w, c]), minlength=len(has))
@@ -416,6 +433,24 @@ def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.n
     return best
 
 
+class Once:
+    """Best classes of words used once, by their own class and those before and after: few distinct cases."""
+
+    def __init__(self, table: np.ndarray, steps: list):
+        self.table, self.steps = table, steps
+        self.best = np.full((UNSEEN + 1) * (END + 1) ** 2, -1, np.int8)
+
+    def classes(self, clas: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        case = (clas * (END + 1) + before) * (END + 1) + after
+        new = np.unique(case[self.best[case] < 0])
+        one = np.eye(END + 1)
+        for k in range(0, len(new), 8192):
+            rest, last = np.divmod(new[k : k + 8192], END + 1)
+            own, first = np.divmod(rest, END + 1)
+            self.best[new[k : k + 8192]] = reassign(own, one[first], one[last], np.zeros(len(own)), self.table, self.steps)
+        return self.best[case].astype(np.int64)
+
+
 ANSWER = "block long, range long, clas binary"
 
 
@@ -430,6 +465,8 @@ def _round(blocks: DataFrame, state: DataFrame, known: tuple, table: np.ndarray,
         return block.vocabulary[asked], (clas[asked].astype(np.uint8), None), (many.astype(np.int32), None), (kinds.astype(np.uint8), many), (uses.astype(np.int32), many)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = _steps(shared.value[0])
+        once = Once(shared.value[0], steps)
         for rows in _by_range(batches):
             bounds, words, which = _words(rows)
             word = np.repeat(which, _column(rows, "many", np.int32))
@@ -437,12 +474,17 @@ def _round(blocks: DataFrame, state: DataFrame, known: tuple, table: np.ndarray,
             clas = np.zeros(len(words), np.int64)
             clas[which] = _column(rows, "clas", np.uint8)
             by = np.argsort(word, kind="stable")
-            word, kinds, uses = word[by], kinds[by], uses[by]
-            for k in range(0, len(words), 8192):  # rows of all kinds for some words at a time
-                own = clas[k : k + 8192]
-                a, b = np.searchsorted(word, [k, k + len(own)])
-                sums = np.bincount((word[a:b] - k) * (SAME + 1) + kinds[a:b], weights=uses[a:b], minlength=len(own) * (SAME + 1)).reshape(len(own), SAME + 1)
-                clas[k : k + 8192] = reassign(own, sums[:, : END + 1], sums[:, END + 1 : SAME], sums[:, SAME], shared.value[0])
+            word, kinds, uses = word[by], kinds[by].astype(np.int64), uses[by]
+            single = np.bincount(word, weights=uses, minlength=len(words)) == 2  # what stands before and after one use
+            own = np.flatnonzero(single[word])
+            clas[single] = once.classes(clas[single], kinds[own[::2]], kinds[own[1::2]] - END - 1)
+            more = np.flatnonzero(~single)
+            for k in range(0, len(more), 8192):  # rows of all kinds for some words at a time
+                own = more[k : k + 8192]
+                a, b = np.searchsorted(word, [own[0], own[-1] + 1])
+                at = a + np.flatnonzero(~single[word[a:b]])
+                sums = np.bincount(np.searchsorted(own, word[at]) * (SAME + 1) + kinds[at], weights=uses[at], minlength=len(own) * (SAME + 1)).reshape(len(own), SAME + 1)
+                clas[own] = reassign(clas[own], sums[:, : END + 1], sums[:, END + 1 : SAME], sums[:, SAME], shared.value[0], steps)
             found = clas[which].astype(np.uint8)
             columns = [pa.array([r["block"] for r in rows]), pa.array([r["range"] for r in rows]), pa.array([planes(found[a:b]) for a, b in bounds], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "range", "clas"])

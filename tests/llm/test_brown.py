@@ -105,3 +105,17 @@ def test_every_training_word_has_a_class_by_its_contexts_and_is_a_history(spark)
     got = B.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 8 != 1).where(~F.col("train")).collect()
     best = 50 * math.log10(6000)  # a word of 6000, and what follows it is certain; 1024 words alone score worse by over 50
     assert len(got) == 90 and -sum(r.score for r in got) / 90 < best + 20
+
+
+def test_words_used_once_are_worked_out_once(monkeypatch):
+    draw = np.random.default_rng(5)
+    table = draw.integers(0, 9, (B.END + 1, B.END + 1)).astype(float)
+    clas, before, after = draw.integers(0, B.UNSEEN + 1, 400), draw.integers(0, B.END + 1, 400), draw.integers(0, B.END + 1, 400)
+    table[before, clas] += 1
+    table[clas, after] += 1
+    one = np.eye(B.END + 1)
+    want = B.reassign(clas, one[before], one[after], np.zeros(400), table)
+    once = B.Once(table, B._steps(table))
+    assert np.array_equal(once.classes(clas, before, after), want)
+    monkeypatch.setattr(B, "reassign", None)
+    assert np.array_equal(once.classes(clas[::-1], before[::-1], after[::-1]), want[::-1])
