@@ -39,6 +39,8 @@ VOCABULARY, CLASSES, ROUNDS = 1024, 64, 4
 BLOCK_BYTES, RANGE_TEXTS, LEAST_RANGES = 8 << 20, 16384, 1024
 #: Text of a bucket of blocks, and how many buckets there are at least and at most.
 BUCKET_BYTES, FEWEST, MOST = 16 << 20, 8, 65536
+#: Words asked for that ranges are taken together up to.
+AT_ONCE = 32768
 #: Weight of a class's own share against what follows the class before.
 WEIGHT = 20.0
 
@@ -190,14 +192,15 @@ def _send(blocks: DataFrame, ranges: int, schema: str, lists: Callable[[dict, Bl
 
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Requests of one range after the other."""
-    held = []
+    """Requests of whole ranges: of as many as it takes to ask for AT_ONCE words."""
+    held, asked = [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0]["range"] != row["range"]:
+            if asked >= AT_ONCE and held[-1]["range"] != row["range"]:
                 yield held
-                held = []
+                held, asked = [], 0
             held.append(row)
+            asked += len(row["words"]) // 8
     if held:
         yield held
 
@@ -395,8 +398,10 @@ def reassign(clas: np.ndarray, before: np.ndarray, after: np.ndarray, same: np.n
     for use, (cells, worth) in zip((left, right), steps or _steps(table), strict=True):
         most, flat = len(worth), worth.reshape(-1, CLASSES)
         w, c = _filled(use)
-        for k in range(0, len(w), 1 << 16):
-            own, kind, r = w[k : k + (1 << 16)], c[k : k + (1 << 16)], use[w[k : k + (1 << 16)], c[k : k + (1 << 16)]]
+        to = 0
+        while to < len(w):  # whole words, as many as the processor's cache holds
+            k, to = to, int(np.searchsorted(w, w[min(to + 2048, len(w)) - 1], side="right"))
+            own, kind, r = w[k:to], c[k:to], use[w[k:to], c[k:to]]
             value = flat.take(np.minimum(r, most - 1).astype(np.int64) * len(cells) + kind, axis=0)
             big = np.flatnonzero(r >= most)
             value[big] = _xlogx(cells[kind[big]] + r[big, None]) - _xlogx(cells[kind[big]])

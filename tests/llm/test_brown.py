@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,13 @@ def test_words_used_once_are_worked_out_once(monkeypatch):
     assert np.array_equal(once.classes(clas, before, after), want)
     monkeypatch.setattr(B, "reassign", None)
     assert np.array_equal(once.classes(clas[::-1], before[::-1], after[::-1]), want[::-1])
+
+
+def test_small_ranges_are_taken_together(monkeypatch):
+    rows = pa.RecordBatch.from_pylist([{"range": r, "words": b"x" * 8} for r in (1, 1, 2, 5, 5, 7)])
+    of = lambda: [[r["range"] for r in g] for g in B._by_range([rows.slice(0, 4), rows.slice(4)])]
+    assert of() == [[1, 1, 2, 5, 5, 7]]
+    monkeypatch.setattr(B, "AT_ONCE", 3)
+    assert of() == [[1, 1, 2], [5, 5, 7]]
+    monkeypatch.setattr(B, "AT_ONCE", 1)
+    assert of() == [[1, 1], [2], [5, 5], [7]]
