@@ -23,20 +23,21 @@ from shelfrank.session import shared_folder
 END_ID = 2
 #: Stripe size, rows an index entry stands for, and false hits of the Bloom filter.
 ORC_OPTIONS = {"orc.stripe.size": 64 << 20, "orc.row.index.stride": 10_000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.create.index": "true", "compression": "zstd"}
-#: Words and other parts of chunks whose ids a task remembers.
+#: Words and other parts of chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
 _SEEN: dict[str, "Chunks"] = {}
 
 
 #: Punctuation that may be cut off the end of a chunk: never part of a word, of a special token or of "'s".
 TAIL = ".,;:!?|%&$#*"
-#: Words encoded in one call; bits of a part's hash by which it is looked up first.
-AT_ONCE, EARLY_BITS = 256, 20
+#: Words encoded in one call; bits of a part's hash by which it is looked up first; new parts merged at once.
+AT_ONCE, EARLY_BITS, RECENT = 256, 20, 1 << 16
 _EARLY_SHIFT = np.uint64(64 - EARLY_BITS)
 
 
 _TAIL = W.byte_set(*[(ord(c), ord(c)) for c in TAIL])
 _ASCII_LETTER = W.byte_set((0x41, 0x5A), (0x61, 0x7A))
+_SMALL_LETTER = W.byte_set((0x61, 0x7A))
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
@@ -67,6 +68,32 @@ def parts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inside, cuts
 
 
+def _bare(tokenizer):
+    """The tokenizer's model alone, for words of a to z between spaces; None if its other steps change or join such words."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    letters = "".join(map(chr, range(0x61, 0x7B)))
+    words = [letters, letters[::-1], *letters]
+    text = " ".join(words)
+    if tokenizer.normalizer and tokenizer.normalizer.normalize_str(text) != text:
+        return None
+    if any(not set(t.content) - set(text) for t in tokenizer.get_added_tokens_decoder().values()):
+        return None
+    if not tokenizer.pre_tokenizer or [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] != words:
+        return None
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return bare
+
+
+def _grown(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``more`` behind the first ``used`` values, in place while there is room."""
+    if used + len(more) > len(values):
+        values = np.concatenate([values[:used], np.empty(used + 2 * len(more), values.dtype)])
+    values[used : used + len(more)] = more
+    return values
+
+
 class Chunks:
     """The parts of chunks seen so far, by hash, and the ids of all of them, one after the other.
 
@@ -81,53 +108,87 @@ class Chunks:
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, numbers of their parts
+        self.bare = _bare(tokenizer)
+        # Hashes in order and numbers of their parts: of most parts, and of those not yet merged with them.
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.recent, self.recent_number = self.known, self.number
+        # By part; room for more is kept at the end.
         self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.parts = self.held = 0  # how many parts and ids
         # The part that came first of all whose hashes begin alike: found without a search.
         self.early, self.early_number = np.zeros(1 << EARLY_BITS, np.uint64), np.full(1 << EARLY_BITS, -1, np.int32)
 
     def __len__(self) -> int:
-        return len(self.known)
-
-    def _learn(self, hashes: np.ndarray, words: W.Words, which: np.ndarray) -> None:
-        """Encodes new parts: words of letters many at a time, all else one by one."""
+        return self.parts
+
+    @classmethod
+    def of(cls, path: str) -> "Chunks":
+        """Those of this process for a tokenizer's file, kept for the worker's next tasks; begun anew when many.
+
+        Spark sends a task's function with copies of the variables it names, so a task has to
+        ask the module for them.
+        """
+        if path not in _SEEN or len(_SEEN[path]) > REMEMBERED:
+            from tokenizers import Tokenizer
+
+            _SEEN[path] = cls(_SEEN[path].tokenizer if path in _SEEN else Tokenizer.from_file(path))
+        return _SEEN[path]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the parts with these hashes, -1 for those not seen."""
+        found = np.full(len(hashes), -1, np.int32)
+        for known, number in ((self.known, self.number), (self.recent, self.recent_number)):
+            if len(known):
+                at = np.searchsorted(known, hashes).clip(max=len(known) - 1)
+                found = np.where(known[at] == hashes, number[at], found)
+        return found
+
+    def _learn(self, hashes: np.ndarray, words: W.Words, which: np.ndarray) -> np.ndarray:
+        """Encodes new parts, and returns their numbers: words of letters many at a time, all else one by one."""
         start, length = words.start[which], words.end[which] - words.start[which]
         # All parts one after the other, with a space behind each.
         ends = np.cumsum(length + 1)
         text = np.full(int(ends[-1]), 0x20, np.uint8)
         text[W.spans(ends - length - 1, length)] = words.data[W.spans(start, length)]
         plain = np.add.reduceat(_letters(text), ends - length - 1) == length
+        small = np.add.reduceat(_SMALL_LETTER[text], ends - length - 1, dtype=np.int64) == length if self.bare else np.zeros(len(which), dtype=bool)
         counts, found, alone = np.zeros(len(which), np.int64), [], list(np.flatnonzero(~plain))
         order = []
-        many = np.flatnonzero(plain)
-        rows = [many[at : at + AT_ONCE] for at in range(0, len(many), AT_ONCE)]
         raw = text.tobytes()
-        texts = [b"".join([raw[ends[i] - length[i] - 1 : ends[i]] for i in row.tolist()]).decode() for row in rows]
-        for row, encoded in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids])
-            if len(stops) != len(row) or stops[-1] != len(ids) - 1:  # not one word each
-                alone += row.tolist()
-                continue
-            counts[row] = np.diff(stops, prepend=-1)
-            order.append(row)
-            found.append(ids)
+        for tokenizer, many in ((self.bare, np.flatnonzero(small)), (self.tokenizer, np.flatnonzero(plain & ~small))):
+            rows = [many[at : at + AT_ONCE] for at in range(0, len(many), AT_ONCE)]
+            texts = [b"".join([raw[ends[i] - length[i] - 1 : ends[i]] for i in row.tolist()]).decode() for row in rows]
+            for row, encoded in zip(rows, tokenizer.encode_batch_fast(texts, add_special_tokens=False) if rows else [], strict=True):
+                ids = np.array(encoded.ids, np.int32)
+                stops = np.flatnonzero(self.ends[ids])
+                if len(stops) != len(row) or stops[-1] != len(ids) - 1:  # not one word each
+                    alone += row.tolist()
+                    continue
+                counts[row] = np.diff(stops, prepend=-1)
+                order.append(row)
+                found.append(ids)
         texts = [raw[ends[i] - length[i] - 1 : ends[i] - 1].decode("utf-8", "replace") for i in alone]
         for i, encoded in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             counts[i] = len(encoded.ids)
             order.append([i])
             found.append(np.array(encoded.ids, np.int32))
-        order = np.concatenate(order)
-        number = np.empty(len(which), np.int64)
-        number[order] = len(self.first) + np.arange(len(which))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts[order]) - counts[order]])
-        self.length = np.concatenate([self.length, counts[order]])
-        self.ids = np.concatenate([self.ids, *found])
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, number)
+        order, found = np.concatenate(order), np.concatenate(found)
+        number = np.empty(len(which), np.int32)
+        number[order] = self.parts + np.arange(len(which))
+        self.first = _grown(self.first, self.parts, self.held + np.cumsum(counts[order]) - counts[order])
+        self.length = _grown(self.length, self.parts, counts[order])
+        self.ids = _grown(self.ids, self.held, found)
+        self.parts, self.held = self.parts + len(which), self.held + len(found)
+        place = np.searchsorted(self.recent, hashes)
+        self.recent, self.recent_number = np.insert(self.recent, place, hashes), np.insert(self.recent_number, place, number)
+        if len(self.recent) > RECENT:
+            place = np.searchsorted(self.known, self.recent)
+            self.known, self.number = np.insert(self.known, place, self.recent), np.insert(self.number, place, self.recent_number)
+            self.recent, self.recent_number = self.recent[:0], self.recent_number[:0]
         at = hashes >> _EARLY_SHIFT
         free = self.early_number[at] < 0
         self.early[at[free]], self.early_number[at[free]] = hashes[free], number[free]
+        return number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts that ``offsets`` cuts ``data`` into, and how many each has."""
@@ -140,10 +201,11 @@ class Chunks:
         rest = np.flatnonzero((part < 0) | (self.early[at] != words.hash))
         if len(rest):
             distinct, first, place = np.unique(words.hash[rest], return_index=True, return_inverse=True)
-            new = np.flatnonzero(self.known[np.searchsorted(self.known, distinct).clip(max=len(self) - 1)] != distinct) if len(self) else np.arange(len(distinct))
+            found = self._find(distinct)
+            new = np.flatnonzero(found < 0)
             if len(new):
-                self._learn(distinct[new], words, rest[first[new]])
-            part[rest] = self.number[np.searchsorted(self.known, distinct)][place]
+                found[new] = self._learn(distinct[new], words, rest[first[new]])
+            part[rest] = found[place]
         length = self.length[part]
         ends = np.concatenate([[0], np.cumsum(length)])[words.first()[1:]]
         return self.ids[W.spans(self.first[part], length)], np.diff(ends, prepend=0)
@@ -157,19 +219,13 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if tokenizer_path not in _SEEN:  # kept for the worker's next task
-            _SEEN[tokenizer_path] = Chunks(Tokenizer.from_file(tokenizer_path))
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             data, offsets = W.column_bytes(column)
             at = 0
             while at < len(column):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + W.PIECE_BYTES, side="right")) - 1)
-                if len(_SEEN[tokenizer_path]) > REMEMBERED:
-                    _SEEN[tokenizer_path] = Chunks(_SEEN[tokenizer_path].tokenizer)
-                ids, counts = _SEEN[tokenizer_path].encode(data, offsets[at : to + 1])
+                ids, counts = Chunks.of(tokenizer_path).encode(data, offsets[at : to + 1])
                 places = np.cumsum(counts)
                 ids = np.insert(ids, places, end_id).astype(np.int32)
                 edges = np.concatenate([[0], places + np.arange(1, to - at + 1)]).astype(np.int32)

@@ -121,3 +121,46 @@ def test_word_hashes_against_plain_sums(monkeypatch, piece):
     sums = np.array([(sum((c + 1) * base ** (k + 1) for k, c in enumerate(w)) + len(w)) % 2**64 for _, w in want], np.uint64)
     assert list(found.text) == [i for i, _ in want] and list(found.hash) == list(W.mix(sums))
     assert set(W._TABLES) == (set() if piece == 2 else {W._BASE, W._INVERSE})
+
+
+def test_workers_remember_parts_between_tasks(spark, docs):
+    """Spark sends a task copies of the variables its function names: what a task learnt was lost with them."""
+
+    def seen(batches):
+        from shelfrank.llm import orc_ids
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, orc_ids._SEEN.values()))])], names=["n"])
+
+    O.encode(docs, PATH).collect()
+    assert max(r.n for r in docs.select("doc_id").mapInArrow(seen, "n long").collect()) > 0
+
+
+def test_many_pieces_against_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(O, "RECENT", 8)
+    tokenizer = Tokenizer.from_file(PATH)
+    random = np.random.default_rng(1)
+    words = ["".join(map(chr, random.integers(0x61, 0x7B, random.integers(1, 12)))) for _ in range(2000)] + ["école", "été", "x1", "don't", "ends."]
+    chunks = O.Chunks(tokenizer)
+    assert chunks.bare
+    for _ in range(30):
+        texts = [" ".join(random.choice(words, 40)) for _ in range(5)]
+        ids, counts = _encode(chunks, texts)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w]
+        assert counts.tolist() == [len(w) for w in want]
+    assert len(chunks.known) + len(chunks.recent) == len(chunks) == len(np.unique(chunks.first[: len(chunks)]))
+
+
+def test_model_alone_only_where_the_other_steps_keep_words():
+    from tokenizers import normalizers, pre_tokenizers
+
+    for change in (
+        lambda t: setattr(t, "normalizer", normalizers.Replace("e", "x")),
+        lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.Split("q", "isolated")),
+        lambda t: t.add_tokens(["word"]),
+    ):
+        tokenizer = Tokenizer.from_file(PATH)
+        change(tokenizer)
+        assert O._bare(tokenizer) is None
