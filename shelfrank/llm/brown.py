@@ -16,9 +16,10 @@
 Counts, contexts and classes of all words go through shuffles and grow with the corpus. The
 texts are kept as blocks of word numbers, each with its own vocabulary. A block sends the
 counts of its words once and in a round the contexts of the words whose turn it is, in packed
-lists by range of word hash, and gets their classes. Blocks and classes are bucketed by
-block, so the blocks themselves are shuffled once. Only tables of fixed size reach the
-driver: bigrams of the VOCABULARY words and the classes.
+lists by range of word hash, and gets their classes; the task that writes these also counts
+the bigrams by them. Blocks and classes are bucketed by block, so the blocks themselves are
+shuffled once. Only tables of fixed size reach the driver: bigrams of the VOCABULARY words
+and the classes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +41,14 @@ VOCABULARY, CLASSES, ROUNDS = 1024, 64, 4
 BLOCK_BYTES, RANGE_TEXTS, LEAST_RANGES = 8 << 20, 16384, 1024
 #: Text of a bucket of blocks, and how many buckets there are at least and at most.
 BUCKET_BYTES, FEWEST, MOST = 16 << 20, 8, 65536
-#: Words asked for that ranges are taken together up to.
-AT_ONCE = 32768
+#: Words asked for that ranges are taken together up to; bigram cells in a packed list.
+AT_ONCE, CELLS = 32768, 1 << 14
 #: Weight of a class's own share against what follows the class before.
 WEIGHT = 20.0
 
-#: A block's row is some MB, so few of them are to travel to Python at once.
-FEW_BLOCKS = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
+#: Blocks are made of the texts that travel to Python at once; a block's row is some MB, so they travel one by one.
+MANY_TEXTS = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
+ONE_BLOCK = {"spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
 #: Every step ends in a stored table or a small result, so Spark can delete its shuffle files then.
 NO_OLD_SHUFFLES = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
 
@@ -72,6 +75,15 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and the place of each hash among them; only the distinct ones are sorted."""
+    found, known = pd.factorize(hashes)
+    order = np.argsort(known)
+    places = np.empty(len(known), np.int32)
+    places[order] = np.arange(len(known), dtype=np.int32)
+    return known[order], places[found]
+
+
 BLOCKS = "block long, ids array<long>, train array<boolean>, counts array<int>, tokens binary, vocabulary binary, places binary"
 
 
@@ -89,7 +101,8 @@ def _blocks(docs: DataFrame, train: Column, buckets: int) -> DataFrame:
                 size += len(found.data)
                 if size >= BLOCK_BYTES or to == batch.num_rows:
                     hashes = np.concatenate([f.hash for f in held])
-                    known, token, uses = np.unique(hashes, return_inverse=True, return_counts=True)
+                    known, token = distinct(hashes)
+                    uses = np.bincount(token, minlength=len(known))
                     places = np.argsort(-uses, kind="stable").astype(np.int32)  # frequent words get small numbers
                     rank = np.empty(len(known), np.int32)
                     rank[places] = np.arange(len(known), dtype=np.int32)
@@ -100,7 +113,8 @@ def _blocks(docs: DataFrame, train: Column, buckets: int) -> DataFrame:
 
     body = F.col("text").cast("binary")
     blocks = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), body).mapInArrow(run, BLOCKS)
-    return keep_clustered(blocks.repartition(buckets, "block"), "lm-blocks", "block", buckets)
+    with settings(docs.sparkSession, **MANY_TEXTS):
+        return keep_clustered(blocks.repartition(buckets, "block"), "lm-blocks", "block", buckets)
 
 
 @dataclass
@@ -209,7 +223,7 @@ def _words(rows: list[dict]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndar
     """Bounds of each request's words, all words, and where each request's words are among them."""
     own = [unplanes(r["words"], np.uint64) for r in rows]
     ends = np.cumsum([len(o) for o in own])
-    words, which = np.unique(np.concatenate(own), return_inverse=True)
+    words, which = distinct(np.concatenate(own))
     return list(zip(ends - [len(o) for o in own], ends, strict=True)), words, which
 
 
@@ -219,7 +233,8 @@ def _column(rows: list[dict], name: str, kind) -> np.ndarray:
     return np.concatenate([unplanes(r[name], kind) for r in rows])
 
 
-STATE = "block long, clas binary, uses binary"
+#: A block's words; one row of those that a task wrote also has the bigrams of all of them.
+STATE = "block long, clas binary, uses binary, cells binary, n binary"
 
 
 def _counts(blocks: DataFrame, ranges: int, buckets: int) -> tuple[int, int, np.ndarray, DataFrame]:
@@ -248,15 +263,16 @@ def _counts(blocks: DataFrame, ranges: int, buckets: int) -> tuple[int, int, np.
     tokens, distinct = found.where("word is null").agg(F.sum("n"), F.sum("distinct")).first()
     top = found.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                counts = [unplanes(x["counts"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
-                counts = np.concatenate([np.zeros(0, np.int64), *counts])
-                yield _state(row["block"], np.full(len(counts), UNSEEN), counts)
+    top = np.sort(top)
+    shared = blocks.sparkSession.sparkContext.broadcast(top)
+
+    def join(row: dict, block: Block) -> tuple:
+        counts = [unplanes(x["counts"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
+        counts = np.concatenate([np.zeros(0, np.int64), *counts])
+        return np.full(len(counts), UNSEEN), counts, _ranks(block.vocabulary, shared.value)
 
-    state = blocks.select("block").join(_gathered(found.where("block is not null"), buckets, "counts"), "block", "left")
-    return int(tokens or 0), int(distinct or 0), np.sort(top), keep_clustered(state.mapInArrow(join, STATE), "lm-state", "block", buckets)
+    rows = blocks.join(_gathered(found.where("block is not null"), buckets, "counts"), "block", "left")
+    return int(tokens or 0), int(distinct or 0), top, _states(rows, len(top), join, buckets)
 
 
 def _gathered(answers: DataFrame, buckets: int, value: str) -> DataFrame:
@@ -264,9 +280,34 @@ def _gathered(answers: DataFrame, buckets: int, value: str) -> DataFrame:
     return answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("range", value)).alias("answers")).hint("merge")
 
 
-def _state(block: int, clas: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([block], pa.int64()), *[pa.array([planes(x)], pa.binary()) for x in (clas.astype(np.uint8), counts)]]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "clas", "uses"])
+def _states(rows: DataFrame, n: int, words: Callable[[dict, Block], tuple], buckets: int) -> DataFrame:
+    """The blocks' words by ``words`` (class, count and rank of each), and the bigrams of the texts by them.
+
+    ``n``: how many words are frequent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds, held = [x.split()[0] for x in STATE.split(", ")], [pa.int64(), *[pa.binary()] * 4], None
+        table = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+        bigrams = Bigrams(n)
+        for batch in batches:
+            for row, block in _open(batch):
+                if held:
+                    yield table(*held, None, None)
+                clas, counts, rank = words(row, block)
+                if len(clas) != len(block.vocabulary):
+                    raise ValueError(f"block {row['block']}: {len(clas)} of {len(block.vocabulary)} words answered")
+                bigrams.add(block, clas, counts, rank)
+                held = row["block"], planes(clas.astype(np.uint8)), planes(counts)
+        if held:
+            cells = np.flatnonzero(bigrams.total).astype(np.int32)
+            yield table(*held, planes(cells), planes(bigrams.total[cells]))
+
+    return keep_clustered(rows.mapInArrow(run, STATE), "lm-state", "block", buckets)
+
+
+def _with(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    return blocks.join(state.drop("cells", "n").hint("merge"), "block")
 
 
 def _ranks(vocabulary: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -292,35 +333,58 @@ def _asked(block: Block, counts: np.ndarray, rank: np.ndarray, turn: int | None)
     return asked if turn is None else asked & (W.mix(block.vocabulary) % np.uint64(2) == turn)
 
 
-def _bigrams(rows: DataFrame, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Training bigrams, and what stands before words seen once.
+PAIRS = "part long, cells binary, n binary"
+
+
+def _pack(total: np.ndarray) -> pa.RecordBatch:
+    """The cells that hold something and their counts, in lists by ranges of CELLS cells."""
+    there = np.flatnonzero(total).astype(np.int32)
+    part, start, many = np.unique(there // CELLS, return_index=True, return_counts=True)
+    bounds = list(zip(start, start + many, strict=True))
+    columns = [pa.array([planes(x[a:b]) for a, b in bounds], pa.binary()) for x in (there, total[there])]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *columns], names=["part", "cells", "n"])
+
 
-    Frequent words stand for themselves, others for their class, after all frequent ones; END
-    of these is the end of a text, and of the text before the first word.
+class Bigrams:
+    """Training bigrams, and after them what stands before words seen once.
+
+    Frequent words stand for themselves, others for their class, after all ``n`` frequent ones;
+    END of these is the end of a text, and of the text before the first word.
     """
-    side, n = len(top) + END + 1, len(top)
-    shared = rows.sparkSession.sparkContext.broadcast(top)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, single = np.zeros(side * side, np.int64), np.zeros(side, np.int64)
+    def __init__(self, n: int):
+        self.n, self.side = n, n + END + 1
+        self.total = np.zeros(self.side * (self.side + 1), np.int64)
+
+    def add(self, block: Block, clas: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> None:
+        side, end = self.side, self.n + END
+        symbol = np.where(rank >= 0, rank, self.n + clas)
+        texts = np.flatnonzero(block.train)
+        tokens = block.tokens[W.spans(block.first()[texts], block.counts[texts])]
+        places = np.cumsum(block.counts[texts])
+        line = np.concatenate([[end], np.insert(symbol[tokens], places, end)])  # a text's end starts the next
+        once = np.insert(counts[tokens] == 1, places, False)
+        self.total[: side * side] += np.bincount(line[:-1] * side + line[1:], minlength=side * side)
+        self.total[side * side :] += np.bincount(line[:-1][once], minlength=side)
+
+
+def _bigrams(state: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all tasks' bigrams: pairs, and what stands before words seen once."""
+    side = n + END + 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(side * (side + 1), np.int64)
         for batch in batches:
-            for row, block in _open(batch):
-                clas, counts, rank = _known(row, block, shared.value, np.zeros(n, np.int64))
-                symbol = np.where(rank >= 0, rank, n + clas)
-                texts = np.flatnonzero(block.train)
-                tokens = block.tokens[W.spans(block.first()[texts], block.counts[texts])]
-                places = np.cumsum(block.counts[texts])
-                line = np.concatenate([[n + END], np.insert(symbol[tokens], places, n + END)])  # a text's end starts the next
-                once = np.insert(counts[tokens] == 1, places, False)
-                total += np.bincount(line[:-1] * side + line[1:], minlength=side * side)
-                single += np.bincount(line[:-1][once], minlength=side)
-        total = np.concatenate([total, single])
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["cell", "n"])
-
-    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+            for cells, count in zip(batch.column("cells").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                total[unplanes(cells, np.int32)] += unplanes(count, np.int64)
+        yield _pack(total)
+
+    # A list of cells is a row: some MB of counts from each task would be millions of rows.
+    lists = state.where("cells is not null").select("cells", "n").mapInArrow(add, PAIRS)
+    cells = lists.repartition("part").mapInArrow(add, PAIRS).toPandas()
     out = np.zeros(side * (side + 1))
-    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
+    for there, count in zip(cells["cells"], cells["n"], strict=True):
+        out[unplanes(there, np.int32)] = unplanes(count, np.int64)
     return out[: side * side].reshape(side, side), out[side * side :]
 
 
@@ -494,18 +558,15 @@ def _round(blocks: DataFrame, state: DataFrame, known: tuple, table: np.ndarray,
             columns = [pa.array([r["block"] for r in rows]), pa.array([r["range"] for r in rows]), pa.array([planes(found[a:b]) for a, b in bounds], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "range", "clas"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, block in _open(batch):
-                clas, counts, rank = _known(row, block, *shared.value[1])
-                new = [unplanes(x["clas"], np.uint8) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
-                clas[_asked(block, counts, rank, turn)] = np.concatenate([np.zeros(0, np.uint8), *new])
-                yield _state(row["block"], clas, counts)
+    def join(row: dict, block: Block) -> tuple:
+        clas, counts, rank = _known(row, block, *shared.value[1])
+        new = [unplanes(x["clas"], np.uint8) for x in sorted(row["answers"] or [], key=lambda x: x["range"])]
+        clas[_asked(block, counts, rank, turn)] = np.concatenate([np.zeros(0, np.uint8), *new])
+        return clas, counts, rank
 
-    rows = blocks.join(state.hint("merge"), "block")
+    rows = _with(blocks, state)
     answers = _send(rows, ranges, CONTEXTS, lists).mapInArrow(answer, ANSWER)
-    narrow = rows.withColumns({"ids": F.array().cast("array<long>"), "tokens": F.lit(b""), "places": F.lit(b"")})  # texts aren't needed
-    return keep_clustered(narrow.join(_gathered(answers, buckets, "clas"), "block", "left").mapInArrow(join, STATE), "lm-state", "block", buckets)
+    return _states(rows.join(_gathered(answers, buckets, "clas"), "block", "left"), len(known[0]), join, buckets)
 
 
 def transitions(follows: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -536,21 +597,21 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     rows like others. Without training texts every token is unseen and has probability 1.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias("text"))
-    with settings(docs.sparkSession, **FEW_BLOCKS, **NO_OLD_SHUFFLES):
-        return _score(docs)
+    number, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = min(max(-(-(size or 0) // BUCKET_BYTES), FEWEST), MOST)
+    with settings(docs.sparkSession, **ONE_BLOCK, **NO_OLD_SHUFFLES):
+        return _score(docs, number, buckets)
 
 
-def _score(docs: DataFrame) -> DataFrame:
+def _score(docs: DataFrame, number: int, buckets: int) -> DataFrame:
     spark = docs.sparkSession
-    number, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    buckets = min(max(-(-(size or 0) // BUCKET_BYTES), FEWEST), MOST)
     ranges = 1 << (max(LEAST_RANGES, number // RANGE_TEXTS) - 1).bit_length()
     blocks = _blocks(docs, F.col("train"), buckets)
     texts = blocks.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
     tokens, distinct, top, state = _counts(blocks, ranges, buckets)
     clas, best = np.arange(len(top)) % CLASSES, None
     for k in range(ROUNDS + 2):
-        pairs, single = _bigrams(blocks.join(state.hint("merge"), "block"), top)
+        pairs, single = _bigrams(state, len(top))
         clas = np.concatenate([exchange(pairs, CLASSES, fixed=END + 1, clas=np.concatenate([clas, np.arange(END + 1)])), np.arange(END + 1)])
         hot = np.eye(END + 1)[clas]
         table, clas = hot.T @ pairs @ hot, clas[: len(top)]
@@ -563,7 +624,7 @@ def _score(docs: DataFrame) -> DataFrame:
             state = _round(blocks, state, (top, clas), table, k % 2 if k else None, ranges, buckets)
     _, state, clas, table, single = best
     follows, single = (np.delete(x, UNSEEN, axis=0) for x in (table, single))  # no word of the training texts is without a class
-    answered = blocks.join(state.hint("merge"), "block")
+    answered = _with(blocks, state)
     shared = spark.sparkContext.broadcast((transitions(follows, single), follows.sum(axis=0), tokens + texts, distinct + (texts > 0), texts, (top, clas)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

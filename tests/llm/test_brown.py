@@ -130,3 +130,32 @@ def test_small_ranges_are_taken_together(monkeypatch):
     assert of() == [[1, 1, 2], [5, 5, 7]]
     monkeypatch.setattr(B, "AT_ONCE", 1)
     assert of() == [[1, 1], [2], [5, 5], [7]]
+
+
+def test_bigrams_travel_as_lists_of_cells(monkeypatch):
+    monkeypatch.setattr(B, "CELLS", 4)
+    total = np.array([0, 3, 0, 1 << 40, 0, 0, 0, 0, 7])
+    rows = B._pack(total).to_pylist()
+    assert [r["part"] for r in rows] == [0, 2]
+    assert [B.unplanes(r["cells"], np.int32).tolist() for r in rows] == [[1, 3], [8]]
+    assert [B.unplanes(r["n"], np.int64).tolist() for r in rows] == [[3, 1 << 40], [7]]
+    assert B._pack(total * 0).num_rows == 0
+
+
+def test_bigrams_of_training_texts():
+    text = [0, 1, 0, 2, 1, 1]  # words 0 and 1 are frequent, 2 isn't; the text in the middle is no training text
+    block = B.Block(np.array(text), np.arange(3, dtype=np.uint64), np.array([2, 2, 0, 2]), np.array([True, False, True, True]))
+    bigrams = B.Bigrams(2)
+    bigrams.add(block, np.array([0, 0, 5]), np.array([1, 3, 0]), np.array([0, 1, -1]))
+    end, side = 2 + B.END, bigrams.side
+    want = Counter([(end, 0), (0, 1), (1, end), (end, end), (end, 1), (1, 1), (1, end)])
+    assert {divmod(int(c), side): int(bigrams.total[c]) for c in np.flatnonzero(bigrams.total[: side * side])} == want
+    assert np.flatnonzero(bigrams.total[side * side :]).tolist() == [end]
+
+
+def test_distinct_hashes_in_order():
+    draw = np.random.default_rng(3)
+    for hashes in (draw.integers(0, 1 << 64, 500, dtype=np.uint64)[draw.integers(0, 500, 3000)], np.zeros(0, np.uint64)):
+        want, places = np.unique(hashes, return_inverse=True)
+        known, which = B.distinct(hashes)
+        assert np.array_equal(known, want) and np.array_equal(which, places) and known.dtype == np.uint64
